@@ -45,7 +45,7 @@ def _insert(
 ) -> Change:
     current = getattr(t, table)
     valid, invalid = _split(rows, required)
-    new = stage(_conform(valid, table, id_col, defaults or {}))
+    new = _conform(valid, table, id_col, defaults or {})
     added = with_new_ids(new, id_col, current).select(*current.columns)
     return Change({table: current.unionByName(added)}, {table: added}, invalid)
 
@@ -102,7 +102,8 @@ def add_courses(t: Tables, rows: DataFrame) -> Change:
     catalog = catalog_id(t)
     valid, invalid = _split(rows, ["nombre_curso", "fecha_inicio", "fecha_fin"])
     rejected = invalid.unionByName(valid.join(catalog, "nombre_curso", "left_anti").select(*rows.columns))
-    named = stage(valid.join(catalog, "nombre_curso").select("id_catalogo", *rows.columns))
+    named = valid.join(catalog, "nombre_curso").select("id_catalogo", *rows.columns)
+    # Staged: the three tables below must agree on the ids, whichever is written first.
     runs = stage(with_new_ids(named, "id_curso", t.curso))
 
     added = {

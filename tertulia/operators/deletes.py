@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from tertulia.operators.reports import course_links, member_links, session_links
 from tertulia.plans.joins import linked_keys
-from tertulia.plans.staging import stage
 from tertulia.sources.tables import Change, Tables
 
 
@@ -20,8 +19,8 @@ def _delete(
     Links are reduced to distinct keys before they are shuffled. For a short list of ids Catalyst
     moves the semi join below that, and the large tables are only scanned.
     """
-    wanted = stage(ids.select(key).distinct())
-    blocked = stage(linked_keys([df for df, _ in links.values()], key).join(wanted, key, "left_semi"))
+    wanted = ids.select(key).distinct()
+    blocked = linked_keys([df for df, _ in links.values()], key).join(wanted, key, "left_semi")
     free = wanted.join(blocked, key, "left_anti")
     current = getattr(t, table)
     return Change({table: current.join(free, key, "left_anti").select(*current.columns)}, rejected=blocked)

@@ -31,7 +31,7 @@ def _pairs(t: Tables, emails: DataFrame, key: str, first_only: bool) -> DataFram
 def register_session_invitees(t: Tables, batches: DataFrame, strict: bool = True) -> Change:
     """Invite to sessions. With `strict`, a batch that names an unknown address adds nobody;
     the unknown addresses are the rejected rows either way."""
-    emails = stage(parse_email_lines(batches))
+    emails = parse_email_lines(batches)
     unknown = unknown_emails(t, emails)
     accepted = emails
     if strict:
@@ -42,7 +42,7 @@ def register_session_invitees(t: Tables, batches: DataFrame, strict: bool = True
 
 
 def register_session_attendance(t: Tables, batches: DataFrame) -> Change:
-    emails = stage(parse_email_lines(batches))
+    emails = parse_email_lines(batches)
     pairs = _pairs(t, emails, "id_sesion", first_only=False)
     return _added(
         t, "asistencia_sesion", new_pairs(pairs, t.asistencia_sesion), unknown_emails(t, emails)
@@ -50,7 +50,7 @@ def register_session_attendance(t: Tables, batches: DataFrame) -> Change:
 
 
 def _register_course(t: Tables, table: str, batches: DataFrame) -> Change:
-    emails = stage(parse_email_lines(batches, drop_cr=False))
+    emails = parse_email_lines(batches, drop_cr=False)
     pairs = _pairs(t, emails, "id_curso", first_only=True)
     return _added(t, table, new_pairs(pairs, getattr(t, table)), unknown_emails(t, emails))
 
@@ -67,7 +67,7 @@ def register_course_registrants(t: Tables, batches: DataFrame) -> Change:
 def register_class_attendance(t: Tables, batches: DataFrame, dedupe: bool = False) -> Change:
     """Record class attendance, once per address of a batch. Pairs already there are recorded
     again unless `dedupe`."""
-    emails = stage(parse_email_lines(batches))
+    emails = parse_email_lines(batches)
     resolved = resolve_members(t, emails).select("id_clase", "id_usuario")
     pairs = new_pairs(stage(resolved.distinct()), t.asistencia_clase) if dedupe else resolved
     return _added(t, "asistencia_clase", pairs, unknown_emails(t, emails))

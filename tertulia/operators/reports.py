@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
 from tertulia.plans.joins import count_links, zero_if_null
+from tertulia.plans.staging import stage
 from tertulia.sources.tables import Tables
 
 TOP = 10
@@ -129,7 +130,8 @@ def _participation(t: Tables, area: str | None) -> DataFrame:
     """Distinct sessions and runs per (address, area).
 
     A person is an address and area. Nearly always that is one member, whose id stands for the
-    person; members who share both are first mapped to the lowest of their ids.
+    person. Only if some members share both are they first mapped to the lowest of their ids; that
+    mapping is staged, so a small one is broadcast and the facts are shuffled for the count only.
     """
     shown_area = F.coalesce(F.col("area"), F.lit(NO_AREA))
     everyone = t.comunidad.select("id_usuario", "correo", "area")
@@ -141,13 +143,17 @@ def _participation(t: Tables, area: str | None) -> DataFrame:
     twins = people.where("_n > 1").select(
         F.col("correo").alias("_correo"), F.col("area").alias("_area"), "_persona"
     )
-    same = F.col("correo").eqNullSafe(F.col("_correo")) & F.col("area").eqNullSafe(F.col("_area"))
-    aliases = everyone.join(twins, same).select("id_usuario", "_persona")
+    aliases = None
+    if not twins.isEmpty():
+        same = F.col("correo").eqNullSafe(F.col("_correo")) & F.col("area").eqNullSafe(F.col("_area"))
+        aliases = stage(everyone.join(twins, same).select("id_usuario", "_persona"))
 
     def distinct_links(links: DataFrame, key: str, name: str) -> DataFrame:
-        person = F.coalesce(F.col("_persona"), F.col("id_usuario"))
-        mapped = links.select("id_usuario", key).join(aliases, "id_usuario", "left")
-        return mapped.groupBy(person.alias("_persona")).agg(F.countDistinct(key).alias(name))
+        person = F.col("id_usuario")
+        if aliases is not None:
+            links = links.join(aliases, "id_usuario", "left")
+            person = F.coalesce("_persona", "id_usuario")
+        return links.groupBy(person.alias("_persona")).agg(F.countDistinct(key).alias(name))
 
     sessions = distinct_links(t.asistencia_sesion, "id_sesion", "sesiones_asistidas")
     courses = distinct_links(t.registrados_curso, "id_curso", "cursos_inscritos")
@@ -239,20 +245,19 @@ def session_attendance_pct(t: Tables, id_sesion: int | None = None) -> DataFrame
 def class_attendance(t: Tables, id_curso: int | None = None) -> DataFrame:
     """Distinct attendees per run and class date, by date; classes on one date count as one.
 
-    Dates without attendance are joined on at the end, so that the join of the two large tables
-    is an inner one, which adaptive execution can split on either side.
+    Every class adds a row without an attendee, so that dates nobody attended count zero. The
+    join of the two large tables is thus an inner one, which adaptive execution splits on either
+    side when a class is very popular.
     """
     classes = where_equal(t.clase, "id_curso", id_curso)
+    attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")
+    held = classes.select("id_curso", "fecha", F.lit(None).cast("long").alias("id_usuario"))
     counts = (
-        t.asistencia_clase.join(classes, "id_clase")
+        attended.unionByName(held)
         .groupBy("id_curso", "fecha")
         .agg(F.countDistinct("id_usuario").alias("numero_asistentes"))
     )
-    dates = classes.select("id_curso", "fecha").distinct()
-    counted = counts.select(F.col("id_curso").alias("_c"), F.col("fecha").alias("_f"), "numero_asistentes")
-    same = F.col("id_curso").eqNullSafe(F.col("_c")) & F.col("fecha").eqNullSafe(F.col("_f"))
-    rows = dates.join(counted, same, "left")
-    return rows.select("id_curso", "fecha", *zero_if_null("numero_asistentes")).orderBy("id_curso", "fecha")
+    return counts.orderBy("id_curso", "fecha")
 
 
 # What depends on a member, session or run

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tertulia.operators.lookups import instructor_id, session_ids
 from tertulia.plans.joins import drop_keys, one_per_key
-from tertulia.plans.staging import stage
 from tertulia.sources.tables import Change, Tables
 
 HIT = "_cambia"
@@ -29,7 +28,7 @@ def _update(
     """
     current = getattr(t, table)
     single = one_per_key(changes, keys, order_col)
-    renamed = stage(single).select(
+    renamed = single.select(
         *keys, *[F.col(c).alias(f"n_{c}") for c in single.columns if c not in keys], F.lit(True).alias(HIT)
     )
     joined = current.join(renamed, list(keys), "left")
@@ -84,7 +83,7 @@ def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
 
     All sessions of a name are linked, each once; a row without a name just clears the run.
     """
-    links = stage(links.select("id_curso", "nombre_sesion").distinct())
+    links = links.select("id_curso", "nombre_sesion").distinct()
     kept = drop_keys(t.tiene_sesion, links, ["id_curso"], spread_by="id_sesion")
     named = links.join(session_ids(t, first_only=False), "nombre_sesion")
     new = named.select("id_curso", "id_sesion").distinct()

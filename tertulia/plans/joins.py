@@ -21,10 +21,15 @@ COPIES_PER_ARRAY = 100_000
 def without_match(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct `keys` of `rows` that `present` lacks, with the number of copies in `copias`.
 
-    Both sides collapse copies before they are shuffled, and the join reuses that shuffle.
+    An anti join of two large tables, done as one count over both: copies collapse before the
+    only shuffle, and neither side is sorted.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copias"))
-    return counted.join(present.select(*keys).distinct(), list(keys), "left_anti")
+    wanted = rows.select(*keys, F.lit(1).alias("_rows"), F.lit(0).alias("_present"))
+    held = present.dropna(subset=list(keys)).select(*keys, F.lit(0).alias("_rows"), F.lit(1).alias("_present"))
+    counted = wanted.unionByName(held).groupBy(*keys).agg(
+        F.sum("_rows").alias("copias"), F.max("_present").alias("_present")
+    )
+    return counted.where("_present = 0").drop("_present")
 
 
 def repeat_rows(df: DataFrame, count_col: str = "copias", index_col: str = "_copy") -> DataFrame:
@@ -67,28 +72,28 @@ def linked_keys(sources: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def new_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
-    """Distinct `pairs` that `existing` lacks.
+    """Those of the distinct `pairs` that `existing` lacks.
 
-    `existing` is cut down to the pairs at hand first. When these are few, that is a scan with a
-    broadcast and no shuffle of the large table; when they are many, each side is shuffled once.
+    `existing` is cut down to the pairs at hand first. When these are few, Catalyst moves that
+    semi join below the DISTINCT and the large table is scanned, not shuffled; when they are
+    many, copies in the large table collapse before its one shuffle.
     """
-    keys = pairs.columns
-    pairs = pairs.distinct()
-    held = existing.select(*keys).join(pairs, keys, "left_semi").distinct()
-    return pairs.join(held, keys, "left_anti")
+    held = existing.select(*pairs.columns).distinct().join(pairs, pairs.columns, "left_semi")
+    return pairs.join(held, pairs.columns, "left_anti")
 
 
 def one_per_key(changes: DataFrame, keys: Sequence[str], order_col: str | None) -> DataFrame:
     """One change row per key: the last by `order_col`, else an error when a key occurs twice."""
     rest = [c for c in changes.columns if c not in keys and c != order_col]
-    row = F.struct(*rest)
     if order_col:
+        row = F.struct(*rest)
         last = changes.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(order_col), row)).alias("_row"))
         return last.select(*keys, "_row.*")
-    grouped = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(row).alias("_row"))
+    grouped = changes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in rest]
+    )
     twice = F.raise_error(F.lit(f"two changes for one {', '.join(keys)}; name an order column"))
-    only = F.when(F.col("_n") > 1, twice).otherwise(F.col("_row"))
-    return grouped.select(*keys, only.alias("_row")).select(*keys, "_row.*")
+    return grouped.select(*keys, *[F.when(F.col("_n") > 1, twice).otherwise(F.col(c)).alias(c) for c in rest])
 
 
 def zero_if_null(*cols: str) -> list[Column]:

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tertulia-")
+
+
+def _folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return _own_folder()  # one machine, as in tests
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the folder the cluster names in spark.checkpoint.dir and read it back.
 
     This cuts the lineage, survives the loss of executors, and gives Catalyst the true size of
-    the rows, so a small batch is broadcast to a large table and a large one is not. Without
-    that setting `df` comes back as it is: the same rows, planned from estimates.
+    the rows, so a small batch is broadcast to a large table and a large one is not. It also
+    settles ids that depend on the present state of a table.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/tertulia-{uuid.uuid4().hex}"
+    path = f"{_folder(spark).rstrip('/')}/tertulia-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
