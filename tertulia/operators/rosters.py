@@ -7,6 +7,7 @@ the filter reaches the scan of the participation table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tertulia.operators.lookups import where_equal
 from tertulia.plans.joins import repeat_rows, without_match
@@ -71,16 +72,23 @@ def course_not_registered(t: Tables, id_curso: int | None = None) -> DataFrame:
 # One member's record
 
 
-def _members(t: Tables, correo: str | None) -> DataFrame:
-    return where_equal(t.comunidad, "correo", correo).select("id_usuario", "correo")
+def _of_members(t: Tables, links: DataFrame, correo: str | None) -> DataFrame:
+    """Links with the address of their member, or the links of one address.
+
+    The one member's id goes to the scan as a scalar, so no large table is shuffled. An address
+    held by two members is an error there.
+    """
+    if correo is None:
+        return links.join(t.comunidad.select("id_usuario", "correo"), "id_usuario")
+    member = t.comunidad.where(F.col("correo") == correo).select("id_usuario")
+    return links.where(links["id_usuario"] == member.scalar()).withColumn("correo", F.lit(correo))
 
 
-def _member_rows(t: Tables, links: DataFrame, correo: str | None) -> DataFrame:
-    """The links of all members, or of one: its id goes to the scan as a scalar, so no large
-    table is shuffled. An address held by two members is an error there."""
+def _missed(t: Tables, invited: DataFrame, present: DataFrame, key: str, correo: str | None) -> DataFrame:
     if correo is None:
-        return links
-    return links.where(links["id_usuario"] == _members(t, correo).select("id_usuario").scalar())
+        return _of_members(t, _absent(invited, present, key, None), None)
+    mine = (_of_members(t, links, correo) for links in (invited, present))
+    return _absent(*mine, key, None).withColumn("correo", F.lit(correo))
 
 
 def _runs(t: Tables, *cols: str) -> DataFrame:
@@ -89,30 +97,27 @@ def _runs(t: Tables, *cols: str) -> DataFrame:
 
 
 def member_sessions(t: Tables, correo: str | None = None) -> DataFrame:
-    attended = _member_rows(t, t.asistencia_sesion, correo).join(_members(t, correo), "id_usuario")
-    return attended.join(t.sesion, "id_sesion").select("correo", "nombre_sesion", "fecha_sesion")
+    attended = _of_members(t, t.asistencia_sesion, correo).join(t.sesion, "id_sesion")
+    return attended.select("correo", "nombre_sesion", "fecha_sesion")
 
 
 def member_courses(t: Tables, correo: str | None = None) -> DataFrame:
-    taken = _member_rows(t, t.registrados_curso, correo).drop("status")
-    runs = _runs(t, "fecha_inicio", "fecha_fin")
-    return taken.join(_members(t, correo), "id_usuario").join(runs, "id_curso").select(
+    taken = _of_members(t, t.registrados_curso, correo)
+    return taken.join(_runs(t, "fecha_inicio", "fecha_fin"), "id_curso").select(
         "correo", "nombre_curso", "fecha_inicio", "fecha_fin", "solicitud_aprobada", "curso_aprobado"
     )
 
 
 def member_missed_sessions(t: Tables, correo: str | None = None) -> DataFrame:
     """Sessions a member was invited to and missed."""
-    invited, came = (_member_rows(t, x, correo) for x in (t.invitacion_sesion, t.asistencia_sesion))
-    missed = _absent(invited, came, "id_sesion", None).join(_members(t, correo), "id_usuario")
+    missed = _missed(t, t.invitacion_sesion, t.asistencia_sesion, "id_sesion", correo)
     rows = missed.join(t.sesion, "id_sesion").select("correo", "nombre_sesion", "fecha_sesion", "copias")
     return repeat_rows(rows).drop("_copy")
 
 
 def member_missed_courses(t: Tables, correo: str | None = None) -> DataFrame:
     """Runs a member was invited to and did not register for."""
-    invited, taken = (_member_rows(t, x, correo) for x in (t.invitacion_curso, t.registrados_curso))
-    missed = _absent(invited, taken, "id_curso", None).join(_members(t, correo), "id_usuario")
+    missed = _missed(t, t.invitacion_curso, t.registrados_curso, "id_curso", correo)
     rows = missed.join(_runs(t, "fecha_inicio"), "id_curso").select(
         "correo", "nombre_curso", "fecha_inicio", "copias"
     )

@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from tertulia import SCHEMAS, Tables  # noqa: E402
+from tertulia.plans.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = local_session(8)
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stage")))
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def make(spark):
+    """Tables from lists of rows; a table that is not given is empty."""
+
+    def build(**rows: list[tuple]) -> Tables:
+        def read(name: str):
+            width = len(SCHEMAS[name])
+            full = [tuple(r) + (None,) * (width - len(r)) for r in rows.get(name, [])]
+            return spark.createDataFrame(full, SCHEMAS[name])
+
+        return Tables(read)
+
+    return build
+
+
+@pytest.fixture
+def rows(spark):
+    def read(df) -> list[tuple]:
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    return read

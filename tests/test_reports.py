@@ -1,0 +1,170 @@
+import datetime as dt
+
+import pytest
+
+from tertulia.functions.text import YEAR_FIRST
+from tertulia.operators import lookups, reports, rosters
+
+
+def member(i, area=None, correo=None):
+    return (i, f"n{i}", f"a{i}", correo or f"m{i}@x", True, None, area)
+
+
+def test_completions_by_session_and_once(make):
+    t = make(
+        comunidad=[member(1), member(2)],
+        asistencia_sesion=[(10, 1), (11, 1), (12, 1), (10, 99)],
+        registrados_curso=[(1, 1, True, True, True), (2, 1, True, True, True), (3, 1, True, True, None)],
+    )
+    summary = reports.engagement_summary(t).first().asDict()
+    assert summary == {
+        "total_usuarios": 2, "usuarios_participantes": 1, "usuarios_no_participantes": 1,
+        "sesiones_asistidas": 3, "cursos_inscritos": 3,
+        "cursos_completados": 6, "cursos_completados_unicos": 2,
+    }
+
+
+def test_empty_community(make, rows):
+    t = make(sesion=[(1, "S", dt.date(2024, 1, 1))], asistencia_sesion=[(1, 5), (1, 6)])
+    assert rows(reports.session_attendance_pct(t)) == [(1, "S", 2, None)]
+    assert reports.engagement_summary(t).first().total_usuarios == 0
+    assert reports.top_participants(t).count() == 0
+
+
+def test_gap_is_not_the_number_of_no_shows(make, rows):
+    t = make(
+        comunidad=[member(i) for i in (1, 2, 3)],
+        sesion=[(7, "S", None), (8, "T", None)],
+        invitacion_sesion=[(7, 1), (7, 2)],
+        asistencia_sesion=[(7, 2), (7, 3), (7, 50)],
+    )
+    funnel = {r.id_sesion: r for r in reports.session_funnel(t).collect()}
+    assert (funnel[7].invitados, funnel[7].asistentes, funnel[7].gap, funnel[7].no_asistieron) == (2, 2, 0, 1)
+    assert (funnel[8].invitados, funnel[8].asistentes, funnel[8].gap, funnel[8].no_asistieron) == (0, 0, 0, 0)
+    assert reports.session_funnel(t, 7).count() == 1
+    assert rows(rosters.session_no_shows(t)) == [(7, "n1", "a1", "m1@x")]
+    assert rows(rosters.session_no_shows(t, 8)) == []
+
+
+def test_twins_count_as_one_person(make, rows):
+    t = make(
+        comunidad=[member(1, correo="z@x"), member(2, correo="z@x"), member(3, "IT", "z@x")],
+        asistencia_sesion=[(1, 1), (1, 2), (2, 2), (1, 3), (1, 3)],
+        registrados_curso=[(5, 1), (5, 2)],
+    )
+    assert [tuple(r) for r in reports.top_participants(t).collect()] == [
+        ("z@x", "Sin área", 2, 1, 3),
+        ("z@x", "IT", 1, 0, 1),
+    ]
+
+
+def test_top_is_cut_by_address_on_ties(make):
+    t = make(comunidad=[member(i, "IT" if i % 2 else None) for i in range(1, 9)])
+    top = [r.correo for r in reports.top_participants(t, 3).collect()]
+    assert top == ["m1@x", "m2@x", "m3@x"]
+    assert [r.correo for r in reports.top_participants(t, 3, "Sin área").collect()] == ["m2@x", "m4@x", "m6@x"]
+    by_area = reports.top_participants_by_area(t, 2).collect()
+    assert sorted((r.area, r.puesto, r.correo) for r in by_area) == [
+        ("IT", 1, "m1@x"), ("IT", 2, "m3@x"), ("Sin área", 1, "m2@x"), ("Sin área", 2, "m4@x"),
+    ]
+
+
+def test_classes_on_one_date_are_merged(make, rows):
+    day = dt.date(2024, 5, 1)
+    t = make(
+        clase=[(1, 9, day), (2, 9, day), (3, 9, dt.date(2024, 4, 1)), (4, 8, day)],
+        asistencia_clase=[(1, 5), (1, 5), (2, 5), (2, 6)],
+    )
+    found = [tuple(r) for r in reports.class_attendance(t, 9).collect()]
+    assert found == [(9, dt.date(2024, 4, 1), 0), (9, day, 2)]
+    assert reports.class_attendance(t).count() == 3
+
+
+def test_invite_recommendations(make):
+    t = make(
+        comunidad=[member(1), member(2), member(3), member(4)],
+        asistencia_sesion=[(1, 1), (1, 2), (2, 2), (1, 3)],
+        registrados_curso=[(1, 3)],
+    )
+    found = [(r.correo, r.sesiones_asistidas) for r in reports.invite_recommendations(t).collect()]
+    assert found == [("m2@x", 2), ("m1@x", 1)]
+
+
+def test_course_labels(make, rows):
+    t = make(
+        catalogo_cursos=[(1, "SQL"), (2, None)],
+        curso=[
+            (1, 1, dt.date(2024, 2, 1), dt.date(2024, 2, 28)), (2, 1, None, dt.date(2024, 2, 28)),
+            (3, 2, None, None), (4, 9, None, None), (5, 1, dt.date(2024, 2, 1), dt.date(2024, 2, 28)),
+        ],
+    )
+    assert [r[2] for r in rows(lookups.course_labels(t))] == [
+        "SQL (01/02/2024 - 28/02/2024)", "SQL (Fecha no disponible)", "None (Fecha no disponible)",
+        "SQL (01/02/2024 - 28/02/2024)",
+    ]
+    label = "SQL (2024/02/01 - 2024/02/28)"
+    assert rows(lookups.course_by_label(t, label, YEAR_FIRST)) == [(label, 1)]
+
+
+def test_lookups_by_name(make, rows):
+    t = make(
+        sesion=[(4, "S"), (2, "S"), (3, "T")],
+        instructor=[(1, "Eva", "Sol"), (2, "Eva", "Sol"), (3, "Leo", None)],
+        comunidad=[member(1), (2, None, "b", "b@x")],
+        curso=[(1, 1, None, None, "P", None, "c")],
+        catalogo_cursos=[(1, "SQL"), (3, "SQL")],
+    )
+    assert rows(lookups.session_ids(t, "S")) == [("S", 2)]
+    assert rows(lookups.session_ids(t, "S", first_only=False)) == [("S", 2), ("S", 4)]
+    assert rows(lookups.instructor_id(t)) == [("Eva Sol", 1)]
+    assert [r[3] for r in rows(lookups.instructor_listing(t))] == ["Eva Sol", "Eva Sol", "Leo None"]
+    assert rows(lookups.catalog_id(t, "SQL")) == [("SQL", 1)]
+    assert rows(lookups.runs_of_course(t, "SQL")) == [("SQL", 1)]
+    assert [r.usuario for r in lookups.member_labels(t).orderBy("correo").collect()] == [
+        "None b : b@x", "n1 a1 : m1@x",
+    ]
+    assert rows(lookups.member_details(t, "b@x"))[0][:3] == (None, "b", "b@x")
+    assert [r[2] for r in rows(lookups.session_listing(t))] == ["S (ID: 2)", "T (ID: 3)", "S (ID: 4)"]
+    assert lookups.course_details(t, 1).first().caso_uso == "No"
+    assert lookups.course_row(t, 2).count() == 0
+
+
+@pytest.fixture
+def record(make):
+    return make(
+        comunidad=[member(1), member(2)],
+        sesion=[(1, "S", dt.date(2024, 1, 1)), (2, "T", None)],
+        catalogo_cursos=[(1, "SQL")],
+        curso=[(1, 1, dt.date(2024, 2, 1), None), (2, 1, None, None)],
+        invitacion_sesion=[(1, 1), (2, 1), (2, 2), (2, 2)],
+        asistencia_sesion=[(1, 1)],
+        invitacion_curso=[(1, 1), (2, 1)],
+        registrados_curso=[(2, 1, True, True, False)],
+    )
+
+
+def test_record_of_one_member(record, rows):
+    assert rows(rosters.member_sessions(record, "m1@x")) == [("m1@x", "S", dt.date(2024, 1, 1))]
+    assert rows(rosters.member_courses(record, "m1@x")) == [("m1@x", "SQL", None, None, True, False)]
+    assert rows(rosters.member_missed_sessions(record, "m1@x")) == [("m1@x", "T", None)]
+    assert rows(rosters.member_missed_courses(record, "m1@x")) == [("m1@x", "SQL", dt.date(2024, 2, 1))]
+    assert rows(rosters.member_missed_sessions(record, "m2@x")) == [("m2@x", "T", None)] * 2
+    assert rows(rosters.member_sessions(record, "nobody@x")) == []
+
+
+def test_an_address_of_two_members_is_an_error(make):
+    same = [member(1, correo="z@x"), member(2, correo="z@x")]
+    t = make(comunidad=same, asistencia_sesion=[(1, 1)], sesion=[(1, "S", None)])
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        rosters.member_sessions(t, "z@x").collect()
+
+
+def test_dependents(make, rows):
+    t = make(
+        comunidad=[member(1), member(2)],
+        invitacion_curso=[(1, 1), (2, 1)],
+        registrados_curso=[(1, 1)],
+        asistencia_clase=[(1, 2)],
+    )
+    assert rows(reports.member_dependents(t)) == [(1, 2, 1, 0, 0), (2, 0, 0, 0, 0)]
+    assert rows(reports.member_dependents(t, strict=True)) == [(1, 2, 1, 0, 0, 0), (2, 0, 0, 0, 0, 1)]
