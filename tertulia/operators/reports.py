@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
-from tertulia.plans.joins import count_links, zero_if_null
+from tertulia.plans.joins import count_links, without_match, zero_if_null
 from tertulia.plans.staging import stage
 from tertulia.sources.tables import Tables
 
@@ -85,29 +85,31 @@ def engagement_summary(t: Tables) -> DataFrame:
     `cursos_completados` counts a completed registration once per session its member attended,
     as joining both facts to the member does; `cursos_completados_unicos` counts it once.
     """
-    attended = t.asistencia_sesion.groupBy("id_usuario").agg(
-        F.count(F.lit(1)).alias("_asistencias"), F.count("id_sesion").alias("_sesiones")
+    def tagged(df: DataFrame, source: str, active: Column, completed: Column) -> DataFrame:
+        rows = df.where("id_usuario IS NOT NULL")
+        return rows.select(
+            "id_usuario", F.lit(source).alias("_de"), active.alias("_activo"), completed.alias("_completo")
+        )
+
+    completed = F.when(F.col("curso_aprobado"), 1).otherwise(0)
+    # Members and facts meet in one count per member, not in a join per fact.
+    rows = (
+        tagged(t.comunidad, "miembro", F.lit(False), F.lit(0))
+        .unionByName(tagged(t.asistencia_sesion, "sesion", F.col("id_sesion").isNotNull(), F.lit(0)))
+        .unionByName(tagged(t.registrados_curso, "curso", F.col("id_curso").isNotNull(), completed))
     )
-    taken = t.registrados_curso.groupBy("id_usuario").agg(
-        F.count("id_curso").alias("_cursos"), _sum_if("curso_aprobado").alias("_completados")
+    members = rows.groupBy("id_usuario").agg(
+        F.count(F.when(F.col("_de") == "miembro", 1)).alias("_filas"),
+        F.count(F.when(F.col("_de") == "sesion", 1)).alias("_asistencias"),
+        F.max("_activo").alias("_activo"),
+        F.sum("_completo").alias("_completados"),
     )
-    joined = (
-        t.comunidad.select("id_usuario").join(attended, "id_usuario", "left").join(taken, "id_usuario", "left")
-    )
-    active = (F.col("_sesiones") > 0) | (F.col("_cursos") > 0)
-    completed = F.coalesce(F.col("_completados"), F.lit(0).cast("long"))
-    per_session = F.greatest(F.coalesce(F.col("_asistencias"), F.lit(0)), F.lit(1))
-    # One row per id before the last aggregate, which then needs no DISTINCT.
-    members = joined.groupBy("id_usuario").agg(
-        F.max(active).alias("_activo"),
-        F.sum(completed * per_session).alias("_por_sesion"),
-        F.sum(completed).alias("_unicos"),
-    )
-    summary = members.agg(
+    per_session = F.col("_completados") * F.greatest("_asistencias", F.lit(1))
+    summary = members.where("_filas > 0").agg(
         F.count("id_usuario").alias("total_usuarios"),
         F.count(F.when(F.col("_activo"), F.col("id_usuario"))).alias("usuarios_participantes"),
-        F.sum("_por_sesion").alias("cursos_completados"),
-        F.sum("_unicos").alias("cursos_completados_unicos"),
+        F.sum(per_session * F.col("_filas")).alias("cursos_completados"),
+        F.sum("_completados").alias("cursos_completados_unicos"),
     )
     return summary.select(
         "total_usuarios",
@@ -148,21 +150,31 @@ def _participation(t: Tables, area: str | None) -> DataFrame:
         same = F.col("correo").eqNullSafe(F.col("_correo")) & F.col("area").eqNullSafe(F.col("_area"))
         aliases = stage(everyone.join(twins, same).select("id_usuario", "_persona"))
 
-    def distinct_links(links: DataFrame, key: str, name: str) -> DataFrame:
+    def links(df: DataFrame, key: str, source: str) -> DataFrame:
         person = F.col("id_usuario")
         if aliases is not None:
-            links = links.join(aliases, "id_usuario", "left")
+            df = df.join(aliases, "id_usuario", "left")
             person = F.coalesce("_persona", "id_usuario")
-        return links.groupBy(person.alias("_persona")).agg(F.countDistinct(key).alias(name))
+        rows = df.where(F.col(key).isNotNull())
+        return rows.select(person.alias("_persona"), F.lit(source).alias("_de"), F.col(key).alias("_id"))
 
-    sessions = distinct_links(t.asistencia_sesion, "id_sesion", "sesiones_asistidas")
-    courses = distinct_links(t.registrados_curso, "id_curso", "cursos_inscritos")
-    counted = people.join(sessions, "_persona", "left").join(courses, "_persona", "left")
-    both = counted.select(
+    # Distinct on all three columns, so that a very active person is spread over the tasks.
+    both = links(t.asistencia_sesion, "id_sesion", "sesion").unionByName(
+        links(t.registrados_curso, "id_curso", "curso")
+    )
+    counts = (
+        both.distinct()
+        .groupBy("_persona")
+        .agg(
+            F.count(F.when(F.col("_de") == "sesion", 1)).alias("sesiones_asistidas"),
+            F.count(F.when(F.col("_de") == "curso", 1)).alias("cursos_inscritos"),
+        )
+    )
+    ranked = people.join(counts, "_persona", "left").select(
         "correo", shown_area.alias("area"), *zero_if_null("sesiones_asistidas", "cursos_inscritos")
     )
     total = F.col("sesiones_asistidas") + F.col("cursos_inscritos")
-    return both.withColumn("participacion_total", total)
+    return ranked.withColumn("participacion_total", total)
 
 
 def top_participants(t: Tables, n: int = TOP, area: str | None = None) -> DataFrame:
@@ -181,14 +193,12 @@ def top_participants_by_area(t: Tables, n: int = TOP) -> DataFrame:
 
 def invite_recommendations(t: Tables) -> DataFrame:
     """Members who attended a session and never registered for a course, most active first."""
-    attended = t.asistencia_sesion.groupBy("id_usuario").agg(F.count("id_usuario").alias("_n"))
-    registered = t.registrados_curso.select("id_usuario").distinct()
-    candidates = attended.join(registered, "id_usuario", "left_anti")
+    candidates = without_match(t.asistencia_sesion, t.registrados_curso, ["id_usuario"])
     people = t.comunidad.select("id_usuario", "nombre", "apellido", "correo")
     counted = (
         candidates.join(people, "id_usuario")
         .groupBy("nombre", "apellido", "correo")
-        .agg(F.sum("_n").alias("sesiones_asistidas"))
+        .agg(F.sum("copias").alias("sesiones_asistidas"))
     )
     return counted.orderBy(F.desc("sesiones_asistidas"), "correo", "nombre", "apellido")
 
@@ -291,21 +301,16 @@ def course_links(t: Tables, strict: bool = False) -> dict[str, tuple[DataFrame,
     return links | more if strict else links
 
 
-def _dependents(entities: DataFrame, links: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame:
-    counts = count_links(links, key)
-    return entities.select(key).join(counts, key, "left").select(key, *zero_if_null(*links))
-
-
 def member_dependents(t: Tables, strict: bool = False) -> DataFrame:
     """Rows that refer to each member. `strict` also counts class attendance."""
-    return _dependents(t.comunidad, member_links(t, strict), "id_usuario")
+    return count_links(t.comunidad, member_links(t, strict), "id_usuario")
 
 
 def session_dependents(t: Tables, strict: bool = False) -> DataFrame:
     """Rows that refer to each session. `strict` also counts links to runs."""
-    return _dependents(t.sesion, session_links(t, strict), "id_sesion")
+    return count_links(t.sesion, session_links(t, strict), "id_sesion")
 
 
 def course_dependents(t: Tables, strict: bool = False) -> DataFrame:
     """Rows that refer to each run. `strict` also counts links to sessions and instructors."""
-    return _dependents(t.curso, course_links(t, strict), "id_curso")
+    return count_links(t.curso, course_links(t, strict), "id_curso")

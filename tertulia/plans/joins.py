@@ -57,13 +57,19 @@ def drop_keys(rows: DataFrame, gone: DataFrame, keys: Sequence[str], spread_by:
     return salted.join(gone, [*keys, "_salt"], "left_anti").drop("_salt")
 
 
-def count_links(sources: Mapping[str, tuple[DataFrame, str]], key: str) -> DataFrame:
-    """Rows per key in each of several tables: one pass, one shuffle of partial counts."""
+def count_links(entities: DataFrame, sources: Mapping[str, tuple[DataFrame, str]], key: str) -> DataFrame:
+    """For each key of `entities`, its rows in each of several tables.
+
+    The entities are counted along with the tables, so one shuffle of partial counts does the
+    work of a join per table.
+    """
+    tables = {"_entity": (entities, key), **sources}
     tagged = [
-        df.select(F.col(col).alias(key), F.lit(name).alias("_source")) for name, (df, col) in sources.items()
+        df.select(F.col(col).alias(key), F.lit(name).alias("_source")) for name, (df, col) in tables.items()
     ]
-    counts = [F.count(F.when(F.col("_source") == name, 1)).alias(name) for name in sources]
-    return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*counts)
+    counts = [F.count(F.when(F.col("_source") == name, 1)).alias(name) for name in tables]
+    counted = reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*counts)
+    return counted.where("_entity > 0").drop("_entity")
 
 
 def linked_keys(sources: Sequence[DataFrame], key: str) -> DataFrame:
