@@ -16,7 +16,7 @@ from tertulia.sources.tables import Tables
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 TABLES: dict[str, str] = {
-    # Members; those of the second half have no activity.
+    # Members; those after UNION ALL have no activity.
     "comunidad": """
 SELECT c_custkey AS id_usuario,
        CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_mktsegment END AS nombre,
@@ -37,7 +37,7 @@ SELECT CAST(n_nationkey AS BIGINT) AS id_instructor, n_name AS nombre_instructor
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "catalogo_cursos": """
 SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS id_catalogo, p_brand AS nombre_curso FROM part""",
-    # Runs; those of the second half have no classes, invitations or registrations.
+    # Runs; those after UNION ALL have no classes, invitations or registrations.
     "curso": """
 SELECT p_partkey AS id_curso, CAST(substr(p_brand, 7) AS BIGINT) AS id_catalogo,
        CASE WHEN p_size = 1 THEN NULL
@@ -53,7 +53,7 @@ UNION ALL
 SELECT CAST(1000000 + r_regionkey AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS DATE), CAST(NULL AS DATE),
        r_name, false, concat(lower(r_name), '@example.com')
 FROM region""",
-    # Sessions; those of the second half have no invitations or attendance.
+    # Sessions; those after UNION ALL have no invitations or attendance.
     "sesion": """
 SELECT s_suppkey AS id_sesion, s_name AS nombre_sesion,
        CAST(concat('2024-', lpad(CAST(1 + s_nationkey % 12 AS VARCHAR(2)), 2, '0'), '-15') AS DATE)

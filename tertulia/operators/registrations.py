@@ -36,7 +36,7 @@ def register_session_invitees(t: Tables, batches: DataFrame, strict: bool = True
     accepted = emails
     if strict:
         batch = [c for c in emails.columns if c != "correo"]
-        accepted = drop_keys(emails, unknown, batch, spread_by="correo")
+        accepted = drop_keys(emails, unknown, batch)
     pairs = _pairs(t, accepted, "id_sesion", first_only=False)
     return _added(t, "invitacion_sesion", new_pairs(pairs, t.invitacion_sesion), unknown)
 

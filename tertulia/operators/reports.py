@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
-from tertulia.plans.joins import count_links, without_match, zero_if_null
+from tertulia.plans.joins import as_represented, count_links, represent, without_match, zero_if_null
 from tertulia.plans.staging import stage
 from tertulia.sources.tables import Tables
 
@@ -129,34 +129,15 @@ def engagement_breakdown(t: Tables) -> DataFrame:
 
 
 def _participation(t: Tables, area: str | None) -> DataFrame:
-    """Distinct sessions and runs per (address, area).
-
-    A person is an address and area. Nearly always that is one member, whose id stands for the
-    person. Only if some members share both are they first mapped to the lowest of their ids; that
-    mapping is staged, so a small one is broadcast and the facts are shuffled for the count only.
-    """
+    """Distinct sessions and runs per person; a person is an address and area, nearly always one
+    member."""
     shown_area = F.coalesce(F.col("area"), F.lit(NO_AREA))
-    everyone = t.comunidad.select("id_usuario", "correo", "area")
-    people = (
-        where_equal(everyone, shown_area, area)
-        .groupBy("correo", "area")
-        .agg(F.min("id_usuario").alias("_persona"), F.count(F.lit(1)).alias("_n"))
-    )
-    twins = people.where("_n > 1").select(
-        F.col("correo").alias("_correo"), F.col("area").alias("_area"), "_persona"
-    )
-    aliases = None
-    if not twins.isEmpty():
-        same = F.col("correo").eqNullSafe(F.col("_correo")) & F.col("area").eqNullSafe(F.col("_area"))
-        aliases = stage(everyone.join(twins, same).select("id_usuario", "_persona"))
+    members = where_equal(t.comunidad.select("id_usuario", "correo", "area"), shown_area, area)
+    people, others = represent(members, "id_usuario", ["correo", "area"])
 
     def links(df: DataFrame, key: str, source: str) -> DataFrame:
-        person = F.col("id_usuario")
-        if aliases is not None:
-            df = df.join(aliases, "id_usuario", "left")
-            person = F.coalesce("_persona", "id_usuario")
-        rows = df.where(F.col(key).isNotNull())
-        return rows.select(person.alias("_persona"), F.lit(source).alias("_de"), F.col(key).alias("_id"))
+        rows = as_represented(df.where(F.col(key).isNotNull()), "id_usuario", others)
+        return rows.select("_rep", F.lit(source).alias("_de"), F.col(key).alias("_id"))
 
     # Distinct on all three columns, so that a very active person is spread over the tasks.
     both = links(t.asistencia_sesion, "id_sesion", "sesion").unionByName(
@@ -164,17 +145,17 @@ def _participation(t: Tables, area: str | None) -> DataFrame:
     )
     counts = (
         both.distinct()
-        .groupBy("_persona")
+        .groupBy("_rep")
         .agg(
             F.count(F.when(F.col("_de") == "sesion", 1)).alias("sesiones_asistidas"),
             F.count(F.when(F.col("_de") == "curso", 1)).alias("cursos_inscritos"),
         )
     )
-    ranked = people.join(counts, "_persona", "left").select(
+    counted = people.join(counts, "_rep", "left").select(
         "correo", shown_area.alias("area"), *zero_if_null("sesiones_asistidas", "cursos_inscritos")
     )
     total = F.col("sesiones_asistidas") + F.col("cursos_inscritos")
-    return ranked.withColumn("participacion_total", total)
+    return counted.withColumn("participacion_total", total)
 
 
 def top_participants(t: Tables, n: int = TOP, area: str | None = None) -> DataFrame:
@@ -257,9 +238,9 @@ def class_attendance(t: Tables, id_curso: int | None = None) -> DataFrame:
 
     Every class adds a row without an attendee, so that dates nobody attended count zero. The
     join of the two large tables is thus an inner one, which adaptive execution splits on either
-    side when a class is very popular.
+    side when a class is very popular. The classes of one run are staged, to be broadcast.
     """
-    classes = where_equal(t.clase, "id_curso", id_curso)
+    classes = t.clase if id_curso is None else stage(where_equal(t.clase, "id_curso", id_curso))
     attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")
     held = classes.select("id_curso", "fecha", F.lit(None).cast("long").alias("id_usuario"))
     counts = (

@@ -84,7 +84,7 @@ def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
     All sessions of a name are linked, each once; a row without a name just clears the run.
     """
     links = links.select("id_curso", "nombre_sesion").distinct()
-    kept = drop_keys(t.tiene_sesion, links, ["id_curso"], spread_by="id_sesion")
+    kept = drop_keys(t.tiene_sesion, links, ["id_curso"])
     named = links.join(session_ids(t, first_only=False), "nombre_sesion")
     new = named.select("id_curso", "id_sesion").distinct()
     return Change({"tiene_sesion": kept.unionByName(new)})

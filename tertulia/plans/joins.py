@@ -1,20 +1,22 @@
 """Joins and counts that hold up when one key has a large share of the rows.
 
 Joins of a raw table with a raw table are left to adaptive execution, which splits the skewed
-partitions of either side. It cannot do so where one side is an aggregate, so those joins go
-through the helpers below. No helper hints a broadcast: Catalyst takes one where the size it
-knows allows it.
+partitions of either side. It cannot do so where one side is an aggregate; the helpers below count
+instead of joining there, or stage the aggregate. No helper hints a broadcast: Catalyst takes one
+where the size it knows allows it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+from tertulia.plans.staging import stage
+
 COPIES_PER_ARRAY = 100_000
 
 
@@ -45,16 +47,37 @@ def repeat_rows(df: DataFrame, count_col: str = "copias", index_col: str = "_cop
     return blocks.select(*keep, F.explode(F.sequence(block, last)).alias(index_col))
 
 
-def drop_keys(rows: DataFrame, gone: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
+def represent(entities: DataFrame, key: str, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The groups of `entities`, each with the lowest of its ids in `_rep`, and the other ids.
+
+    For counting over a group that nearly always is one entity: the id stands for the group, and
+    facts need no join to find their group. Only where groups of several exist does the second
+    value map the other ids, `key`, to `_rep`; it is staged, so a small one is broadcast.
+    """
+    lowest, size = F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_n")
+    groups = entities.groupBy(*group).agg(lowest, size)
+    several = groups.where("_n > 1").select("_rep", *[F.col(c).alias(f"_{c}") for c in group])
+    if several.isEmpty():
+        return groups.drop("_n"), None
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    others = entities.join(several, same).where(F.col(key) != F.col("_rep")).select(key, "_rep")
+    return groups.drop("_n"), stage(others)
+
+
+def as_represented(facts: DataFrame, key: str, others: DataFrame | None) -> DataFrame:
+    """`facts` with the id that stands for the group of `key` in `_rep`."""
+    if others is None:
+        return facts.withColumn("_rep", F.col(key))
+    return facts.join(others, key, "left").withColumn("_rep", F.coalesce("_rep", key))
+
+
+def drop_keys(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose `keys` are not in `gone`.
 
-    One key may cover a third of `rows`, so the join key carries a salt taken from `spread_by`;
-    the other side holds each key once per salt.
+    The keys to drop are staged: few are broadcast, and with many of them a key that covers a
+    third of `rows` is split, as both sides of the join come straight from a shuffle.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    gone = gone.select(*keys).distinct().withColumn("_salt", salts)
-    salted = rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
-    return salted.join(gone, [*keys, "_salt"], "left_anti").drop("_salt")
+    return rows.join(stage(gone.select(*keys).distinct()), list(keys), "left_anti")
 
 
 def count_links(entities: DataFrame, sources: Mapping[str, tuple[DataFrame, str]], key: str) -> DataFrame:

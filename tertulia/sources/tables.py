@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tertulia.schemas import SCHEMAS
 
@@ -61,18 +62,22 @@ def load_tables(
                  upperBound and numPartitions in `table_options`, or one task reads each
     otherwise    a file format; `location` is the folder that holds one folder per table
 
-    `paths` names another path for single tables, such as a newer snapshot.
+    `paths` names another path for single tables, such as a newer snapshot. Tables that bring their
+    own column names and types, as those of a warehouse do, are cast to the declared ones.
     """
     options = dict(options or {})
     table_options = table_options or {}
     paths = paths or {}
 
+    def declared(name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+
     def read(name: str) -> DataFrame:
         if fmt == "table":
-            return spark.table(f"{location}.{name}")
+            return declared(name, spark.table(f"{location}.{name}"))
         reader = spark.read.format(fmt).options(**options).options(**table_options.get(name, {}))
         if fmt == "jdbc":
-            return reader.option("url", location).option("dbtable", paths.get(name, name)).load()
+            return declared(name, reader.option("url", location).option("dbtable", paths.get(name, name)).load())
         return reader.schema(SCHEMAS[name]).load(paths.get(name, f"{location.rstrip('/')}/{name}"))
 
     return Tables(read)

@@ -136,13 +136,22 @@ def test_a_hot_key_is_split(spark, skewed, report):
     assert split == report(skewed).count()
 
 
-def test_a_dropped_key_is_spread_over_salts(spark):
-    rows = spark.range(3200).select(F.floor(F.col("id") / 5000).cast("int").alias("k"), F.col("id").alias("v"))
-    gone = spark.createDataFrame([(0,), (0,)], "k int")
-    assert drop_keys(rows, gone, ["k"], "v").count() == 0
-    assert drop_keys(rows, gone.where("k = 2"), ["k"], "v").count() == 3200
+def test_a_hot_key_is_split_when_dropped(spark):
+    third = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    rows = spark.range(0, HOT_ROWS, 1, 8).select(third.alias("k"), F.col("id").alias("v"))
+    gone = spark.range(1, 5000).select(F.col("id").alias("k"))
+    left = HOT_ROWS - 4999 + 4999 // 3
+    assert drop_keys(rows, gone, ["k"]).count() == left
+    with settings(spark, **NO_BROADCAST, **SMALL_PARTITIONS):
+        df = drop_keys(rows, gone, ["k"])
+        assert "skew=true" in plan_of(df, final=True)
+        assert df.count() == left
+
+
+def test_top_per_area_is_cut_before_the_shuffle(spark, stored):
     with settings(spark, **NO_BROADCAST):
-        assert re.search(r"Exchange hashpartitioning\(k#\d+, _salt", plan_of(drop_keys(rows, gone, ["k"], "v")))
+        plan = plan_of(reports.top_participants_by_area(stored))
+    assert re.search(r"WindowGroupLimit.*Final.*Exchange hashpartitioning\(area.*WindowGroupLimit.*Partial", plan, re.S)
 
 
 def test_copies_come_back_in_bounded_arrays(spark):
@@ -163,3 +172,27 @@ def test_snapshots_are_never_overwritten(spark, stored, tmp_path):
     append_rows(stored.sesion, path)
     again = load_tables(spark, "unused", paths={"sesion": path})
     assert again.sesion.count() == 2 * stored.sesion.count()
+
+
+def test_warehouse_tables_are_cast_to_the_declared_types(spark, tmp_path):
+    columns = ["CAST(7 AS DECIMAL(38, 0)) AS ID_CURSO", "CAST(8 AS DECIMAL(38, 0)) AS ID_SESION", "1 AS MORE"]
+    table = spark.range(1).selectExpr(*columns)
+    table.write.option("path", str(tmp_path / "t")).saveAsTable("default.tiene_sesion")
+    try:
+        found = load_tables(spark, "default", fmt="table").tiene_sesion
+        assert found.schema == SCHEMAS["tiene_sesion"]
+        assert found.first() == (7, 8)
+    finally:
+        spark.sql("DROP TABLE default.tiene_sesion")
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from tertulia.plans import staging
+
+    class Cluster:
+        conf = {"spark.master": "yarn"}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging._folder(Cluster)
+    Cluster.conf = {"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///ck"}
+    assert staging._folder(Cluster) == "hdfs:///ck"
