@@ -64,8 +64,9 @@ FROM supplier
 UNION ALL
 SELECT CAST(1000000 + r_regionkey AS BIGINT), r_name, CAST('2024-12-31' AS DATE), NULL FROM region""",
     "clase": """
-SELECT l_orderkey AS id_clase, min(l_partkey) AS id_curso, CAST(min(o_orderdate) AS DATE) AS fecha
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""",
+SELECT l_orderkey AS id_clase, id_curso, CAST(o_orderdate AS DATE) AS fecha
+FROM (SELECT l_orderkey, min(l_partkey) AS id_curso FROM lineitem GROUP BY l_orderkey) AS lineas
+JOIN orders ON l_orderkey = o_orderkey""",
     "tiene_sesion": """
 SELECT DISTINCT l_partkey AS id_curso, l_suppkey AS id_sesion FROM lineitem WHERE l_linenumber = 1""",
     "imparte": """

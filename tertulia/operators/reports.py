@@ -16,6 +16,7 @@ from tertulia.plans.staging import stage
 from tertulia.sources.tables import Tables
 
 TOP = 10
+MEMBER, SESSION, COURSE = 0, 1, 2  # where a row of several tables in one comes from
 
 
 def _sum_if(flag: str) -> Column:
@@ -85,7 +86,7 @@ def engagement_summary(t: Tables) -> DataFrame:
     `cursos_completados` counts a completed registration once per session its member attended,
     as joining both facts to the member does; `cursos_completados_unicos` counts it once.
     """
-    def tagged(df: DataFrame, source: str, active: Column, completed: Column) -> DataFrame:
+    def tagged(df: DataFrame, source: int, active: Column, completed: Column) -> DataFrame:
         rows = df.where("id_usuario IS NOT NULL")
         return rows.select(
             "id_usuario", F.lit(source).alias("_de"), active.alias("_activo"), completed.alias("_completo")
@@ -94,13 +95,13 @@ def engagement_summary(t: Tables) -> DataFrame:
     completed = F.when(F.col("curso_aprobado"), 1).otherwise(0)
     # Members and facts meet in one count per member, not in a join per fact.
     rows = (
-        tagged(t.comunidad, "miembro", F.lit(False), F.lit(0))
-        .unionByName(tagged(t.asistencia_sesion, "sesion", F.col("id_sesion").isNotNull(), F.lit(0)))
-        .unionByName(tagged(t.registrados_curso, "curso", F.col("id_curso").isNotNull(), completed))
+        tagged(t.comunidad, MEMBER, F.lit(False), F.lit(0))
+        .unionByName(tagged(t.asistencia_sesion, SESSION, F.col("id_sesion").isNotNull(), F.lit(0)))
+        .unionByName(tagged(t.registrados_curso, COURSE, F.col("id_curso").isNotNull(), completed))
     )
     members = rows.groupBy("id_usuario").agg(
-        F.count(F.when(F.col("_de") == "miembro", 1)).alias("_filas"),
-        F.count(F.when(F.col("_de") == "sesion", 1)).alias("_asistencias"),
+        F.count(F.when(F.col("_de") == MEMBER, 1)).alias("_filas"),
+        F.count(F.when(F.col("_de") == SESSION, 1)).alias("_asistencias"),
         F.max("_activo").alias("_activo"),
         F.sum("_completo").alias("_completados"),
     )
@@ -135,20 +136,20 @@ def _participation(t: Tables, area: str | None) -> DataFrame:
     members = where_equal(t.comunidad.select("id_usuario", "correo", "area"), shown_area, area)
     people, others = represent(members, "id_usuario", ["correo", "area"])
 
-    def links(df: DataFrame, key: str, source: str) -> DataFrame:
+    def links(df: DataFrame, key: str, source: int) -> DataFrame:
         rows = as_represented(df.where(F.col(key).isNotNull()), "id_usuario", others)
         return rows.select("_rep", F.lit(source).alias("_de"), F.col(key).alias("_id"))
 
     # Distinct on all three columns, so that a very active person is spread over the tasks.
-    both = links(t.asistencia_sesion, "id_sesion", "sesion").unionByName(
-        links(t.registrados_curso, "id_curso", "curso")
+    both = links(t.asistencia_sesion, "id_sesion", SESSION).unionByName(
+        links(t.registrados_curso, "id_curso", COURSE)
     )
     counts = (
         both.distinct()
         .groupBy("_rep")
         .agg(
-            F.count(F.when(F.col("_de") == "sesion", 1)).alias("sesiones_asistidas"),
-            F.count(F.when(F.col("_de") == "curso", 1)).alias("cursos_inscritos"),
+            F.count(F.when(F.col("_de") == SESSION, 1)).alias("sesiones_asistidas"),
+            F.count(F.when(F.col("_de") == COURSE, 1)).alias("cursos_inscritos"),
         )
     )
     counted = people.join(counts, "_rep", "left").select(

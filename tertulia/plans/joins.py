@@ -88,9 +88,10 @@ def count_links(entities: DataFrame, sources: Mapping[str, tuple[DataFrame, str]
     """
     tables = {"_entity": (entities, key), **sources}
     tagged = [
-        df.select(F.col(col).alias(key), F.lit(name).alias("_source")) for name, (df, col) in tables.items()
+        df.select(F.col(col).alias(key), F.lit(i).alias("_source"))
+        for i, (df, col) in enumerate(tables.values())
     ]
-    counts = [F.count(F.when(F.col("_source") == name, 1)).alias(name) for name in tables]
+    counts = [F.count(F.when(F.col("_source") == i, 1)).alias(name) for i, name in enumerate(tables)]
     counted = reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*counts)
     return counted.where("_entity > 0").drop("_entity")
 
