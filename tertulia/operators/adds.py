@@ -98,8 +98,9 @@ def add_courses(t: Tables, rows: DataFrame) -> Change:
     correo_contacto, sesiones (array of session names) and instructor (full name). Links go to
     the id given to that very run. A run without a name or a date, or of a course that is not in
     the catalogue, is rejected; names of sessions and instructors that do not exist add no link.
+    The lists of names are staged, so that a name most runs use can be split between tasks.
     """
-    catalog = catalog_id(t)
+    catalog = stage(catalog_id(t))
     valid, invalid = _split(rows, ["nombre_curso", "fecha_inicio", "fecha_fin"])
     rejected = invalid.unionByName(valid.join(catalog, "nombre_curso", "left_anti").select(*rows.columns))
     named = valid.join(catalog, "nombre_curso").select("id_catalogo", *rows.columns)
@@ -109,10 +110,10 @@ def add_courses(t: Tables, rows: DataFrame) -> Change:
     added = {
         "curso": runs.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS["curso"]]),
         "tiene_sesion": runs.select("id_curso", F.explode("sesiones").alias("nombre_sesion"))
-        .join(session_ids(t), "nombre_sesion")
+        .join(stage(session_ids(t)), "nombre_sesion")
         .select("id_curso", "id_sesion"),
         "imparte": runs.select("id_curso", F.col("instructor").alias("nombre_completo"))
-        .join(instructor_id(t), "nombre_completo")
+        .join(stage(instructor_id(t)), "nombre_completo")
         .select("id_instructor", "id_curso"),
     }
     return Change({name: getattr(t, name).unionByName(df) for name, df in added.items()}, added, rejected)

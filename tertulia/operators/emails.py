@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tertulia.functions.text import email_of_line, email_of_recipient, normal_email, strip
+from tertulia.plans.staging import stage
 from tertulia.sources.tables import Tables
 
 
@@ -52,10 +53,12 @@ def resolve_members(
 ) -> DataFrame:
     """`emails` with the member's id. Of members that share an address, the lowest id, or all.
 
-    The lowest id is taken after the join, so a short list is broadcast to the members and an
-    address that many batches name can be split between tasks.
+    The lowest ids of the addresses at hand are staged before the join, so an address that many
+    members share is never paired with every batch that names it.
     """
-    found = emails.join(_member_emails(t, normalize), "correo").select(*emails.columns, "id_usuario")
-    if not first_only:
-        return found
-    return found.groupBy(*emails.columns).agg(F.min("id_usuario").alias("id_usuario"))
+    members = _member_emails(t, normalize)
+    if first_only:
+        wanted = emails.select("correo").distinct()
+        lowest = members.groupBy("correo").agg(F.min("id_usuario").alias("id_usuario"))
+        members = stage(lowest.join(wanted, "correo", "left_semi"))
+    return emails.join(members, "correo").select(*emails.columns, "id_usuario")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tertulia.operators.lookups import instructor_id, session_ids
 from tertulia.plans.joins import drop_keys, one_per_key
+from tertulia.plans.staging import stage
 from tertulia.sources.tables import Change, Tables
 
 HIT = "_cambia"
@@ -18,16 +19,14 @@ def _update(
     t: Tables,
     table: str,
     keys: Sequence[str],
-    changes: DataFrame,
+    single: DataFrame,
     new_values: Mapping[str, Column],
-    order_col: str | None = None,
 ) -> DataFrame:
-    """`table` with `new_values` in the rows that a change names.
+    """`table` with `new_values` in the rows that a change names; `single` has one change per key.
 
     `new_values` may use the columns of the change, which carry the prefix `n_`.
     """
     current = getattr(t, table)
-    single = one_per_key(changes, keys, order_col)
     renamed = single.select(
         *keys, *[F.col(c).alias(f"n_{c}") for c in single.columns if c not in keys], F.lit(True).alias(HIT)
     )
@@ -64,18 +63,22 @@ def update_members(
     values |= {c: F.nullif(F.col(c), F.lit("")) for c in profile}
     if not keep_profile:
         values |= _keep_old(*_given(changes, *profile))
-    return Change({"comunidad": _update(t, "comunidad", ["correo"], changes, values, order_col)})
+    # Staged: many members may share an address, and a join with a stored table can be split.
+    single = stage(one_per_key(changes, ["correo"], order_col))
+    return Change({"comunidad": _update(t, "comunidad", ["correo"], single, values)})
 
 
 def update_sessions(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
     values = _keep_old(*_given(changes, "nombre_sesion", "fecha_sesion", "link_sesion_informativa"))
-    return Change({"sesion": _update(t, "sesion", ["id_sesion"], changes, values, order_col)})
+    single = one_per_key(changes, ["id_sesion"], order_col)
+    return Change({"sesion": _update(t, "sesion", ["id_sesion"], single, values)})
 
 
 def update_courses(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
     fields = ["fecha_inicio", "fecha_fin", "proveedor", "requiere_caso_uso", "correo_contacto"]
     values = _keep_old(*_given(changes, *fields))
-    return Change({"curso": _update(t, "curso", ["id_curso"], changes, values, order_col)})
+    single = one_per_key(changes, ["id_curso"], order_col)
+    return Change({"curso": _update(t, "curso", ["id_curso"], single, values)})
 
 
 def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
@@ -96,11 +99,12 @@ def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = N
     A run nobody teaches gets no row; a name that is not found changes nothing and is rejected.
     """
     named = changes.withColumnRenamed("instructor", "nombre_completo")
-    found = named.join(instructor_id(t), "nombre_completo").drop("nombre_completo")
-    unknown = named.join(instructor_id(t), "nombre_completo", "left_anti")
-    values = _keep_old("id_instructor")
+    instructors = stage(instructor_id(t))
+    found = named.join(instructors, "nombre_completo").drop("nombre_completo")
+    unknown = named.join(instructors, "nombre_completo", "left_anti")
+    single = stage(one_per_key(found, ["id_curso"], order_col))
     return Change(
-        {"imparte": _update(t, "imparte", ["id_curso"], found, values, order_col)},
+        {"imparte": _update(t, "imparte", ["id_curso"], single, _keep_old("id_instructor"))},
         rejected=unknown.withColumnRenamed("nombre_completo", "instructor").select(*changes.columns),
     )
 
@@ -108,5 +112,6 @@ def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = N
 def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
     """Set status and completion of registrants, by run and member; a missing flag means no."""
     values = {c: F.coalesce(f"n_{c}", F.lit(False)) for c in ("status", "curso_aprobado")}
-    state = _update(t, "registrados_curso", ["id_curso", "id_usuario"], changes, values, order_col)
-    return Change({"registrados_curso": state})
+    keys = ["id_curso", "id_usuario"]
+    single = one_per_key(changes, keys, order_col)
+    return Change({"registrados_curso": _update(t, "registrados_curso", keys, single, values)})

@@ -60,7 +60,7 @@ def represent(entities: DataFrame, key: str, group: Sequence[str]) -> tuple[Data
     if several.isEmpty():
         return groups.drop("_n"), None
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
-    others = entities.join(several, same).where(F.col(key) != F.col("_rep")).select(key, "_rep")
+    others = entities.join(stage(several), same).where(F.col(key) != F.col("_rep")).select(key, "_rep")
     return groups.drop("_n"), stage(others)
 
 
