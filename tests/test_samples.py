@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as driver
+from samples.oracle import ORACLE
+from samples.queries import QUERIES
 from samples.views import Samples
 from tests.check import connect, differences
 
@@ -15,10 +17,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     found = differences(spark, duck, SF, name)
     # At this scale every session of the samples may be named by a batch with an unknown address.
