@@ -27,6 +27,7 @@ MEASURES = (
     "n_lines long, n_letters long, n_upper long, n_shouted long, top_word long"
 )
 _SYMBOLS = b"#*$%&|<>"
+_LOWER, _UPPER = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -51,20 +52,16 @@ def repeated_words(words: Sequence[bytes], width: int = 3) -> int:
 
 
 def measure(text: str | None) -> tuple[int, ...]:
-    """The figures of MEASURES for one whole text; all zero for a missing or empty one."""
+    """The figures of MEASURES for one whole text; all zero for a missing or empty one.
+
+    Letters are those of ASCII, counted for the share of capitals.
+    """
     if not text:
         return (0,) * 10
     raw = text.encode()
     words = raw.split()
     lines = [line for line in raw.split(b"\n") if line.strip()]
     joined = b"".join(words)
-    letters = sum(map(str.isalpha, text)) if len(joined) != len(text) and not text.isascii() else None
-    if letters is None:
-        lower = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-        upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        letters = lower + upper
-    else:
-        upper = sum(map(str.isupper, text))
     return (
         len(words),
         len(joined.translate(None, _CONTINUATION)),
@@ -72,8 +69,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
-        letters,
-        upper,
+        len(raw) - len(raw.translate(None, _LOWER + _UPPER)),
+        len(raw) - len(raw.translate(None, _UPPER)),
         raw.count(b"!!"),
         max(Counter(words).values(), default=0),
     )
