@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tertulia.llm
-from tertulia.llm import licenses, packing, quality
+from tertulia.llm import licenses, packing, pii, quality
 
 # Workers need not have this repository on their path.
 cloudpickle.register_pickle_by_value(tertulia.llm)
@@ -49,9 +49,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("spans"), k.name).alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(pii.written(F.filter("spans", pii.is_base)), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op9_pii": op9_pii,
 }
 ORACLE: dict[str, str] = {}
