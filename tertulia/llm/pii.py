@@ -14,15 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.columns import let
+
 CHUNK = 128
 NEAR = 40  # characters on either side of a span that are searched for context words
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)`, with `value` computed once however often and deep `use` refers to it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def running_sums(steps: Column) -> Column:
     """Sums of the first 1, 2, ... elements. Made in chunks, since appending copies the array."""
 

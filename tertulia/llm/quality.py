@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tertulia.llm.words import split_words
+from tertulia.llm.columns import free_name
+from tertulia.plans.staging import stage
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -186,8 +187,7 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, rules: Se
     goes; equal rows are judged alike and all stay or all go; no rows give no rows. The text is
     measured twice, once for the model and once for the verdict, rather than moved.
     """
-    own = docs.columns
-    m = _free_name(own)
+    m = free_name(docs, "measures")
     rows = docs.withColumn(m, measured(F.col(f"`{text}`")))
     model = fit_votes(rows.select(votes(F.col(m), rules).alias("votes")), "votes", len(rules))
     good = posterior_of(votes(F.col(m), rules), model) >= least
@@ -201,8 +201,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     give equal rows, and other columns of `docs` are ignored. The figures, a few numbers a document,
     are staged, so that the texts are read once.
     """
-    from tertulia.plans.staging import stage
-
     figures = stage(docs.select(F.col(key).alias("doc_id"), measured(F.col(text)).alias("m")))
     voted = figures.withColumn("votes", votes(F.col("m"), rules))
     model = fit_votes(voted, "votes", len(rules))
@@ -210,10 +208,3 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     failed = base_failed(F.col("m"))
     kept = ~failed & (F.col("posterior") >= least)
     return judged.select("doc_id", "m.*", "votes", "posterior", failed.alias("base_failed"), kept.alias("kept"))
-
-
-def _free_name(taken: Sequence[str], name: str = "measures") -> str:
-    lowered = {c.lower() for c in taken}
-    while name in lowered:
-        name = f"_{name}"
-    return name
