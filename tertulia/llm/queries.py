@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tertulia.llm
-from tertulia.llm import chat, licenses, mixing, packing, pii, quality
+from tertulia.llm import chat, licenses, mixing, multiindex, packing, pii, quality, urls
 
 # Workers need not have this repository on their path.
 cloudpickle.register_pickle_by_value(tertulia.llm)
@@ -38,6 +38,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -88,6 +92,10 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op7_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -104,9 +112,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_urls": op2_urls,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
+    "op7_multiindex": op7_multiindex,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
 }
