@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tertulia.llm
-from tertulia.llm import chat, licenses, mixing, multiindex, packing, pii, quality, urls
+from tertulia.llm import chat, licenses, minmax, mixing, multiindex, packing, pii, quality, urls
 
 # Workers need not have this repository on their path.
 cloudpickle.register_pickle_by_value(tertulia.llm)
@@ -110,6 +110,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.find(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_urls": op2_urls,
@@ -119,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_multiindex": op7_multiindex,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
+    "op10_minmax": op10_minmax,
 }
 ORACLE: dict[str, str] = {"op6_chat": OP6_SQL}
