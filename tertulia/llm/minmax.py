@@ -1,7 +1,7 @@
 """Near duplicates by min-max hashing.
 
 A document is the set of its word shingles. Under each hash function both the smallest and the largest
-value are kept, so 40 evaluations give a signature of 80 values: a pair of sets agrees on a smallest or
+value are kept, so 48 evaluations give a signature of 96 values: a pair of sets agrees on a smallest or
 a largest value with a probability of its similarity. Signatures are banded, four values a band; sets
 that share a band are candidates, and each link is confirmed on the full sets.
 
@@ -26,9 +26,9 @@ from tertulia.llm.graph import components
 from tertulia.llm.words import lower_words
 from tertulia.plans.staging import stage
 
-BANDS, ROWS = 20, 4  # a pair of similarity 0.85 shares no band once in 2.6 million, one of 0.8 once in 38,000
+BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000, one of 0.85 once in 50 million
 HASHES = BANDS * ROWS // 2
-FEW_BITS = 20  # signatures that differ in more of their 80 lowest bits are below similarity 0.6 or so
+FEW_BITS = 28  # of the 96 lowest bits of two signatures; a pair of similarity 0.8 differs in more once in a billion
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"seed%d" % i) for i in range(HASHES)], np.uint64)
 
