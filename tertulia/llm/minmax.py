@@ -28,7 +28,7 @@ from tertulia.plans.staging import stage
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000, one of 0.85 once in 50 million
 HASHES = BANDS * ROWS // 2
-FEW_BITS = 28  # of the 96 lowest bits of two signatures; a pair of similarity 0.8 differs in more once in a billion
+FEW_BITS = 28  # of the 96 lowest bits of two signatures; a pair of similarity 0.8 differs in more once in 28 million
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"seed%d" % i) for i in range(HASHES)], np.uint64)
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tertulia.llm.columns import let
+from tertulia.llm.columns import free_name, let
 
 CHUNK = 128
 NEAR = 40  # characters on either side of a span that are searched for context words
@@ -208,13 +208,14 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
 
     Texts without a span stay as they are, missing ones too; all rows stay.
     """
-    old = F.col(f"`{text}`")
-    new = let(spans(old, least=least), lambda found: F.when(F.size(found) > 0, redacted(old, found)).otherwise(old))
-    changed = {text: new}
-    out = docs.withColumns(changed)
+    before = free_name(docs, "before")
+    old, new = F.col(before), F.col(f"`{text}`")
+    replaced = let(spans(old, least=least), lambda found: F.when(F.size(found) > 0, redacted(old, found)).otherwise(old))
+    out = docs.withColumn(before, new).withColumn(text, replaced)
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(F.col(f"`{text}`")).cast(docs.schema[n_chars].dataType))
-    return out
+        now = F.length(new).cast(docs.schema[n_chars].dataType)
+        out = out.withColumn(n_chars, F.when(new.eqNullSafe(old), F.col(f"`{n_chars}`")).otherwise(now))
+    return out.drop(before)
 
 
 def count_kind(found: Column, kind: str) -> Column:

@@ -19,14 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tertulia.llm.columns import free_name
 from tertulia.plans.staging import stage
 
 MEASURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_letters long, n_upper long, n_shouted long, top_word long"
-)
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_shouted", "top_word",
+)
 _SYMBOLS = b"#*$%&|<>"
 _LOWER, _UPPER = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -58,7 +58,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     Letters are those of ASCII, counted for the share of capitals.
     """
     if not text:
-        return (0,) * 10
+        return (0,) * len(MEASURES)
     raw = text.encode()
     words = raw.split()
     lines = [line for line in raw.split(b"\n") if line.strip()]
@@ -77,10 +77,9 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(MEASURES)
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in MEASURES]))
 def measured(text: pd.Series) -> pd.DataFrame:
-    names = [m.split()[0] for m in MEASURES.split(", ")]
-    return pd.DataFrame([measure(t) for t in text], columns=names, dtype="int64")
+    return pd.DataFrame([measure(t) for t in text], columns=list(MEASURES), dtype="int64")
 
 
 @dataclass(frozen=True)
