@@ -1,0 +1,129 @@
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tertulia.llm import mixing
+from tertulia.plans.staging import stage
+from tests.llm.cases import documents, odd_rows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def targets_by_hand(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Share by weight; stop at the cap; share the excess again, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, capped = share * sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(most * sizes[s] for s in capped)
+        dealt = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if dealt[s] > most * sizes[s] * (1 + 1e-12)]
+        if not above:
+            return {s: most * sizes[s] if s in capped else dealt[s] for s in order}
+        capped.update(above)
+
+
+def rows_of(seed, n=300, sources=7):
+    rng = random.Random(seed)
+    names = [f"s{i}" for i in range(sources)] + [None, "é", "Z"]
+    return [(i, " ".join(["w"] * rng.choice([0, 1, 5, 50, 300])), rng.choice(names[: sources + 3 if seed % 2 else 1]) if rng.random() < 0.6 else "s0") for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_targets_and_taken(spark, seed):
+    rows = rows_of(seed)
+    found = mixing.mix_sizes(documents(spark, rows).repartition(4)).collect()
+    assert len(found) == len(rows)
+    sizes, taken = {}, {}
+    for doc_id, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text))
+    want = targets_by_hand(sizes)
+    for r in found:
+        _, text, source = rows[r["doc_id"]]
+        assert r["size"] == len(WORD.findall(text))
+        assert r["source_size"] == sizes[source]
+        assert math.isclose(r["target"], want[source], rel_tol=1e-9, abs_tol=1e-9)
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[source] = taken.get(source, 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 64 for s in sizes)
+
+
+def test_reruns_agree(spark):
+    docs = documents(spark, rows_of(5))
+    one, other = ({r["doc_id"]: r["taken"] for r in mixing.mix_sizes(docs.repartition(n)).collect()} for n in (1, 5))
+    assert one == other
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 64, 97])
+def test_shuffle_is_a_permutation(spark, size):
+    index = mixing.shuffled(F.col("id"), F.lit(size).cast("long"), 3, F.lit("a"))
+    found = [r[0] for r in spark.range(size).select(index).collect()]
+    assert sorted(found) == list(range(size))
+    assert size < 10 or found != list(range(size))
+
+
+def test_slots_fill_every_quota_once(spark):
+    rows = rows_of(7, 400)
+    mix = mixing.mix(stage(mixing.measured(documents(spark, rows))), block=16, shard_slots=50)
+    quota = {r["source"]: (r["quota"], r["blocks"]) for r in mix.sources.collect()}
+    slots = mix.slots.collect()
+    for source, (wanted, blocks) in quota.items():
+        own = [s for s in slots if s["source"] == source]
+        assert sorted(s["number"] for s in own) == list(range(wanted))
+        for k in {s["pass"] for s in own}:
+            used = [s["block"] for s in own if s["pass"] == k]
+            assert len(set(used)) == len(used)
+            assert all(0 <= b < blocks for b in used)
+    shards = [s["shard"] for s in slots]
+    assert max(map(shards.count, set(shards))) <= 50
+    assert len({tuple(sorted(s["source"] or "" for s in slots if s["shard"] == k)) for k in set(shards)}) > 1
+
+
+def test_streams_lie_end_to_end(spark):
+    rows = rows_of(8)
+    spans = mixing.streams(mixing.measured(documents(spark, rows))).collect()
+    for source in {s["source"] for s in spans}:
+        own = sorted((s["start"], s["size"]) for s in spans if s["source"] == source)
+        at = 0
+        for start, size in own:
+            assert start == at
+            at += size
+
+
+def test_documents_hold_the_words_taken(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["", " ", "\n"]).join([f" d{i}.{k}" for k in range(rng.randrange(90))]), f"s{i % 4}") for i in range(120)]
+    docs = documents(spark, rows)
+    out = mixing.mix_documents(docs, block=32)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        whole = WORD.findall(rows[r["doc_id"]][1])
+        words = WORD.findall(r["text"])
+        places = [whole.index(w) for w in words]
+        assert places == sorted(places)
+        assert r["n_chars"] == len(r["text"])
+        assert r["text"] in rows[r["doc_id"]][1] or len(words) < len(whole)
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(words)
+    mix = mixing.mix_sizes(docs, block=32).collect()
+    assert {r["doc_id"]: r["taken"] for r in mix if r["taken"]} == got
+
+
+def test_odd_rows(spark):
+    rows = odd_rows()
+    found = mixing.mix_sizes(documents(spark, rows)).collect()
+    assert sorted(r["size"] for r in found) == sorted(len(WORD.findall(r[1] or "")) for r in rows)
+    assert all(r["taken"] <= 2 * r["size"] for r in found)
+    out = mixing.mix_documents(documents(spark, rows))
+    assert out.columns == documents(spark, rows).columns
+    assert {r["text"] for r in out.collect()} - {r[1] for r in rows if r[0] not in (7, 9)} <= {r["text"] for r in out.collect()}
+
+
+def test_no_rows_and_no_words(spark):
+    assert mixing.mix_sizes(documents(spark, [])).count() == 0
+    assert mixing.mix_documents(documents(spark, [])).count() == 0
+    assert [(r["size"], r["target"], r["taken"]) for r in mixing.mix_sizes(documents(spark, [(1, None), (2, " ")])).collect()] == [(0, 0.0, 0)] * 2
