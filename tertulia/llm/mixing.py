@@ -120,6 +120,12 @@ def streams(sizes: DataFrame) -> DataFrame:
     return placed.withColumn("start", start).drop("bucket", "bucket_start", "hash")
 
 
+def spread_out(rows: DataFrame, key: str) -> DataFrame:
+    """Deal out rows that each become many. Without a number of partitions, adaptive execution would
+    join them into one, going by the size they have before."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def draw_slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     """Every slot of the output with its source and its number among the slots of that source.
 
@@ -136,7 +142,7 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     shards = spark.range(1).select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(total, F.lit(1).cast("long")) - 1) / per_shard))).alias("shard")
     )
-    slots = shards.repartition("shard").select(
+    slots = spread_out(shards, "shard").select(
         "shard", F.explode(F.sequence(F.col("shard") * per_shard, F.least((F.col("shard") + 1) * per_shard, total) - 1)).alias("slot")
     ).where(F.col("slot") < total)
     drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("slot")), total).alias("at"), table.alias("ranges"))
@@ -148,7 +154,8 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     numbered = joined(counts.withColumn("first", first), sources.select("source", "quota"), "source")
     fitting = F.greatest(F.least(F.col("n"), F.col("quota") - F.col("first")), F.lit(0).cast("long"))
     split = numbered.select("shard", "source", "first", fitting.alias("fits"), (F.col("n") - fitting).alias("over"))
-    kept = split.where("fits > 0").select("shard", "source", F.explode(F.expr("sequence(first, first + fits - 1)")).alias("number"))
+    few = spread_out(split.where("fits > 0"), "shard")
+    kept = few.select("shard", "source", F.explode(F.expr("sequence(first, first + fits - 1)")).alias("number"))
 
     given = counts.groupBy("source").agg(F.sum("n").alias("given"))
     short = joined(sources.select("source", "quota"), given, "source", how="left").select(
