@@ -42,32 +42,49 @@ cursos AS (
                    || strftime(fecha_fin, '{style}') || ')' END AS etiqueta
   FROM curso JOIN catalogo_cursos USING (id_catalogo))"""
 
+# A person is an address with an area; what anyone of that address and area did, they did.
 PARTICIPATION = """
+hechos AS (
+  SELECT 'sesion' AS que, id_sesion AS cual, id_usuario FROM asistencia_sesion WHERE id_sesion IS NOT NULL
+  UNION SELECT 'curso', id_curso, id_usuario FROM registrados_curso WHERE id_curso IS NOT NULL),
+personas AS (SELECT DISTINCT correo, area FROM comunidad),
+de_personas AS (
+  SELECT DISTINCT correo, area, que, cual FROM hechos JOIN comunidad USING (id_usuario)),
+cuentas AS (
+  SELECT p.correo, p.area,
+         (SELECT count(*) FROM de_personas d WHERE d.que = 'sesion'
+          AND d.correo IS NOT DISTINCT FROM p.correo AND d.area IS NOT DISTINCT FROM p.area) AS sesiones_asistidas,
+         (SELECT count(*) FROM de_personas d WHERE d.que = 'curso'
+          AND d.correo IS NOT DISTINCT FROM p.correo AND d.area IS NOT DISTINCT FROM p.area) AS cursos_inscritos
+  FROM personas p),
 participacion AS (
-  SELECT c.correo, coalesce(c.area, 'Sin área') AS area,
-         count(DISTINCT a.id_sesion) AS sesiones_asistidas, count(DISTINCT r.id_curso) AS cursos_inscritos,
-         count(DISTINCT a.id_sesion) + count(DISTINCT r.id_curso) AS participacion_total
-  FROM comunidad c LEFT JOIN asistencia_sesion a ON c.id_usuario = a.id_usuario
-  LEFT JOIN registrados_curso r ON c.id_usuario = r.id_usuario
-  GROUP BY c.correo, c.area)"""
+  SELECT correo, coalesce(area, 'Sin área') AS area, sesiones_asistidas, cursos_inscritos,
+         sesiones_asistidas + cursos_inscritos AS participacion_total
+  FROM cuentas)"""
 
+# Completions are counted once, and once for each session attendance of their member.
 ENGAGEMENT = """
-resumen AS (
-  SELECT count(DISTINCT c.id_usuario) AS total_usuarios,
-         count(DISTINCT CASE WHEN a.id_sesion IS NOT NULL OR r.id_curso IS NOT NULL THEN c.id_usuario END)
-           AS usuarios_participantes,
-         count(DISTINCT a.id_sesion) AS sesiones_asistidas, count(DISTINCT r.id_curso) AS cursos_inscritos,
-         CAST(sum(CASE WHEN r.curso_aprobado THEN 1 ELSE 0 END) AS BIGINT) AS cursos_completados
-  FROM registrados_curso r RIGHT JOIN comunidad c ON r.id_usuario = c.id_usuario
-  LEFT JOIN asistencia_sesion a ON c.id_usuario = a.id_usuario),
-unicos AS (
-  SELECT count(*) AS cursos_completados_unicos FROM registrados_curso
-  WHERE curso_aprobado AND id_usuario IN (SELECT id_usuario FROM comunidad)),
+miembros AS (SELECT DISTINCT id_usuario FROM comunidad WHERE id_usuario IS NOT NULL),
+asistidas AS (SELECT id_usuario, id_sesion FROM asistencia_sesion WHERE id_usuario IN (FROM miembros)),
+inscritos AS (SELECT id_usuario, id_curso, curso_aprobado FROM registrados_curso WHERE id_usuario IN (FROM miembros)),
+activos AS (
+  SELECT id_usuario FROM asistidas WHERE id_sesion IS NOT NULL
+  UNION SELECT id_usuario FROM inscritos WHERE id_curso IS NOT NULL),
+veces AS (
+  SELECT id_usuario, greatest(1, (SELECT count(*) FROM asistidas a WHERE a.id_usuario = m.id_usuario))
+         * (SELECT count(*) FROM comunidad c WHERE c.id_usuario = m.id_usuario) AS por_logro
+  FROM miembros m),
+logros AS (SELECT id_usuario FROM inscritos WHERE curso_aprobado),
 metricas AS (
-  SELECT total_usuarios, usuarios_participantes,
-         total_usuarios - usuarios_participantes AS usuarios_no_participantes,
+  SELECT total_usuarios, usuarios_participantes, total_usuarios - usuarios_participantes AS usuarios_no_participantes,
          sesiones_asistidas, cursos_inscritos, cursos_completados, cursos_completados_unicos
-  FROM resumen, unicos)"""
+  FROM (SELECT (SELECT count(*) FROM miembros) AS total_usuarios,
+               (SELECT count(*) FROM activos) AS usuarios_participantes,
+               (SELECT count(DISTINCT id_sesion) FROM asistidas) AS sesiones_asistidas,
+               (SELECT count(DISTINCT id_curso) FROM inscritos) AS cursos_inscritos,
+               (SELECT CAST(coalesce(sum(por_logro), 0) AS BIGINT) FROM logros JOIN veces USING (id_usuario))
+                 AS cursos_completados,
+               (SELECT count(*) FROM logros) AS cursos_completados_unicos))"""
 
 
 def _labels(style: str) -> str:
@@ -80,10 +97,28 @@ FROM comunidad c JOIN {table} f ON c.id_usuario = f.id_usuario"""
 
 
 def _absent(invited: str, present: str, key: str) -> str:
-    return f"""SELECT i.{key}, c.nombre, c.apellido, c.correo
-FROM comunidad c JOIN {invited} i ON c.id_usuario = i.id_usuario
-LEFT JOIN {present} a ON i.{key} = a.{key} AND c.id_usuario = a.id_usuario
-WHERE a.id_usuario IS NULL"""
+    """Invitations of people who are not among those present."""
+    return f"""SELECT {key}, nombre, apellido, correo FROM {invited} i JOIN comunidad USING (id_usuario)
+WHERE NOT EXISTS (FROM {present} a WHERE (a.{key}, a.id_usuario) = (i.{key}, i.id_usuario))"""
+
+
+def _missed(invited: str, present: str, key: str, about: str, *shown: str) -> str:
+    """What members were invited to and have no part in, described by `about`."""
+    return f"""WITH presentes AS (SELECT DISTINCT {key}, id_usuario FROM {present}),
+faltas AS (SELECT {key}, id_usuario FROM {invited} WHERE ({key}, id_usuario) NOT IN (
+  SELECT ({key}, id_usuario) FROM presentes WHERE {key} IS NOT NULL AND id_usuario IS NOT NULL))
+SELECT correo, {", ".join(shown)} FROM faltas JOIN comunidad USING (id_usuario) JOIN ({about}) USING ({key})"""
+
+
+RUNS = "SELECT id_curso, nombre_curso, fecha_inicio, fecha_fin FROM curso NATURAL JOIN catalogo_cursos"
+SESSIONS = "SELECT id_sesion, nombre_sesion, fecha_sesion FROM sesion"
+
+# A registration under the name of its course.
+BY_NAME = """
+nombres AS (SELECT id_curso, nombre_curso FROM curso NATURAL JOIN catalogo_cursos),
+registros AS (
+  SELECT nombre_curso, id_usuario IS NOT NULL AS contado, coalesce(curso_aprobado, false) AS aprobado
+  FROM nombres NATURAL JOIN (SELECT id_curso, id_usuario, curso_aprobado FROM registrados_curso))"""
 
 
 def _dependents(entity: str, key: str, **links: str) -> str:
@@ -190,26 +225,18 @@ SELECT etiqueta, min(id_curso) AS id_curso FROM cursos GROUP BY etiqueta""",
 SELECT u.id_curso, k.id_clase, k.fecha FROM clase k JOIN curso u ON k.id_curso = u.id_curso""",
     "course_sessions": """
 SELECT e.id_curso, e.id_sesion, s.nombre_sesion FROM tiene_sesion e JOIN sesion s ON e.id_sesion = s.id_sesion""",
-    "member_sessions": """
-SELECT c.correo, s.nombre_sesion, s.fecha_sesion FROM sesion s
-JOIN asistencia_sesion a ON s.id_sesion = a.id_sesion JOIN comunidad c ON c.id_usuario = a.id_usuario""",
-    "member_courses": """
-SELECT c.correo, n.nombre_curso, u.fecha_inicio, u.fecha_fin, r.solicitud_aprobada, r.curso_aprobado
-FROM curso u JOIN registrados_curso r ON u.id_curso = r.id_curso
-JOIN catalogo_cursos n ON u.id_catalogo = n.id_catalogo JOIN comunidad c ON c.id_usuario = r.id_usuario""",
+    "member_sessions": f"""SELECT correo, nombre_sesion, fecha_sesion
+FROM asistencia_sesion JOIN comunidad USING (id_usuario) JOIN ({SESSIONS}) USING (id_sesion)""",
+    "member_courses": f"""SELECT correo, nombre_curso, fecha_inicio, fecha_fin, solicitud_aprobada, curso_aprobado
+FROM registrados_curso JOIN ({RUNS}) USING (id_curso) JOIN comunidad USING (id_usuario)""",
     "session_no_shows": _absent("invitacion_sesion", "asistencia_sesion", "id_sesion"),
     "course_not_registered": _absent("invitacion_curso", "registrados_curso", "id_curso"),
-    "member_missed_sessions": """
-SELECT c.correo, s.nombre_sesion, s.fecha_sesion FROM sesion s
-JOIN invitacion_sesion i ON s.id_sesion = i.id_sesion JOIN comunidad c ON c.id_usuario = i.id_usuario
-LEFT JOIN asistencia_sesion a ON s.id_sesion = a.id_sesion AND i.id_usuario = a.id_usuario
-WHERE a.id_usuario IS NULL""",
-    "member_missed_courses": """
-SELECT c.correo, n.nombre_curso, u.fecha_inicio FROM curso u
-JOIN catalogo_cursos n ON n.id_catalogo = u.id_catalogo JOIN invitacion_curso i ON u.id_curso = i.id_curso
-JOIN comunidad c ON c.id_usuario = i.id_usuario
-LEFT JOIN registrados_curso r ON u.id_curso = r.id_curso AND i.id_usuario = r.id_usuario
-WHERE r.id_usuario IS NULL""",
+    "member_missed_sessions": _missed(
+        "invitacion_sesion", "asistencia_sesion", "id_sesion", SESSIONS, "nombre_sesion", "fecha_sesion"
+    ),
+    "member_missed_courses": _missed(
+        "invitacion_curso", "registrados_curso", "id_curso", RUNS, "nombre_curso", "fecha_inicio"
+    ),
     # reports
     "session_funnel": f"""WITH
 i AS (SELECT id_sesion, count(*) AS n FROM ({_roster("invitacion_sesion", "id_sesion")}) GROUP BY id_sesion),
@@ -239,37 +266,40 @@ SELECT * FROM participacion ORDER BY participacion_total DESC, correo, area LIMI
 SELECT *, CAST(row_number() OVER (PARTITION BY area ORDER BY participacion_total DESC, correo) AS INTEGER)
   AS puesto
 FROM participacion QUALIFY puesto <= 10""",
-    "popular_courses": """
-SELECT n.nombre_curso, count(r.id_usuario) AS inscripciones
-FROM catalogo_cursos n JOIN curso u ON n.id_catalogo = u.id_catalogo
-JOIN registrados_curso r ON u.id_curso = r.id_curso
-GROUP BY n.nombre_curso ORDER BY inscripciones DESC, n.nombre_curso LIMIT 10""",
+    "popular_courses": f"""WITH {BY_NAME}
+SELECT nombre_curso, count(*) FILTER (contado) AS inscripciones FROM registros
+GROUP BY ALL ORDER BY inscripciones DESC, nombre_curso LIMIT 10""",
     "runs_per_course": """
-SELECT count(u.id_curso) AS cantidad_cursos, n.nombre_curso
-FROM curso u JOIN catalogo_cursos n ON u.id_catalogo = n.id_catalogo GROUP BY n.nombre_curso""",
-    "completion_rates": """
-SELECT nombre_curso, inscritos, completados, completados / inscritos * 100 AS completion_rate FROM (
-  SELECT n.nombre_curso, count(r.id_usuario) AS inscritos,
-         CAST(sum(CASE WHEN r.curso_aprobado THEN 1 ELSE 0 END) AS BIGINT) AS completados
-  FROM curso u JOIN registrados_curso r ON u.id_curso = r.id_curso
-  JOIN catalogo_cursos n ON u.id_catalogo = n.id_catalogo GROUP BY n.nombre_curso)
-ORDER BY inscritos DESC""",
-    "session_attendance_pct": """
-SELECT s.id_sesion, s.nombre_sesion, count(DISTINCT a.id_usuario) AS numero_asistentes,
-       count(DISTINCT a.id_usuario) / (SELECT count(DISTINCT id_usuario) FROM comunidad) * 100
-         AS porcentaje_asistencia
-FROM asistencia_sesion a RIGHT JOIN sesion s ON a.id_sesion = s.id_sesion
-GROUP BY s.id_sesion, s.nombre_sesion""",
-    "invite_recommendations": """
-SELECT c.nombre, c.apellido, c.correo, count(a.id_usuario) AS sesiones_asistidas
-FROM comunidad c LEFT JOIN asistencia_sesion a ON c.id_usuario = a.id_usuario
-LEFT JOIN registrados_curso r ON c.id_usuario = r.id_usuario
-WHERE r.id_usuario IS NULL GROUP BY c.nombre, c.apellido, c.correo
-HAVING count(a.id_usuario) > 0 ORDER BY sesiones_asistidas DESC""",
-    "class_attendance": """
-SELECT k.id_curso, k.fecha, count(DISTINCT a.id_usuario) AS numero_asistentes
-FROM clase k LEFT JOIN asistencia_clase a ON k.id_clase = a.id_clase
-GROUP BY k.id_curso, k.fecha ORDER BY k.id_curso, k.fecha""",
+SELECT nombre_curso, CAST(sum(veces) AS BIGINT) AS cantidad_cursos
+FROM (SELECT id_catalogo, count(id_curso) AS veces FROM curso GROUP BY id_catalogo) NATURAL JOIN catalogo_cursos
+GROUP BY nombre_curso""",
+    "completion_rates": f"""WITH {BY_NAME},
+totales AS (
+  SELECT nombre_curso, count(*) FILTER (contado) AS inscritos, count(*) FILTER (aprobado) AS completados
+  FROM registros GROUP BY nombre_curso)
+SELECT *, completados / inscritos * 100 AS completion_rate FROM totales""",
+    "session_attendance_pct": """WITH
+presentes AS (
+  SELECT id_sesion, count(*) AS n
+  FROM (SELECT DISTINCT id_sesion, id_usuario FROM asistencia_sesion WHERE id_usuario IS NOT NULL) GROUP BY id_sesion),
+todos AS (SELECT count(DISTINCT id_usuario) AS total FROM comunidad)
+SELECT id_sesion, nombre_sesion, coalesce(n, 0) AS numero_asistentes,
+       coalesce(n, 0) / total * 100 AS porcentaje_asistencia
+FROM todos, sesion LEFT JOIN presentes USING (id_sesion)""",
+    "invite_recommendations": """WITH
+nuevos AS (SELECT id_usuario FROM asistencia_sesion WHERE id_usuario IS NOT NULL
+           EXCEPT SELECT id_usuario FROM registrados_curso)
+SELECT nombre, apellido, correo, count(*) AS sesiones_asistidas
+FROM comunidad JOIN asistencia_sesion USING (id_usuario)
+WHERE id_usuario IN (FROM nuevos) GROUP BY ALL""",
+    "class_attendance": """WITH
+fechas AS (SELECT DISTINCT id_curso, fecha FROM clase),
+presentes AS (SELECT DISTINCT id_curso, fecha, id_usuario FROM clase NATURAL JOIN asistencia_clase
+              WHERE id_usuario IS NOT NULL)
+SELECT id_curso, fecha,
+       (SELECT count(*) FROM presentes p
+        WHERE p.id_curso IS NOT DISTINCT FROM f.id_curso AND p.fecha IS NOT DISTINCT FROM f.fecha) AS numero_asistentes
+FROM fechas f""",
     "member_dependents": _dependents(
         "comunidad", "id_usuario", invitaciones_curso="invitacion_curso",
         registros_curso="registrados_curso", invitaciones_sesion="invitacion_sesion",
@@ -406,3 +436,48 @@ LEFT JOIN cambios_registro n ON r.id_curso = n.id_curso AND r.id_usuario = n.id_
     "delete_courses_blocked": _blocked("curso", "id_curso", *COURSE_LINKS),
     "delete_courses_strict": _kept("curso", "id_curso", *COURSE_LINKS, "tiene_sesion", "imparte"),
 }
+
+EMAIL = "customer.000000001@example.com"
+
+
+def _one(name: str, column: str, value: str | int) -> str:
+    """The rows of the general query for one value."""
+    return f"SELECT * FROM ({ORACLE[name]}) WHERE {column} = {value!r}"
+
+
+ORACLE |= {
+    "top_participants_one_area": f"""WITH {PARTICIPATION}
+SELECT * FROM participacion WHERE area = 'IT' ORDER BY participacion_total DESC, correo LIMIT 10""",
+    "update_members_changed": f"""
+SELECT * FROM ({ORACLE["update_members"]}) WHERE id_usuario IN (
+  SELECT id_usuario FROM comunidad WHERE correo IN (SELECT correo FROM cambios_comunidad))""",
+    "set_registrant_status_changed": f"""
+SELECT * FROM ({ORACLE["set_registrant_status"]})
+WHERE (id_curso, id_usuario) IN (SELECT (id_curso, id_usuario) FROM cambios_registro)""",
+    "delete_members_removed": f"""
+SELECT * FROM comunidad WHERE id_usuario NOT IN (SELECT id_usuario FROM ({ORACLE["delete_members"]}))""",
+    "resolve_members_all": f"""WITH {PASTED}
+SELECT id_lote, correo, id_usuario FROM pegados JOIN comunidad USING (correo)""",
+    "email_reply_all_blank": f"WITH {PASTED} SELECT id_lote, correo FROM pegados",
+    "session_ids_all": "SELECT nombre_sesion, id_sesion FROM sesion",
+    "member_details_one": _one("member_details", "correo", EMAIL),
+    "session_details_one": _one("session_details", "nombre_sesion", "Supplier#000000001"),
+    "session_ids_one": _one("session_ids", "nombre_sesion", "Supplier#000000001"),
+    "catalog_id_one": _one("catalog_id", "nombre_curso", "Brand#11"),
+    "instructor_id_one": _one("instructor_id", "nombre_completo", "NATION_8 EUROPE"),
+    "runs_of_course_one": _one("runs_of_course", "nombre_curso", "Brand#11"),
+    "course_by_label_one": f"""
+SELECT * FROM ({ORACLE["course_by_label"]}) WHERE etiqueta = 'Brand#1 (01/02/2024 - 28/02/2024)'""",
+} | {
+    f"{name}_one": _one(name, "id_curso", 1)
+    for name in (
+        "course_details", "course_row", "course_invitees", "course_registrants", "course_registrant_status",
+        "course_classes", "course_sessions", "course_not_registered", "course_funnel", "class_attendance",
+    )
+} | {
+    f"{name}_one": _one(name, "id_sesion", 1)
+    for name in ("session_invitees", "session_attendees", "session_no_shows", "session_funnel", "session_attendance_pct")
+} | {
+    f"{name}_one": _one(name, "correo", EMAIL)
+    for name in ("member_sessions", "member_courses", "member_missed_sessions", "member_missed_courses")
+} | {"class_attendees_one": _one("class_attendees", "id_clase", 1)}

@@ -156,6 +156,55 @@ QUERIES: dict[str, Query] = {
     "delete_courses_strict": _deleted(deletes.delete_courses, "curso", "id_curso", strict=True),
 }
 
+EMAIL = "customer.000000001@example.com"
+ONE_RUN, ONE_SESSION, ONE_MEMBER = {"id_curso": 1}, {"id_sesion": 1}, {"correo": EMAIL}
+
+# The forms for one value, as a person asks for them.
+QUERIES |= {
+    "top_participants_one_area": _report(reports.top_participants, area="IT"),
+    "member_details_one": _report(lookups.member_details, **ONE_MEMBER),
+    "session_details_one": _report(lookups.session_details, nombre="Supplier#000000001"),
+    "session_ids_one": _report(lookups.session_ids, nombre="Supplier#000000001"),
+    "session_ids_all": _report(lookups.session_ids, first_only=False),
+    "catalog_id_one": _report(lookups.catalog_id, nombre="Brand#11"),
+    "instructor_id_one": _report(lookups.instructor_id, nombre_completo="NATION_8 EUROPE"),
+    "runs_of_course_one": _report(lookups.runs_of_course, nombre="Brand#11"),
+    "course_by_label_one": _report(lookups.course_by_label, label="Brand#1 (01/02/2024 - 28/02/2024)"),
+    "course_details_one": _report(lookups.course_details, **ONE_RUN),
+    "course_row_one": _report(lookups.course_row, **ONE_RUN),
+    "class_attendees_one": _report(lookups.class_attendees, id_clase=1),
+    "session_invitees_one": _report(rosters.session_invitees, **ONE_SESSION),
+    "session_attendees_one": _report(rosters.session_attendees, **ONE_SESSION),
+    "session_no_shows_one": _report(rosters.session_no_shows, **ONE_SESSION),
+    "course_invitees_one": _report(rosters.course_invitees, **ONE_RUN),
+    "course_registrants_one": _report(rosters.course_registrants, **ONE_RUN),
+    "course_registrant_status_one": _report(rosters.course_registrants, with_status=True, **ONE_RUN),
+    "course_classes_one": _report(rosters.course_classes, **ONE_RUN),
+    "course_sessions_one": _report(rosters.course_sessions, **ONE_RUN),
+    "course_not_registered_one": _report(rosters.course_not_registered, **ONE_RUN),
+    "member_sessions_one": _report(rosters.member_sessions, **ONE_MEMBER),
+    "member_courses_one": _report(rosters.member_courses, **ONE_MEMBER),
+    "member_missed_sessions_one": _report(rosters.member_missed_sessions, **ONE_MEMBER),
+    "member_missed_courses_one": _report(rosters.member_missed_courses, **ONE_MEMBER),
+    "session_funnel_one": _report(reports.session_funnel, **ONE_SESSION),
+    "course_funnel_one": _report(reports.course_funnel, **ONE_RUN),
+    "session_attendance_pct_one": _report(reports.session_attendance_pct, **ONE_SESSION),
+    "class_attendance_one": _report(reports.class_attendance, **ONE_RUN),
+    "email_reply_all_blank": lambda s: emails.parse_reply_all(s.view("correos_pegados"), keep_blank=True),
+    "resolve_members_all": lambda s: emails.resolve_members(s.tables, _pasted(s), first_only=False),
+    "update_members_changed": lambda s: _changed(s, updates.update_members, "comunidad", "cambios_comunidad"),
+    "set_registrant_status_changed": lambda s: _changed(
+        s, updates.set_registrant_status, "registrados_curso", "cambios_registro"
+    ),
+    "delete_members_removed": lambda s: deletes.delete_members(
+        s.tables, s.tables.comunidad.select("id_usuario")
+    ).removed["comunidad"],
+}
+
+
+def _changed(s: Samples, function: Callable, table: str, rows: str) -> DataFrame:
+    return function(s.tables, s.view(rows)).changed[table]
+
 
 def bound(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(Samples(spark, sf_dir))

@@ -46,7 +46,8 @@ def _insert(
     current = getattr(t, table)
     valid, invalid = _split(rows, required)
     new = _conform(valid, table, id_col, defaults or {})
-    added = with_new_ids(new, id_col, current).select(*current.columns)
+    # Staged: the ids stay what they are once the rows have been appended to a table read live.
+    added = stage(with_new_ids(new, id_col, current).select(*current.columns))
     return Change({table: current.unionByName(added)}, {table: added}, invalid)
 
 
@@ -91,6 +92,11 @@ def add_classes(t: Tables, rows: DataFrame) -> Change:
     return _insert(t, "clase", "id_clase", rows, required=["id_curso", "fecha"])
 
 
+def _named(ids: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The ids of the names in `rows` alone, staged."""
+    return stage(ids.join(rows.select(name).distinct(), name, "left_semi"))
+
+
 def add_courses(t: Tables, rows: DataFrame) -> Change:
     """Add course runs with the sessions and the instructor they are linked to.
 
@@ -98,22 +104,25 @@ def add_courses(t: Tables, rows: DataFrame) -> Change:
     correo_contacto, sesiones (array of session names) and instructor (full name). Links go to
     the id given to that very run. A run without a name or a date, or of a course that is not in
     the catalogue, is rejected; names of sessions and instructors that do not exist add no link.
-    The lists of names are staged, so that a name most runs use can be split between tasks.
+    A session named twice is linked once. The ids of the names at hand are staged, so that a name
+    most runs use can be split between tasks.
     """
-    catalog = stage(catalog_id(t))
     valid, invalid = _split(rows, ["nombre_curso", "fecha_inicio", "fecha_fin"])
+    catalog = _named(catalog_id(t), valid, "nombre_curso")
     rejected = invalid.unionByName(valid.join(catalog, "nombre_curso", "left_anti").select(*rows.columns))
     named = valid.join(catalog, "nombre_curso").select("id_catalogo", *rows.columns)
     # Staged: the three tables below must agree on the ids, whichever is written first.
     runs = stage(with_new_ids(named, "id_curso", t.curso))
 
+    sessions = runs.select("id_curso", F.explode(F.array_distinct("sesiones")).alias("nombre_sesion"))
+    teachers = runs.select("id_curso", F.col("instructor").alias("nombre_completo"))
     added = {
         "curso": runs.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS["curso"]]),
-        "tiene_sesion": runs.select("id_curso", F.explode("sesiones").alias("nombre_sesion"))
-        .join(stage(session_ids(t)), "nombre_sesion")
-        .select("id_curso", "id_sesion"),
-        "imparte": runs.select("id_curso", F.col("instructor").alias("nombre_completo"))
-        .join(stage(instructor_id(t)), "nombre_completo")
-        .select("id_instructor", "id_curso"),
+        "tiene_sesion": sessions.join(_named(session_ids(t), sessions, "nombre_sesion"), "nombre_sesion").select(
+            "id_curso", "id_sesion"
+        ),
+        "imparte": teachers.join(_named(instructor_id(t), teachers, "nombre_completo"), "nombre_completo").select(
+            "id_instructor", "id_curso"
+        ),
     }
     return Change({name: getattr(t, name).unionByName(df) for name, df in added.items()}, added, rejected)

@@ -23,7 +23,8 @@ def _delete(
     blocked = linked_keys([df for df, _ in links.values()], key).join(wanted, key, "left_semi")
     free = wanted.join(blocked, key, "left_anti")
     current = getattr(t, table)
-    return Change({table: current.join(free, key, "left_anti").select(*current.columns)}, rejected=blocked)
+    kept, removed = (current.join(free, key, how).select(*current.columns) for how in ("left_anti", "left_semi"))
+    return Change({table: kept}, rejected=blocked, removed={table: removed})
 
 
 def delete_members(t: Tables, ids: DataFrame, strict: bool = False) -> Change:

@@ -69,5 +69,6 @@ def register_class_attendance(t: Tables, batches: DataFrame, dedupe: bool = Fals
     again unless `dedupe`."""
     emails = parse_email_lines(batches)
     resolved = resolve_members(t, emails).select("id_clase", "id_usuario")
-    pairs = new_pairs(stage(resolved.distinct()), t.asistencia_clase) if dedupe else resolved
+    # Staged where pairs repeat: which rows are added must not hang on when the tables are read.
+    pairs = new_pairs(stage(resolved.distinct()), t.asistencia_clase) if dedupe else stage(resolved)
     return _added(t, "asistencia_clase", pairs, unknown_emails(t, emails))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
-from tertulia.plans.joins import as_represented, count_links, represent, without_match, zero_if_null
-from tertulia.plans.staging import stage
+from tertulia.plans.joins import count_links, without_match, zero_if_null
 from tertulia.sources.tables import Tables
 
 TOP = 10
@@ -131,32 +130,42 @@ def engagement_breakdown(t: Tables) -> DataFrame:
 
 def _participation(t: Tables, area: str | None) -> DataFrame:
     """Distinct sessions and runs per person; a person is an address and area, nearly always one
-    member."""
+    member.
+
+    Links are made distinct and counted per member. People of one member take these counts; only for
+    people of several are the distinct links counted again, which reuses their shuffle. Everything is
+    one plan, so all of it sees the tables at one time. With an area, the facts are cut to its members
+    before they are shuffled.
+    """
     shown_area = F.coalesce(F.col("area"), F.lit(NO_AREA))
+    person = Window.partitionBy("correo", "area")
     members = where_equal(t.comunidad.select("id_usuario", "correo", "area"), shown_area, area)
-    people, others = represent(members, "id_usuario", ["correo", "area"])
+    people = members.withColumn("_rep", F.min("id_usuario").over(person)).withColumn(
+        "_twins", F.min("id_usuario").over(person) < F.max("id_usuario").over(person)
+    )
 
     def links(df: DataFrame, key: str, source: int) -> DataFrame:
-        rows = as_represented(df.where(F.col(key).isNotNull()), "id_usuario", others)
-        return rows.select("_rep", F.lit(source).alias("_de"), F.col(key).alias("_id"))
+        rows = df.where(F.col(key).isNotNull()).select("id_usuario", F.lit(source).alias("_de"), F.col(key).alias("_id"))
+        return rows if area is None else rows.join(members.select("id_usuario"), "id_usuario", "left_semi")
+
+    def counted(rows: DataFrame, key: str) -> DataFrame:
+        sessions = F.count(F.when(F.col("_de") == SESSION, 1)).alias("sesiones_asistidas")
+        return rows.groupBy(key).agg(sessions, F.count(F.when(F.col("_de") == COURSE, 1)).alias("cursos_inscritos"))
 
     # Distinct on all three columns, so that a very active person is spread over the tasks.
     both = links(t.asistencia_sesion, "id_sesion", SESSION).unionByName(
         links(t.registrados_curso, "id_curso", COURSE)
-    )
-    counts = (
-        both.distinct()
-        .groupBy("_rep")
-        .agg(
-            F.count(F.when(F.col("_de") == SESSION, 1)).alias("sesiones_asistidas"),
-            F.count(F.when(F.col("_de") == COURSE, 1)).alias("cursos_inscritos"),
-        )
-    )
-    counted = people.join(counts, "_rep", "left").select(
-        "correo", shown_area.alias("area"), *zero_if_null("sesiones_asistidas", "cursos_inscritos")
-    )
+    ).distinct()
+    single = people.where(~F.coalesce("_twins", F.lit(False))).select("id_usuario", "correo", "area").distinct()
+    of_single = single.join(counted(both, "id_usuario"), "id_usuario", "left")
+    twins = people.where("_twins").select("id_usuario", "_rep", "correo", "area")
+    of_twins = both.join(twins.select("id_usuario", "_rep"), "id_usuario").select("_rep", "_de", "_id").distinct()
+    shared = twins.select("_rep", "correo", "area").distinct().join(counted(of_twins, "_rep"), "_rep", "left")
+    figures = ["sesiones_asistidas", "cursos_inscritos"]
+    found = of_single.select("correo", "area", *figures).unionByName(shared.select("correo", "area", *figures))
+    shown = found.select("correo", shown_area.alias("area"), *zero_if_null(*figures))
     total = F.col("sesiones_asistidas") + F.col("cursos_inscritos")
-    return counted.withColumn("participacion_total", total)
+    return shown.withColumn("participacion_total", total)
 
 
 def top_participants(t: Tables, n: int = TOP, area: str | None = None) -> DataFrame:
@@ -239,9 +248,9 @@ def class_attendance(t: Tables, id_curso: int | None = None) -> DataFrame:
 
     Every class adds a row without an attendee, so that dates nobody attended count zero. The
     join of the two large tables is thus an inner one, which adaptive execution splits on either
-    side when a class is very popular. The classes of one run are staged, to be broadcast.
+    side when a class is very popular.
     """
-    classes = t.clase if id_curso is None else stage(where_equal(t.clase, "id_curso", id_curso))
+    classes = where_equal(t.clase, "id_curso", id_curso)
     attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")
     held = classes.select("id_curso", "fecha", F.lit(None).cast("long").alias("id_usuario"))
     counts = (

@@ -21,23 +21,27 @@ def _update(
     keys: Sequence[str],
     single: DataFrame,
     new_values: Mapping[str, Column],
-) -> DataFrame:
+    rejected: DataFrame | None = None,
+) -> Change:
     """`table` with `new_values` in the rows that a change names; `single` has one change per key.
 
-    `new_values` may use the columns of the change, which carry the prefix `n_`.
+    `new_values` may use the columns of the change, which carry the prefix `n_`. The changed rows
+    alone come from an inner join: a small batch is broadcast to the table, which is then scanned
+    and neither sorted nor rewritten. Two changes for one key are an error where a changed column
+    is read.
     """
     current = getattr(t, table)
     renamed = single.select(
         *keys, *[F.col(c).alias(f"n_{c}") for c in single.columns if c not in keys], F.lit(True).alias(HIT)
     )
-    joined = current.join(renamed, list(keys), "left")
 
     def value(name: str) -> Column:
         if name not in new_values:
             return F.col(name)
         return F.when(F.col(HIT), new_values[name]).otherwise(F.col(name)).alias(name)
 
-    return joined.select(*[value(c) for c in current.columns])
+    state, changed = (current.join(renamed, list(keys), how).select(*[value(c) for c in current.columns]) for how in ("left", "inner"))
+    return Change({table: state}, rejected=rejected, changed={table: changed})
 
 
 def _keep_old(*cols: str) -> dict[str, Column]:
@@ -65,20 +69,20 @@ def update_members(
         values |= _keep_old(*_given(changes, *profile))
     # Staged: many members may share an address, and a join with a stored table can be split.
     single = stage(one_per_key(changes, ["correo"], order_col))
-    return Change({"comunidad": _update(t, "comunidad", ["correo"], single, values)})
+    return _update(t, "comunidad", ["correo"], single, values)
 
 
 def update_sessions(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
     values = _keep_old(*_given(changes, "nombre_sesion", "fecha_sesion", "link_sesion_informativa"))
     single = one_per_key(changes, ["id_sesion"], order_col)
-    return Change({"sesion": _update(t, "sesion", ["id_sesion"], single, values)})
+    return _update(t, "sesion", ["id_sesion"], single, values)
 
 
 def update_courses(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
     fields = ["fecha_inicio", "fecha_fin", "proveedor", "requiere_caso_uso", "correo_contacto"]
     values = _keep_old(*_given(changes, *fields))
     single = one_per_key(changes, ["id_curso"], order_col)
-    return Change({"curso": _update(t, "curso", ["id_curso"], single, values)})
+    return _update(t, "curso", ["id_curso"], single, values)
 
 
 def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
@@ -88,9 +92,10 @@ def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
     """
     links = links.select("id_curso", "nombre_sesion").distinct()
     kept = drop_keys(t.tiene_sesion, links, ["id_curso"])
+    removed = t.tiene_sesion.join(links.select("id_curso").distinct(), "id_curso", "left_semi").select(*kept.columns)
     named = links.join(session_ids(t, first_only=False), "nombre_sesion")
-    new = named.select("id_curso", "id_sesion").distinct()
-    return Change({"tiene_sesion": kept.unionByName(new)})
+    new = stage(named.select("id_curso", "id_sesion").distinct())
+    return Change({"tiene_sesion": kept.unionByName(new)}, {"tiene_sesion": new}, removed={"tiene_sesion": removed})
 
 
 def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
@@ -99,14 +104,12 @@ def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = N
     A run nobody teaches gets no row; a name that is not found changes nothing and is rejected.
     """
     named = changes.withColumnRenamed("instructor", "nombre_completo")
-    instructors = stage(instructor_id(t))
+    instructors = stage(instructor_id(t).join(named.select("nombre_completo").distinct(), "nombre_completo", "left_semi"))
     found = named.join(instructors, "nombre_completo").drop("nombre_completo")
     unknown = named.join(instructors, "nombre_completo", "left_anti")
     single = stage(one_per_key(found, ["id_curso"], order_col))
-    return Change(
-        {"imparte": _update(t, "imparte", ["id_curso"], single, _keep_old("id_instructor"))},
-        rejected=unknown.withColumnRenamed("nombre_completo", "instructor").select(*changes.columns),
-    )
+    rejected = unknown.withColumnRenamed("nombre_completo", "instructor").select(*changes.columns)
+    return _update(t, "imparte", ["id_curso"], single, _keep_old("id_instructor"), rejected)
 
 
 def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
@@ -114,4 +117,4 @@ def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None =
     values = {c: F.coalesce(f"n_{c}", F.lit(False)) for c in ("status", "curso_aprobado")}
     keys = ["id_curso", "id_usuario"]
     single = one_per_key(changes, keys, order_col)
-    return Change({"registrados_curso": _update(t, "registrados_curso", keys, single, values)})
+    return _update(t, "registrados_curso", keys, single, values)

@@ -37,40 +37,21 @@ def without_match(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> D
 def repeat_rows(df: DataFrame, count_col: str = "copias", index_col: str = "_copy") -> DataFrame:
     """Give back the copies that were counted, numbered from zero in `index_col`.
 
-    Numbers are made in blocks, so that no array grows with the number of copies.
+    Numbers are made in blocks, so that no array grows with the number of copies, and the blocks of a
+    row with more than one of them are dealt to different tasks.
     """
     keep = [c for c in df.columns if c != count_col]
     zero, block = F.lit(0).cast("long"), F.col("_block") * COPIES_PER_ARRAY
     last_block = F.expr(f"({count_col} - 1) div {COPIES_PER_ARRAY}L")
-    blocks = df.select(*keep, count_col, F.explode(F.sequence(zero, last_block)).alias("_block"))
     last = F.least(F.col(count_col), block + COPIES_PER_ARRAY) - 1
+    few = df.where(F.col(count_col) <= COPIES_PER_ARRAY).withColumn("_block", zero)
+    many = df.where(F.col(count_col) > COPIES_PER_ARRAY).select(
+        "*", F.explode(F.sequence(zero, last_block)).alias("_block")
+    )
+    blocks = few.unionByName(many.repartition(*keep, "_block"))
     return blocks.select(*keep, F.explode(F.sequence(block, last)).alias(index_col))
 
 
-def represent(entities: DataFrame, key: str, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """The groups of `entities`, each with the lowest of its ids in `_rep`, and the other ids.
-
-    For counting over a group that nearly always is one entity: the id stands for the group, and
-    facts need no join to find their group. Only where groups of several exist does the second
-    value map the other ids, `key`, to `_rep`; it is staged, so a small one is broadcast.
-    """
-    lowest, size = F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_n")
-    groups = entities.groupBy(*group).agg(lowest, size)
-    several = groups.where("_n > 1").select("_rep", *[F.col(c).alias(f"_{c}") for c in group])
-    if several.isEmpty():
-        return groups.drop("_n"), None
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
-    others = entities.join(stage(several), same).where(F.col(key) != F.col("_rep")).select(key, "_rep")
-    return groups.drop("_n"), stage(others)
-
-
-def as_represented(facts: DataFrame, key: str, others: DataFrame | None) -> DataFrame:
-    """`facts` with the id that stands for the group of `key` in `_rep`."""
-    if others is None:
-        return facts.withColumn("_rep", F.col(key))
-    return facts.join(others, key, "left").withColumn("_rep", F.coalesce("_rep", key))
-
-
 def drop_keys(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose `keys` are not in `gone`.
 

@@ -1,49 +1,52 @@
-"""Staging tables for the small, often reused input of a change."""
+"""Staging tables for input that is used more than once, and for what must be settled."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tertulia-")
+_staged: list[str] = []
 
 
 def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _own_folder()  # one machine, as in tests
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:
+        raise RuntimeError("start the session with spark.checkpoint.dir set to a folder that all executors share")
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder the cluster names in spark.checkpoint.dir and read it back.
+    """Write `df` to the folder the session names in spark.checkpoint.dir and read it back.
 
     This cuts the lineage, survives the loss of executors, and gives Catalyst the true size of
     the rows, so a small batch is broadcast to a large table and a large one is not. It also
-    settles ids that depend on the present state of a table.
+    settles ids that depend on the present state of a table. The folder stays until `release`.
     """
     spark = df.sparkSession
     path = f"{_folder(spark).rstrip('/')}/tertulia-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this process has staged (from the `since`-th table on). Results that read it must
+    have been written or collected by then."""
+    configuration = spark._jsc.hadoopConfiguration()
+    while len(_staged) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged[-1])
+        path.getFileSystem(configuration).delete(path, True)
+        _staged.pop()
+
+
 @contextmanager
-def shared(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep an input that several reports read, such as the course labels, while they run."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what was staged in it."""
+    before = len(_staged)
     try:
-        yield df
+        yield
     finally:
-        df.unpersist()
+        release(spark, before)

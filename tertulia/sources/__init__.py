@@ -1,4 +1,4 @@
-from tertulia.sources.sinks import append_rows, write_snapshot
+from tertulia.sources.sinks import append_rows, merge_changed, write_snapshot
 from tertulia.sources.tables import Change, Tables, load_tables
 
-__all__ = ["Change", "Tables", "append_rows", "load_tables", "write_snapshot"]
+__all__ = ["Change", "Tables", "append_rows", "load_tables", "merge_changed", "write_snapshot"]

@@ -5,25 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from tertulia.schemas import SCHEMAS
 
+PARTICIPATION = ("invitacion_sesion", "asistencia_sesion", "invitacion_curso", "registrados_curso", "asistencia_clase")
+PARTITIONED = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+
 
 @dataclass(frozen=True)
 class Change:
     """Outcome of a table change; nothing is written until a sink is called.
 
     tables    the new state of every table touched
-    added     the rows alone, where the change only adds rows: append these
-              rather than rewriting a large table
+    added     the new rows alone: append these rather than rewriting a large table
+    changed   the rows of an update alone, as they become
+    removed   the rows that a change takes away
     rejected  input rows that were not applied
+
+    New rows are settled when the change is made. `tables` is for further work before anything is
+    written; after a write, `Tables.reload` reads the state from the table itself.
     """
 
     tables: Mapping[str, DataFrame]
     added: Mapping[str, DataFrame] = field(default_factory=dict)
     rejected: DataFrame | None = None
+    changed: Mapping[str, DataFrame] = field(default_factory=dict)
+    removed: Mapping[str, DataFrame] = field(default_factory=dict)
 
 
 class Tables:
@@ -44,8 +54,13 @@ class Tables:
         return Tables(self._read, {**self._known, **changed})
 
     def apply(self, change: Change) -> Tables:
+        """The state that `change` leads to, before it is written."""
         return self.with_tables(**change.tables)
 
+    def reload(self, *names: str) -> Tables:
+        """Read the named tables anew, all without a name, as after a write."""
+        return Tables(self._read, {k: v for k, v in self._known.items() if names and k not in names})
+
 
 def load_tables(
     spark: SparkSession,
@@ -63,20 +78,28 @@ def load_tables(
     otherwise    a file format; `location` is the folder that holds one folder per table
 
     `paths` names another path for single tables, such as a newer snapshot. Tables that bring their
-    own column names and types, as those of a warehouse do, are cast to the declared ones.
+    own column names and types, as those of a warehouse do, are cast to the declared ones; text that
+    is no date becomes a missing date, anything else that does not fit is an error. Participation
+    tables are not read over JDBC without partition options, as one task would read each.
     """
     options = dict(options or {})
     table_options = table_options or {}
     paths = paths or {}
 
     def declared(name: str, df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+        def typed(f) -> Column:
+            return (F.col(f.name).try_cast if isinstance(f.dataType, DateType) else F.col(f.name).cast)(f.dataType).alias(f.name)
+
+        return df.select(*[typed(f) for f in SCHEMAS[name]])
 
     def read(name: str) -> DataFrame:
         if fmt == "table":
             return declared(name, spark.table(f"{location}.{name}"))
-        reader = spark.read.format(fmt).options(**options).options(**table_options.get(name, {}))
+        given = {**options, **table_options.get(name, {})}
+        reader = spark.read.format(fmt).options(**given)
         if fmt == "jdbc":
+            if name in PARTICIPATION and not PARTITIONED <= set(given):
+                raise ValueError(f"give {', '.join(sorted(PARTITIONED))} to read {name} over JDBC")
             return declared(name, reader.option("url", location).option("dbtable", paths.get(name, name)).load())
         return reader.schema(SCHEMAS[name]).load(paths.get(name, f"{location.rstrip('/')}/{name}"))
 

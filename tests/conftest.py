@@ -9,14 +9,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tertulia import SCHEMAS, Tables  # noqa: E402
 from tertulia.plans.session import local_session  # noqa: E402
+from tertulia.plans.staging import release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(8)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stage")))
     yield session
+    release(session)
     session.stop()
 
 

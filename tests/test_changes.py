@@ -185,6 +185,15 @@ def test_courses_are_linked_to_their_own_run(spark, rows, t):
     assert change.tables["curso"].columns == t.curso.columns
 
 
+def test_a_session_named_twice_is_linked_once(spark, rows, t):
+    new = spark.createDataFrame(
+        [("SQL", DAY, DAY, "P", True, "c@x", ["S", "S", "T", "S"], "Eva Sol")],
+        "nombre_curso string, fecha_inicio date, fecha_fin date, proveedor string, requiere_caso_uso boolean, "
+        "correo_contacto string, sesiones array<string>, instructor string",
+    )
+    assert rows(adds.add_courses(t, new).added["tiene_sesion"]) == [(3, 1), (3, 2)]
+
+
 # Updating
 
 
@@ -201,6 +210,20 @@ def test_update_members(spark, rows, t):
     assert [r[5] for r in free] == ["Finanzas", "Finanzas", None, None]
 
 
+def test_changed_and_removed_rows_alone(spark, rows, t):
+    changes = spark.createDataFrame(
+        [(1, 1, None, True), (1, 9, True, True)],
+        "id_curso bigint, id_usuario bigint, status boolean, curso_aprobado boolean",
+    )
+    assert rows(updates.set_registrant_status(t, changes).changed["registrados_curso"]) == [(1, 1, False, True, True)]
+    links = spark.createDataFrame([(1, "S")], "id_curso bigint, nombre_sesion string")
+    replaced = updates.replace_course_sessions(t, links)
+    assert rows(replaced.removed["tiene_sesion"]) == [(1, 1), (1, 2)]
+    assert rows(replaced.added["tiene_sesion"]) == [(1, 1), (1, 3)]
+    gone = deletes.delete_members(t, t.comunidad.select("id_usuario"))
+    assert [r[0] for r in rows(gone.removed["comunidad"])] == [2, 4]
+
+
 def test_two_changes_of_one_row(spark, rows, t):
     changes = spark.createDataFrame(
         [(1, "U", 1), (1, "V", 2)], "id_sesion bigint, nombre_sesion string, orden bigint"

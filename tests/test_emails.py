@@ -43,38 +43,46 @@ def test_reply_all(spark, rows):
     assert rows(parse_reply_all(texts, keep_blank=True)) == [(1, ""), *found]
 
 
-def plain_reply_all(text: str) -> set[str]:
-    """What the parser must do, in plain Python."""
-    found = set()
-    for entry in text.split(";"):
-        address = entry.split("<")[-1].strip().rstrip(">")
-        found.add(address.replace("\n", "").replace("\r", "").strip().lower())
-    return found
+ADDRESS = st.from_regex(r"[a-z]{1,4}(\.[a-z]{1,3})?@[a-z]{1,3}\.mx", fullmatch=True)
+PAD = st.text(alphabet=" \t\r\xa0\x1f\u3000", max_size=3)
 
 
-def plain_lines(text: str, drop_cr: bool) -> set[str]:
-    kept = [line for line in text.split("\n") if line.strip()]
-    return {(line.replace("\r", "") if drop_cr else line).strip().lower() for line in kept}
+@st.composite
+def pasted(draw):
+    """An address in the noise people paste it with: padding, capitals, blank lines around it."""
+    address = draw(ADDRESS)
+    shown = "".join(c.upper() if draw(st.booleans()) else c for c in address)
+    return address, shown, draw(PAD), draw(PAD), draw(st.sampled_from(["plain", "named", "blank"]))
 
 
-TEXT = st.text(alphabet="aB@.<>; \t\r\n\xa0\x1f ", max_size=60)
+def as_line(entry):
+    _, shown, before, after, form = entry
+    return before + shown + after + ("\n" + before if form == "blank" else "")
+
+
+def as_recipient(entry):
+    _, shown, before, after, form = entry
+    return {"plain": f"{before}{shown}{after}", "named": f"{before}A. Person <{shown}>{after}", "blank": f"\n{shown};{after}"}[form]
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(TEXT, min_size=40, max_size=40))
-def test_parsers_equal_plain_python(spark, texts):
-    df = batches(spark, *texts).cache()
-    parsed = {
-        "reply": (parse_reply_all(df, keep_blank=True), plain_reply_all),
-        "lines": (parse_email_lines(df), lambda x: plain_lines(x, True)),
-        "keep": (parse_email_lines(df, drop_cr=False), lambda x: plain_lines(x, False)),
-    }
-    for found, plain in parsed.values():
-        want = {(i, correo) for i, text in enumerate(texts, 1) for correo in plain(text)}
+@given(st.lists(st.lists(pasted(), max_size=5), min_size=30, max_size=30), st.integers(0, 4))
+def test_known_addresses_come_back_from_noise(spark, texts, at):
+    want = {(i, e[0]) for i, text in enumerate(texts, 1) for e in text}
+    blank = {(i, "") for i, text in enumerate(texts, 1) if not text or any(e[4] == "blank" for e in text)}
+    lines = batches(spark, *["\n".join(map(as_line, text)) for text in texts])
+    broken = batches(spark, *["\n".join(as_line((e[0], e[1][:at] + "\r" + e[1][at:], *e[2:])) for e in text) for text in texts])
+    recipients = batches(spark, *[";".join(map(as_recipient, text)) for text in texts])
+    for found, expected in (
+        (parse_email_lines(lines), want),
+        (parse_email_lines(lines, drop_cr=False), want),
+        (parse_email_lines(broken), want),
+        (parse_reply_all(recipients), want),
+        (parse_reply_all(recipients, keep_blank=True), want | blank),
+    ):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got))
-        assert set(got) == want
-    df.unpersist()
+        assert set(got) == expected
 
 
 def test_white_space_is_what_python_strips(spark):

@@ -2,6 +2,7 @@
 
 import re
 from contextlib import contextmanager
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from samples.queries import QUERIES
 from samples.views import Samples
 from tertulia import SCHEMAS, load_tables
-from tertulia.operators import registrations, reports, rosters
+from tertulia.operators import lookups, registrations, reports, rosters, updates
+from tertulia.plans import staging
 from tertulia.plans.joins import COPIES_PER_ARRAY, drop_keys, repeat_rows
+from tertulia.plans.session import cluster_settings
 from tertulia.sources import append_rows, write_snapshot
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +167,54 @@ def test_copies_come_back_in_bounded_arrays(spark):
     assert back.select("_copy").distinct().count() == many
 
 
+def test_copies_of_one_row_are_made_by_several_tasks(spark):
+    counted = spark.createDataFrame([("b", COPIES_PER_ARRAY * 20)], "k string, copias bigint")
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        tasks = repeat_rows(counted).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2
+    assert sum(r["count"] for r in tasks) == COPIES_PER_ARRAY * 20
+
+
+def test_facts_are_cut_to_the_area_before_they_are_shuffled(spark, stored):
+    plan = plan_of(reports.top_participants(stored, area="IT"))
+    for fact in ("asistencia_sesion", "registrados_curso"):
+        above = plan[: plan.index(f"/{fact}")].splitlines()
+        semi = max(i for i, line in enumerate(above) if "LeftSemi" in line)
+        distinct = max(i for i, line in enumerate(above) if "Exchange hashpartitioning(id_usuario" in line and "_id" in line)
+        assert distinct < semi
+
+
+def test_a_small_change_is_broadcast_to_the_table(spark, stored):
+    batch = spark.createDataFrame([(1, 1, True, True)], "id_curso bigint, id_usuario bigint, status boolean, curso_aprobado boolean")
+    plan = plan_of(updates.set_registrant_status(stored, batch).changed["registrados_curso"])
+    assert "BroadcastHashJoin" in plan
+    table = plan[: plan.index("/registrados_curso")].splitlines()
+    join = max(i for i, line in enumerate(table) if "BroadcastHashJoin" in line)
+    assert not any("Exchange hashpartitioning" in line for line in table[join:])
+
+
+def test_building_a_report_runs_no_job(spark, stored):
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for report in (reports.top_participants, reports.top_participants_by_area, reports.engagement_summary):
+            report(stored)
+        reports.top_participants(stored, area="IT")
+        reports.class_attendance(stored, 1)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_staged_folders_are_released(spark):
+    folder = Path(staging._folder(spark).removeprefix("file://"))
+    held = lambda: {p.name for p in folder.rglob("tertulia-*")}
+    before = held()
+    with staging.staging(spark):
+        assert staging.stage(spark.range(3)).count() == 3
+        assert len(held() - before) == 1
+    assert held() == before
+
+
 def test_snapshots_are_never_overwritten(spark, stored, tmp_path):
     path = str(tmp_path / "s")
     write_snapshot(stored.sesion, path, cluster_by=["id_sesion"])
@@ -186,13 +237,36 @@ def test_warehouse_tables_are_cast_to_the_declared_types(spark, tmp_path):
         spark.sql("DROP TABLE default.tiene_sesion")
 
 
-def test_staging_needs_a_shared_folder_on_a_cluster(spark):
-    from tertulia.plans import staging
+def test_text_that_is_no_date_has_no_date(spark, tmp_path):
+    rows = [(1, 1, "soon", "2024-02-28", "P", True, "c"), (2, 1, "2024-02-01", "2024-02-28", "P", True, "c")]
+    table = spark.createDataFrame(rows, "id_curso int, id_catalogo int, fecha_inicio string, fecha_fin string, proveedor string, requiere_caso_uso boolean, correo_contacto string")
+    table.write.option("path", str(tmp_path / "c")).saveAsTable("default.curso")
+    spark.createDataFrame([(1, "SQL")], SCHEMAS["catalogo_cursos"]).write.option("path", str(tmp_path / "k")).saveAsTable("default.catalogo_cursos")
+    try:
+        labels = lookups.course_labels(load_tables(spark, "default", fmt="table")).collect()
+        assert {r.id_curso: r.etiqueta for r in labels} == {1: "SQL (Fecha no disponible)", 2: "SQL (01/02/2024 - 28/02/2024)"}
+    finally:
+        spark.sql("DROP TABLE default.curso")
+        spark.sql("DROP TABLE default.catalogo_cursos")
+
 
-    class Cluster:
-        conf = {"spark.master": "yarn"}
+def test_large_tables_need_partition_options_over_jdbc(spark):
+    with pytest.raises(ValueError, match="numPartitions"):
+        load_tables(spark, "jdbc:x", fmt="jdbc").asistencia_clase  # noqa: B018
+
+
+def test_staging_needs_a_shared_folder():
+    class Session:
+        conf = {"spark.master": "local[8]"}
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging._folder(Cluster)
-    Cluster.conf = {"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///ck"}
-    assert staging._folder(Cluster) == "hdfs:///ck"
+        staging._folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///ck"}
+    assert staging._folder(Session) == "hdfs:///ck"
+
+
+def test_cluster_settings_grow_with_the_input():
+    assert cluster_settings(1, "s3a://x/ck")["spark.sql.shuffle.partitions"] == "200"
+    large = cluster_settings(100 * 1024, "s3a://x/ck")
+    assert large["spark.sql.shuffle.partitions"] == "409600"
+    assert large["spark.checkpoint.dir"] == "s3a://x/ck"
