@@ -196,15 +196,21 @@ def _reads(sql: str) -> list[str]:
 
 
 class Samples:
-    """The derived tables in `tables`, and the inputs of changes by name."""
+    """The derived tables in `tables`, and the inputs of changes by name.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None):
+    `stored` is a folder that holds the inputs as written before, which are then read from there.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None, stored: str | None = None):
         self._spark = spark
         self._sf_dir = sf_dir
+        self._stored = stored
         self._raw: set[str] = set()
         self.tables = tables or Tables(self.view)
 
     def view(self, name: str) -> DataFrame:
+        if self._stored and name in INPUTS:
+            return self._spark.read.parquet(f"{self._stored}/{name}")
         for table in _reads(VIEWS[name]):
             if table in RAW and table not in self._raw:
                 self._spark.read.parquet(f"{self._sf_dir}/{table}.parquet").createOrReplaceTempView(table)

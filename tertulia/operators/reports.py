@@ -15,7 +15,7 @@ from tertulia.plans.joins import count_links, without_match, zero_if_null
 from tertulia.sources.tables import Tables
 
 TOP = 10
-MEMBER, SESSION, COURSE = 0, 1, 2  # where a row of several tables in one comes from
+SESSION, COURSE = 1, 2  # where a row of several tables in one comes from
 
 
 def _sum_if(flag: str) -> Column:
@@ -74,51 +74,54 @@ def course_funnel(t: Tables, id_curso: int | None = None) -> DataFrame:
 # Engagement
 
 
-def _distinct_of_members(t: Tables, links: DataFrame, key: str) -> DataFrame:
-    known = links.join(t.comunidad.select("id_usuario"), "id_usuario", "left_semi")
-    return known.agg(F.countDistinct(key))
-
-
 def engagement_summary(t: Tables) -> DataFrame:
     """One row on the whole community.
 
     `cursos_completados` counts a completed registration once per session its member attended,
     as joining both facts to the member does; `cursos_completados_unicos` counts it once.
+
+    Each fact is cut to known members once, by a semi join that both the counts per member and the
+    distinct sessions or runs read. Both read the same columns, so that Spark shuffles them once. A
+    member with a large share of the rows is split where spark.sql.adaptive.forceOptimizeSkewedJoin is on.
     """
-    def tagged(df: DataFrame, source: int, active: Column, completed: Column) -> DataFrame:
-        rows = df.where("id_usuario IS NOT NULL")
-        return rows.select(
-            "id_usuario", F.lit(source).alias("_de"), active.alias("_activo"), completed.alias("_completo")
+    members = t.comunidad.where("id_usuario IS NOT NULL").select("id_usuario")
+    attended = t.asistencia_sesion.select("id_usuario", "id_sesion").join(members, "id_usuario", "left_semi")
+    registered = t.registrados_curso.select(
+        "id_usuario", "id_curso", F.when(F.col("curso_aprobado"), 1).otherwise(0).cast("long").alias("_completo")
+    ).join(members, "id_usuario", "left_semi")
+
+    per_member = (
+        members.groupBy("id_usuario").agg(F.count(F.lit(1)).alias("_filas"))
+        .join(
+            attended.groupBy("id_usuario").agg(
+                F.count(F.lit(1)).alias("_asistencias"), F.count("id_sesion").alias("_sesiones")
+            ),
+            "id_usuario", "left",
         )
-
-    completed = F.when(F.col("curso_aprobado"), 1).otherwise(0)
-    # Members and facts meet in one count per member, not in a join per fact.
-    rows = (
-        tagged(t.comunidad, MEMBER, F.lit(False), F.lit(0))
-        .unionByName(tagged(t.asistencia_sesion, SESSION, F.col("id_sesion").isNotNull(), F.lit(0)))
-        .unionByName(tagged(t.registrados_curso, COURSE, F.col("id_curso").isNotNull(), completed))
-    )
-    members = rows.groupBy("id_usuario").agg(
-        F.count(F.when(F.col("_de") == MEMBER, 1)).alias("_filas"),
-        F.count(F.when(F.col("_de") == SESSION, 1)).alias("_asistencias"),
-        F.max("_activo").alias("_activo"),
-        F.sum("_completo").alias("_completados"),
-    )
-    per_session = F.col("_completados") * F.greatest("_asistencias", F.lit(1))
-    summary = members.where("_filas > 0").agg(
-        F.count("id_usuario").alias("total_usuarios"),
-        F.count(F.when(F.col("_activo"), F.col("id_usuario"))).alias("usuarios_participantes"),
-        F.sum(per_session * F.col("_filas")).alias("cursos_completados"),
-        F.sum("_completados").alias("cursos_completados_unicos"),
+        .join(
+            registered.groupBy("id_usuario").agg(
+                F.count("id_curso").alias("_cursos"), F.sum("_completo").alias("_completados")
+            ),
+            "id_usuario", "left",
+        )
+    )
+    active = F.coalesce(F.col("_sesiones") > 0, F.lit(False)) | F.coalesce(F.col("_cursos") > 0, F.lit(False))
+    per_session = F.col("_completados") * F.greatest(F.coalesce("_asistencias", F.lit(1)), F.lit(1)) * F.col("_filas")
+    summary = per_member.agg(
+        F.count(F.lit(1)).alias("total_usuarios"),
+        F.count(F.when(active, 1)).alias("usuarios_participantes"),
+        F.coalesce(F.sum(per_session), F.lit(0)).alias("cursos_completados"),
     )
-    return summary.select(
+    runs = registered.groupBy("id_curso").agg(F.sum("_completo").alias("_completados"))
+    of_runs = runs.agg(F.struct(F.count("id_curso").alias("n"), F.coalesce(F.sum("_completados"), F.lit(0)).alias("c"))).scalar()
+    return summary.withColumn("_runs", of_runs).select(
         "total_usuarios",
         "usuarios_participantes",
         (F.col("total_usuarios") - F.col("usuarios_participantes")).alias("usuarios_no_participantes"),
-        _distinct_of_members(t, t.asistencia_sesion, "id_sesion").scalar().alias("sesiones_asistidas"),
-        _distinct_of_members(t, t.registrados_curso, "id_curso").scalar().alias("cursos_inscritos"),
+        attended.agg(F.countDistinct("id_sesion")).scalar().alias("sesiones_asistidas"),
+        F.col("_runs.n").alias("cursos_inscritos"),
         "cursos_completados",
-        "cursos_completados_unicos",
+        F.col("_runs.c").alias("cursos_completados_unicos"),
     )
 
 

@@ -193,6 +193,19 @@ def test_a_small_change_is_broadcast_to_the_table(spark, stored):
     assert not any("Exchange hashpartitioning" in line for line in table[join:])
 
 
+def test_each_fact_is_shuffled_by_member_once(spark, stored):
+    with settings(spark, **NO_BROADCAST):
+        df = reports.engagement_summary(stored)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    # The distinct sessions and runs are counted from the shuffle by member that the counts made.
+    reused = re.findall(r"ReusedExchange \[([^]]*)\], Exchange hashpartitioning\(id_usuario", plan)
+    for key in ("id_sesion", "id_curso"):
+        assert any(key in columns for columns in reused)
+        distinct = plan[plan.index(f"Exchange hashpartitioning({key}") :]
+        assert distinct.index("ReusedExchange") < distinct.index("Initial Plan")
+
+
 def test_building_a_report_runs_no_job(spark, stored):
     spark.sparkContext.setJobGroup("building", "")
     try:
