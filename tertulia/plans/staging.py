@@ -6,20 +6,22 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[str] = []
 
 
 def _folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise RuntimeError("start the session with spark.checkpoint.dir set to a folder that all executors share")
     return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder the session names in spark.checkpoint.dir and read it back.
+    """Write `df` to the folder the session names in spark.checkpoint.dir (or else was given by
+    setCheckpointDir) and read it back.
 
     This cuts the lineage, survives the loss of executors, and gives Catalyst the true size of
     the rows, so a small batch is broadcast to a large table and a large one is not. It also
@@ -42,6 +44,16 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _staged.pop()
 
 
+@contextmanager
+def shared(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep an input that several reports read, such as the course labels, while they run."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Delete at the end of the block what was staged in it."""

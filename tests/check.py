@@ -17,13 +17,12 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as driver  # noqa: E402
-from samples.views import RAW  # noqa: E402
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for name in RAW:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 
@@ -64,10 +63,9 @@ if __name__ == "__main__":
     from tertulia.plans.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(driver.queries())
+    names = sys.argv[2:] or list(driver.oracle_sql())
     session, duck = local_session(8), connect(sf)
-    missing = set(driver.queries()) ^ set(driver.oracle_sql())
-    print("keys without a pair:", missing)
+    print("without SQL:", sorted(set(driver.queries()) - set(driver.oracle_sql())))
     for key in names:
         start = time.time()
         try:

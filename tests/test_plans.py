@@ -218,6 +218,15 @@ def test_building_a_report_runs_no_job(spark, stored):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_labels_are_read_once_while_shared(spark, stored):
+    with staging.shared(lookups.course_labels(stored)) as labels:
+        first = labels.where("nombre_curso = 'Brand#1'")
+        assert "InMemoryTableScan" in plan_of(first)
+        assert first.count() + labels.where("nombre_curso <> 'Brand#1'").count() == stored.curso.count()
+    assert not labels.is_cached
+    assert "InMemoryTableScan" not in plan_of(lookups.course_labels(stored))
+
+
 def test_staged_folders_are_released(spark):
     folder = Path(staging._folder(spark).removeprefix("file://"))
     held = lambda: {p.name for p in folder.rglob("tertulia-*")}
@@ -269,11 +278,20 @@ def test_large_tables_need_partition_options_over_jdbc(spark):
 
 
 def test_staging_needs_a_shared_folder():
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
     class Session:
         conf = {"spark.master": "local[8]"}
+        sparkContext = Context()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging._folder(Session)
+    Context.folder = "file:/ck"
+    assert staging._folder(Session) == "file:/ck"
     Session.conf = {"spark.checkpoint.dir": "hdfs:///ck"}
     assert staging._folder(Session) == "hdfs:///ck"
 
