@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -44,6 +44,16 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _staged.pop()
 
 
+def stage_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what `build` returns, and delete what was staged on the way to it."""
+    before = len(_staged)
+    result = stage(build())
+    own = _staged.pop()
+    release(spark, before)
+    _staged.append(own)
+    return result
+
+
 @contextmanager
 def shared(df: DataFrame) -> Iterator[DataFrame]:
     """Keep an input that several reports read, such as the course labels, while they run."""

@@ -234,6 +234,9 @@ def test_staged_folders_are_released(spark):
     with staging.staging(spark):
         assert staging.stage(spark.range(3)).count() == 3
         assert len(held() - before) == 1
+        kept = staging.stage_result(spark, lambda: staging.stage(spark.range(5)).where("id > 1"))
+        assert len(held() - before) == 2
+        assert kept.count() == 3
     assert held() == before
 
 
