@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 import tertulia.llm
 from tertulia.llm import backoff, chat, licenses, minmax, mixing, multiindex, packing, pii, quality, urls
+from tertulia.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 # Workers need not have this repository on their path.
 cloudpickle.register_pickle_by_value(tertulia.llm)
@@ -77,25 +80,6 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP6_SQL = r"""
-WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), marked AS (
-  SELECT *, length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
-            + length('<turn:></turn>') + 1 AS chars
-  FROM rows
-)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, text, role)) AS turns_sha256,
-       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, text, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
-"""
-
-
 def op7_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -131,4 +115,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_minmax": op10_minmax,
 }
-ORACLE: dict[str, str] = {"op6_chat": OP6_SQL}
