@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tertulia.llm import minmax, mixing, packing, pii, quality
-from tertulia.plans.staging import stage
+from tertulia.plans.staging import stage_result
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir))
+        docs = stage_result(spark, lambda function=function, docs=docs: function(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
