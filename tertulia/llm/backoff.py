@@ -56,28 +56,33 @@ class Automaton:
     failure: list[int]
     backoff: list[float]
 
-    def walk(self, words: list[bytes]) -> tuple[float, list[bytes]]:
-        """Sum of all weights passed, and the tokens that are not in the automaton."""
+    def walk(self, words: list[bytes]) -> tuple[float, float, list[bytes]]:
+        """Sum of all weights passed, sum of the weights that the initial state has for the same tokens,
+        and the tokens that are not in the automaton."""
         number, arcs, failure, backoff = self.numbers.get, self.arcs, self.failure, self.backoff
         first_next, first_weight = self.first_next, self.first_weight
-        state, total, rare = 0, 0.0, []
+        state, total, plain, rare = 0, 0.0, 0.0, []
         for word in words:
             token = number(word)
+            if token is None:
+                while state:
+                    total += backoff[state]
+                    state = failure[state]
+                rare.append(word)
+                continue
+            weight = first_weight[token]
+            plain += weight
             while state:
                 arc = arcs[state].get(token)
                 if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
+                    state, weight = arc
                     break
                 total += backoff[state]
                 state = failure[state]
             else:
-                if token is None:
-                    rare.append(word)
-                else:
-                    state = first_next[token]
-                    total += first_weight[token]
-        return total, rare
+                state = first_next[token]
+            total += weight
+        return total, plain, rare
 
     @staticmethod
     def build(numbers: dict[bytes, int], unigrams: list[float], ngrams: dict[tuple[int, ...], int], counts: list[int]) -> Automaton:
@@ -235,29 +240,26 @@ def score(docs: DataFrame, order: int = 3, token_share: float = 1e-6, ngram_shar
         ngrams |= dict(zip(grams, times.tolist(), strict=True))
         levels.append(keys)
     automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], ngrams, by_number)
-    base = [math.log10((c + PSEUDO) / below) for c in by_number]
     parts = tuple(vars(automaton).values())
-    bound = docs.sparkSession.sparkContext.broadcast((parts, array("d", base)))
+    bound = docs.sparkSession.sparkContext.broadcast(parts)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, base = bound.value
-        automaton = Automaton(*parts)
+        automaton = Automaton(*bound.value)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows, words, times = array("q"), [], array("q")
             known, score, plain, lengths, ids = array("q"), array("d"), array("d"), array("q"), array("q")
             for value in batch.column(2):
                 text = tokens(value.as_py())
-                total, rare = automaton.walk(text)
+                total, base, rare = automaton.walk(text)
                 seen = Counter(rare)
                 rows.extend([row] * len(seen))
                 words += seen.keys()
                 times.extend(seen.values())
-                in_automaton = [base[i] for i in map(automaton.numbers.get, text) if i is not None]
                 ids.append(row)
                 lengths.append(len(text))
-                known.append(len(in_automaton))
-                plain.append(math.fsum(in_automaton))
+                known.append(len(text) - len(rare))
+                plain.append(base)
                 score.append(total)
                 row += 1
             own = [b" %d" % i for i in ids]  # no token: spreads these rows in the join

@@ -7,8 +7,10 @@ that share a band are candidates, and each link is confirmed on the full sets.
 
 Documents with equal sets form a class, and from there on only classes are handled, so a crowd of copies
 is one node. Of a bucket of near copies not all pairs are tried: every member is compared with the
-bucket's first, links are joined into components, and only where a bucket still has several components
+bucket's centre, links are joined into components, and only where a bucket still has several components
 are members of different ones compared with each other. A pair within a component could not change it.
+Before that, what is found in one candidate's set only is counted: it bounds every intersection, so a
+copy with too many changes of its own drops out without being compared at all.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from tertulia.plans.staging import stage
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000, one of 0.85 once in 50 million
 HASHES = BANDS * ROWS // 2
-FEW_BITS = 28  # of the 96 lowest bits of two signatures; a pair of similarity 0.8 differs in more once in 28 million
+SIEVE = 2**24
+BLOCK_ITEMS = 200_000  # items of the sets in a block of members
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"seed%d" % i) for i in range(HASHES)], np.uint64)
 
@@ -85,19 +88,11 @@ def bands(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def low_bits(values: np.ndarray) -> tuple[int, int]:
-    """One bit of each value of a signature, in two numbers."""
-    packed = np.packbits((scramble(values) >> np.uint64(7)).astype("uint8") & 1)
-    wide = np.zeros(16, "uint8")
-    wide[: len(packed)] = packed
-    return tuple(int(x) for x in wide.view(np.int64))
-
-
 def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (of equal sets; null for an empty one), bands and bits."""
+    """doc_id, text_hash, n_shingles, class (of equal sets; null for an empty one) and bands."""
     kinds = {
         "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "class": pa.binary(),
-        "bands": pa.list_(pa.int64()), "bits1": pa.int64(), "bits2": pa.int64(),
+        "bands": pa.list_(pa.int64()),
     }
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,47 +102,81 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
             for value in batch.column(2):
                 items = shingles(value.as_py(), width, hashes)
                 if not len(items):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None))
                     continue
-                values = signature(items)
-                rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), bands(values), *low_bits(values)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), bands(signature(items))))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
             arrays = [pa.array(c, kind) for c, kind in zip(columns, list(kinds.values())[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=list(kinds))
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return read.mapInArrow(
-        of_batch, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>, bits1 long, bits2 long"
-    )
+    return read.mapInArrow(of_batch, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """The set of each class in `wanted` (class, doc_id, text_hash), from one of its documents."""
+    """The set of each node in `wanted` (node, doc_id, text_hash), from one of its documents."""
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(value.as_py(), width, hashes).view(np.int64) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["class", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     same = F.col("hash").eqNullSafe(F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
-    found = read.join(wanted, same).select("class", "text")
-    return found.mapInArrow(of_batch, "class binary, items array<long>")
+    found = sifted(read, ["id", "hash"], wanted, ["doc_id", "text_hash"]).join(wanted, same).select("node", "text")
+    return found.mapInArrow(of_batch, "node long, items array<long>")
+
+
+def sifted(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str]) -> DataFrame:
+    """`rows` without most of those whose keys are not in `wanted`, so that a join moves little text.
+
+    The keys set bits of a map of SIEVE bits, which goes to every task: 64 bits a row, 262,144 rows at
+    most, whatever the size of `wanted`.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
+    bits = (
+        wanted.select(place(wanted_keys).alias("place"))
+        .groupBy(F.expr("place div 64").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    )
+    placed = rows.withColumn("place", place(keys)).withColumn("word", F.expr("place div 64"))
+    hit = F.expr("shiftright(bits, cast(place % 64 as int)) & 1") == 1
+    return placed.join(F.broadcast(bits), "word").where(hit).drop("place", "word", "bits")
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """How many items of each node's set occur in another node's set, too: node, shared.
+
+    No intersection can be larger, which rules out most pairs of copies that were changed in many
+    places: what was changed is found in one copy only. Only items found once are passed on.
+    """
+    single = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
+    ).where("n = 1")
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("node", F.size("items").alias("n")).join(own, "node", "left").select(
+        "node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
+    )
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    first = sets.select(F.col("class").alias("a"), F.col("items").alias("left"))
-    second = sets.select(F.col("class").alias("b"), F.col("items").alias("right"))
+    first = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
+    second = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     similar = 100 * both >= percent * (F.size("left") + F.size("right") - both)
     return pairs.join(second, "b").join(first, "a").where(similar).select("a", "b")
 
 
-def sizes_allow(n: Column | str, m: Column | str, percent: int) -> Column:
-    """Sets of these sizes can be similar enough."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def possible(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar enough, by their sizes and by how much of them is shared at all.
+
+    `a` and `b` are prefixes of the columns with these figures.
+    """
+    n, m = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
+    both = F.least(n, m, f"{a}shared", f"{b}shared")
+    return 100 * both >= percent * (n + m - both)
 
 
 def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -165,35 +194,46 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sketches = stage(sketch(docs, width))
     some = sketches.where("n_shingles > 0")
     one = F.struct("doc_id", "text_hash")
+    grouped = some.groupBy("class").agg(
+        F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one)).alias("row"),
+        *[F.first(c).alias(c) for c in ("n_shingles", "bands")],
+    )
+    # From here on a class goes by a number, which is settled with the table.
     classes = stage(
-        some.groupBy("class").agg(
-            F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one)).alias("row"),
-            *[F.first(c).alias(c) for c in ("n_shingles", "bits1", "bits2", "bands")],
-        ).select("class", "row.*", "n_shingles", "bits1", "bits2", "bands")
+        grouped.select(F.monotonically_increasing_id().alias("node"), "class", "row.*", "n_shingles", "bands")
+    )
+    keyed = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    candidates = stage(keyed.join(crowded, "key"))
+
+    wanted = candidates.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
+    sets = stage(full_sets(docs, stage(wanted), width).groupBy("node").agg(F.first("items").alias("items")))
+    counts = stage(shared_counts(sets))
+    able = candidates.join(counts, "node").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    # The centre is the member with the least of its own: what the others were copied from, if it is there.
+    nearest = F.min(F.struct((1 - F.col("shared") / F.col("n_shingles")).alias("own"), "node"))
+    buckets = able.groupBy("key").agg(nearest.alias("nearest"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    members = stage(able.join(buckets.select("key", F.col("nearest.node").alias("centre")), "key"))
+
+    figures = classes.select(F.col("node").alias("centre"), F.col("n_shingles").alias("c_n_shingles")).join(
+        counts.select(F.col("node").alias("centre"), F.col("shared").alias("c_shared")), "centre"
     )
-    keyed = classes.select("class", "n_shingles", "bits1", "bits2", F.explode("bands").alias("key"))
-    first = F.min(F.struct("class", "n_shingles"))
-    shared = keyed.groupBy("key").agg(first.alias("first"), F.max("class").alias("last")).where("first.class != last")
-    shared = shared.select("key", F.col("first.class").alias("centre"), F.col("first.n_shingles").alias("centre_n"))
-    members = stage(keyed.join(shared, "key"))
-
-    wanted = members.select("class").distinct().join(classes.select("class", "doc_id", "text_hash"), "class")
-    sets = stage(full_sets(docs, stage(wanted), width).groupBy("class").agg(F.first("items").alias("items")))
-    stars = members.where(F.col("class") != F.col("centre")).where(sizes_allow("n_shingles", "centre_n", percent))
-    links = stage(confirmed(stars.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct(), sets, percent))
+    stars = members.where("node != centre").select("centre", "node", "n_shingles", "shared").distinct()
+    stars = stars.join(figures, "centre").where(possible("", "c_", percent))
+    links = stage(confirmed(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent))
     joined = components(links)
 
-    more = stage(confirmed(unsettled(members, joined, percent), sets, percent))
+    more = stage(links_between(members, joined, sets, percent))
     stars_so_far = joined.select(F.col("root").alias("a"), F.col("node").alias("b"))
     joined = components(stars_so_far.unionByName(more))
 
-    named = classes.select(F.col("class").alias("node"), "doc_id")
+    named = classes.select("node", "class", "doc_id")
     roots = joined.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(joined.select("node", "root"))
     of_root = roots.join(named, "node").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     lowest = roots.join(of_root, "root").select("node", "lowest", F.lit(True).alias("linked"))
     ids = stage(
         named.join(lowest, "node", "left").select(
-            F.col("node").alias("class"), F.when(F.col("linked"), F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
+            "class", F.when(F.col("linked"), F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
         )
     )
     linked = some.join(ids, "class").select("doc_id", "text_hash", "n_shingles", "component_id")
@@ -201,25 +241,65 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unsettled(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, and have not been compared yet.
+def links_between(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that no star has connected.
 
-    One side is always a member outside the component of its bucket's centre; so a bucket costs the
-    number of these times its size, and nothing once all its members are connected.
+    Buckets of one centre are taken together, so that a pair meets once. One side of a pair is a member
+    outside the centre's component, so a group costs the number of these times its size, and nothing
+    once all its members are connected. Members meet in blocks of bounded size, with their full sets;
+    pairs are compared within a task and only links become rows.
     """
-    root = joined.select(F.col("node").alias("class"), "root")
-    rooted = members.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = members.select("centre", "node", "shared").distinct().join(joined.select("node", "root"), "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     centres = joined.select(F.col("node").alias("centre"), F.col("root").alias("main"))
     rooted = rooted.join(centres, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    held = stage(rooted.join(mixed, "key").select("key", "class", "root", "main", "centre", "n_shingles", "bits1", "bits2"))
-    outside = held.where("root != main").select("key", *[F.col(c).alias(f"o_{c}") for c in ("class", "root", "n_shingles", "bits1", "bits2")])
-    differing = F.bit_count(F.col("bits1").bitwiseXOR(F.col("o_bits1"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("o_bits2")))
-    fresh = (F.col("class") != F.col("centre")) & (F.col("root") != F.col("o_root"))
-    once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("o_class"))
-    near = sizes_allow("n_shingles", "o_n_shingles", percent) & (differing <= FEW_BITS)
-    met = held.join(outside, (held["key"] == outside["key"]) & fresh & once & near)
-    return met.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
+    several = rooted.groupBy("centre").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("shared").alias("items")
+    ).where("low < high")
+    blocks = several.select("centre", F.ceil(F.col("items") / BLOCK_ITEMS).alias("blocks"))
+    held = stage(
+        rooted.join(blocks, "centre").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
+    )
+
+    def in_blocks(rows: DataFrame, name: str) -> DataFrame:
+        member = F.struct("node", "root", "shared", "items")
+        return rows.groupBy("centre", "block").agg(F.collect_list(member).alias(name)).drop("block")
+
+    met = in_blocks(held.where("root != main"), "some").join(in_blocks(held, "others"), "centre").select("some", "others")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                pairs = linked_pairs(batch.column(0)[row].values, batch.column(1)[row].values, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in pairs], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+def linked_pairs(some: pa.StructArray, others: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a member of `some` and one of `others`, of different roots, whose sets are similar enough."""
+    values = lambda side, name: side.field(name).to_numpy(zero_copy_only=False)
+    items, sizes = others.field("items").flatten().to_numpy(), np.diff(others.field("items").offsets.to_numpy())
+    order = np.argsort(items, kind="stable")
+    items, owners = items[order], np.repeat(np.arange(len(others)), sizes)[order]
+    nodes, roots, shared = values(others, "node"), values(others, "root"), values(others, "shared")
+    left, right = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    own_items = some.field("items").flatten().to_numpy()
+    ends = np.cumsum(np.diff(some.field("items").offsets.to_numpy()))
+    for k, (node, root, own_shared) in enumerate(zip(values(some, "node"), values(some, "root"), values(some, "shared"), strict=True)):
+        own = own_items[ends[k - 1] if k else 0 : ends[k]]
+        most = np.minimum(shared, own_shared)
+        able = (roots != root) & (100 * most >= percent * (sizes + len(own) - most))
+        if not able.any():
+            continue
+        first, last = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+        counts = last - first
+        places = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        both = np.bincount(owners[places], minlength=len(others))
+        near = able & (100 * both >= percent * (sizes + len(own) - both))
+        left.append(np.full(near.sum(), node))
+        right.append(nodes[near])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
