@@ -16,13 +16,21 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then to its smaller ones, until all point at the smallest. The table of edges never
     grows, no node gathers its neighbours, and the rounds are about the logarithm of the longest path.
     """
-    pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current, before = stage(pairs), None
-    while True:
-        mark = current.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if mark == before or not mark[0]:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        current, before = stage(_small_star(_large_star(current))), mark
+    current = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _all_stars(current):
+        current = stage(_small_star(_large_star(current)))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node points at one root, and no root points at another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("points"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.min("points").alias("least"))
+    # A node that is pointed at has a row with 0; then it must not point itself.
+    unfit = nodes.where((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("least") == 0)))
+    return unfit.isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

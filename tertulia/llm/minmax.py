@@ -145,19 +145,13 @@ def sifted(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: lis
     return placed.join(F.broadcast(bits), "word").where(hit).drop("place", "word", "bits")
 
 
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """How many items of each node's set occur in another node's set, too: node, shared.
-
-    No intersection can be larger, which rules out most pairs of copies that were changed in many
-    places: what was changed is found in one copy only. Only items found once are passed on.
-    """
+def own_counts(sets: DataFrame) -> DataFrame:
+    """How many items of each node's set occur in no other node's set: node, own; nodes without any
+    are left out. Only items found once are passed on."""
     single = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
     ).where("n = 1")
-    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return sets.select("node", F.size("items").alias("n")).join(own, "node", "left").select(
-        "node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
-    )
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,24 +202,23 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     wanted = candidates.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
     sets = stage(full_sets(docs, stage(wanted), width).groupBy("node").agg(F.first("items").alias("items")))
-    counts = stage(shared_counts(sets))
-    able = candidates.join(counts, "node").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    # What is a node's own is in no intersection, which rules out most pairs of copies that were changed
+    # in many places.
+    shared = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    able = candidates.join(own_counts(sets), "node", "left").select("key", "node", "n_shingles", shared.alias("shared"))
+    able = stage(able.where(100 * F.col("shared") >= percent * F.col("n_shingles")))
     # The centre is the member with the least of its own: what the others were copied from, if it is there.
-    nearest = F.min(F.struct((1 - F.col("shared") / F.col("n_shingles")).alias("own"), "node"))
-    buckets = able.groupBy("key").agg(nearest.alias("nearest"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = stage(able.join(buckets.select("key", F.col("nearest.node").alias("centre")), "key"))
-
-    figures = classes.select(F.col("node").alias("centre"), F.col("n_shingles").alias("c_n_shingles")).join(
-        counts.select(F.col("node").alias("centre"), F.col("shared").alias("c_shared")), "centre"
-    )
-    stars = members.where("node != centre").select("centre", "node", "n_shingles", "shared").distinct()
-    stars = stars.join(figures, "centre").where(possible("", "c_", percent))
+    nearest = F.min(F.struct((1 - F.col("shared") / F.col("n_shingles")).alias("part"), "node", "n_shingles", "shared"))
+    buckets = able.groupBy("key").agg(nearest.alias("near"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    centres = buckets.select("key", *[F.col(f"near.{a}").alias(b) for a, b in (("node", "centre"), ("n_shingles", "c_n_shingles"), ("shared", "c_shared"))])
+    members = stage(able.join(centres, "key").where("node != centre"))
+    stars = members.where(possible("", "c_", percent)).select("centre", "node").distinct()
     links = stage(confirmed(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent))
     joined = components(links)
 
     more = stage(links_between(members, joined, sets, percent))
-    stars_so_far = joined.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    joined = components(stars_so_far.unionByName(more))
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     named = classes.select("node", "class", "doc_id")
     roots = joined.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(joined.select("node", "root"))
@@ -249,7 +242,9 @@ def links_between(members: DataFrame, joined: DataFrame, sets: DataFrame, percen
     once all its members are connected. Members meet in blocks of bounded size, with their full sets;
     pairs are compared within a task and only links become rows.
     """
-    rooted = members.select("centre", "node", "shared").distinct().join(joined.select("node", "root"), "node", "left")
+    itself = members.select("centre", F.col("centre").alias("node"), F.col("c_shared").alias("shared"))
+    grouped = members.select("centre", "node", "shared").unionByName(itself).distinct()
+    rooted = grouped.join(joined.select("node", "root"), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     centres = joined.select(F.col("node").alias("centre"), F.col("root").alias("main"))
     rooted = rooted.join(centres, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
