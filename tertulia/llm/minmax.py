@@ -134,15 +134,22 @@ def sifted(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: lis
     The keys set bits of a map of SIEVE bits, which goes to every task: 64 bits a row, 262,144 rows at
     most, whatever the size of `wanted`.
     """
-    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
-    bits = (
-        wanted.select(place(wanted_keys).alias("place"))
-        .groupBy(F.expr("place div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    flagged = marked(rows, keys, wanted, wanted_keys, "hit")
+    return flagged.where("hit").drop("hit")
+
+
+def marked(rows: DataFrame, keys: list[str], wanted: DataFrame, wanted_keys: list[str], name: str) -> DataFrame:
+    """`rows` with a flag that is false only where the keys are surely not in `wanted`."""
+    word, place, bits = free_names(rows, ["word", "place", "bits"])
+    places = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
+    table = (
+        wanted.select(places(wanted_keys).alias(place))
+        .groupBy(F.expr(f"{place} div 64").alias(word))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias(bits))
     )
-    placed = rows.withColumn("place", place(keys)).withColumn("word", F.expr("place div 64"))
-    hit = F.expr("shiftright(bits, cast(place % 64 as int)) & 1") == 1
-    return placed.join(F.broadcast(bits), "word").where(hit).drop("place", "word", "bits")
+    placed = rows.withColumn(place, places(keys)).withColumn(word, F.expr(f"{place} div 64"))
+    hit = F.expr(f"shiftright({bits}, cast({place} % 64 as int)) & 1") == 1
+    return placed.join(F.broadcast(table), word, "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop(word, place, bits)
 
 
 def own_counts(sets: DataFrame) -> DataFrame:
@@ -302,13 +309,17 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat a document, the same doc_id and text, one stays.
     """
-    hashed, nth, doc_id, text_hash = free_names(docs, ["hashed", "nth", "found_id", "found_hash"])
+    hashed, nth, key, doc_id, text_hash, maybe = free_names(docs, ["hashed", "nth", "key", "found_id", "found_hash", "maybe"])
     found = stage(find(docs, width, percent).select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), "kept"))
-    rows = docs.withColumn(hashed, F.xxhash64("text"))
-    same = F.col(hashed).eqNullSafe(F.col(text_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id))
-    gone = stage(found.where("not kept").select(doc_id, text_hash).distinct())
-    twice = stage(found.where("kept").groupBy(doc_id, text_hash).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    single = rows.join(gone, same, "left_anti").join(twice, same, "left_anti").drop(hashed)
-    again = Window.partitionBy("doc_id", hashed).orderBy(hashed)
-    repeated = rows.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1)
-    return single.unionByName(repeated.drop(nth, hashed)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(hashed, F.xxhash64("text"))
+    same = F.col(hashed).eqNullSafe(F.col(text_hash)) & F.col(key).eqNullSafe(F.col(doc_id))
+    gone = found.where("not kept").select(doc_id, text_hash).distinct()
+    twice = found.where("kept").groupBy(doc_id, text_hash).agg(F.count(F.lit(1)).alias(nth)).where(F.col(nth) > 1).drop(nth)
+    gone, twice = stage(gone), stage(twice)
+    # Rows that are surely neither are not moved; the others are few and looked up.
+    flagged = marked(rows, [key, hashed], gone.unionByName(twice), [doc_id, text_hash], maybe)
+    doubtful = flagged.where(F.col(maybe)).join(gone, same, "left_anti")
+    again = Window.partitionBy(key, hashed).orderBy(hashed)
+    repeated = doubtful.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1)
+    out = flagged.where(~F.col(maybe)).unionByName(doubtful.join(twice, same, "left_anti")).unionByName(repeated.drop(nth))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
