@@ -5,16 +5,22 @@ token after its context and leads to the longest context known then, and a failu
 weight and leads to the context without its first token. A document is scored in one walk from left to
 right.
 
-The automaton must fit in every task, whatever the corpus. So it holds tokens and n-grams that make up
-at least a fixed share of all tokens: a share of 1e-6 bounds them at a million. Rare tokens are arcs of
-the initial state too, but of a table that is joined: a walk notes them, and their weights, which depend
-on exact counts, are added by a join on the token. They are rare by definition, so the join has no hot
-key. An n-gram is as frequent as a share only if its shorter parts are, so longer ones are counted over
-known parts alone.
+Every n-gram that occurs LEAST times in training is in the model, whatever the size of the corpus. The
+automaton must fit in every task, so it holds only the tokens and n-grams that make up at least a fixed
+share of all tokens: a share of 1e-6 bounds them at a million. All rarer ones are in a table. The score of
+a text is the sum, over all places, of one weight for each known n-gram that begins there: what its arc
+adds to the probability after the shorter context, and its backoff weight, which every place after it
+passes or its arc takes back. So a walk needs the exact backoff weights of its own states alone, and the
+weights of rarer n-grams are added by a join. They are rare by definition, so the join has no hot key.
+
+An n-gram goes by a hash of 64 bits, a polynomial of hashes of its tokens, from which the last token
+leaves the hash of its context. Among three billion n-grams one pair in four such corpora is expected to
+share a hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from array import array
 from collections import Counter
@@ -33,13 +39,78 @@ from tertulia.plans.staging import stage
 END = b""  # no word is empty
 DISCOUNT = 0.75
 PSEUDO = 0.1
+LEAST = 2  # n-grams that occur less often are not learned
 FLUSH = 400_000  # different tokens or n-grams that a task holds before it passes its counts on
 
 
+RARE = 1 << 63  # codes from here on are hashes of tokens, those below are numbers of frequent ones
+BASE = 0x9E3779B97F4A7C17  # 3 modulo 4, so that swapped tokens do not share hashes
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
 def tokens(text: str | None) -> list[bytes]:
     return [*lower_words(text), END]
 
 
+class Codes:
+    """Codes of tokens: the number of a frequent one, a hash of any other."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.numbers = numbers
+        self.hashes: dict[bytes, int] = {}
+
+    def _hashed(self, word: bytes) -> int:
+        code = self.hashes.get(word)
+        if code is None:
+            if len(self.hashes) > FLUSH // 4:
+                self.hashes.clear()
+            code = self.hashes[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest()) | RARE
+        return code
+
+    def of(self, words: list[bytes]) -> list[int]:
+        number, hashed = self.numbers.get, self._hashed
+        return [hashed(w) if (code := number(w)) is None else code for w in words]
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """Hashes of tokens from their codes; different codes have different hashes."""
+    x = codes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def longer(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one token more, by its code."""
+    return hashes * np.uint64(BASE) + mixed(last)
+
+
+def context_of(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams without their last token."""
+    return (hashes - mixed(last)) * np.uint64(INVERSE)
+
+
+def grams_of(codes: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to `order`, the hashes of the n-grams that lie within one document, and the
+    places where they begin. `doc` numbers the document of each code."""
+    hashes = mixed(codes)
+    yield hashes, np.arange(len(codes))
+    for k in range(2, order + 1):
+        if len(codes) < k:
+            return
+        hashes = longer(hashes[:-1], codes[k - 1 :])
+        within = np.flatnonzero(doc[: len(hashes)] == doc[k - 1 :])
+        yield hashes[within], within
+
+
+def signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view("int64"), pa.int64())
+
+
+def unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype("int64").view("uint64")
+
+
 @dataclass
 class Automaton:
     """States by number, 0 being the initial one, which has an arc for every token in `numbers`.
@@ -56,20 +127,19 @@ class Automaton:
     failure: list[int]
     backoff: list[float]
 
-    def walk(self, words: list[bytes]) -> tuple[float, float, list[bytes]]:
+    def walk(self, codes: list[int]) -> tuple[float, float, int]:
         """Sum of all weights passed, sum of the weights that the initial state has for the same tokens,
-        and the tokens that are not in the automaton."""
-        number, arcs, failure, backoff = self.numbers.get, self.arcs, self.failure, self.backoff
+        and how many tokens are in the automaton."""
+        arcs, failure, backoff = self.arcs, self.failure, self.backoff
         first_next, first_weight = self.first_next, self.first_weight
-        state, total, plain, rare = 0, 0.0, 0.0, []
-        for word in words:
-            token = number(word)
-            if token is None:
+        state, total, plain, known = 0, 0.0, 0.0, 0
+        for token in codes:
+            if token >= RARE:
                 while state:
                     total += backoff[state]
                     state = failure[state]
-                rare.append(word)
                 continue
+            known += 1
             weight = first_weight[token]
             plain += weight
             while state:
@@ -82,41 +152,34 @@ class Automaton:
             else:
                 state = first_next[token]
             total += weight
-        return total, plain, rare
+        return total, plain, known
 
     @staticmethod
-    def build(numbers: dict[bytes, int], unigrams: list[float], ngrams: dict[tuple[int, ...], int], counts: list[int]) -> Automaton:
-        """From probabilities of single tokens and counts of longer n-grams.
-
-        A known n-gram has probability (count - DISCOUNT) / count of its context. What is left goes to
-        all other tokens in proportion to their probability after the shorter context, so that the
-        probabilities after each context add up to one.
+    def build(
+        numbers: dict[bytes, int],
+        unigrams: list[float],
+        ngrams: dict[tuple[int, ...], int],
+        counts: list[int],
+        left: dict[tuple[int, ...], float],
+    ) -> Automaton:
+        """From probabilities of single tokens, counts of longer n-grams, and the logarithms of what each
+        context leaves to tokens that are not known after it (see `weights`).
+
+        The contexts of `left` are the states. A known n-gram has probability (count - DISCOUNT) / count
+        of its context. What is left goes to all other tokens in proportion to their probability after
+        the shorter context, so that the probabilities after each context add up to one.
         """
         contexts: dict[tuple[int, ...], dict[int, int]] = {}
         for gram, n in ngrams.items():
             contexts.setdefault(gram[:-1], {})[gram[-1]] = n
-        ordered = sorted(contexts, key=lambda c: (len(c), c))
+        ordered = sorted(left, key=lambda c: (len(c), c))
         state = {(): 0} | {c: i + 1 for i, c in enumerate(ordered)}
-        left = {}
 
         def known(context: tuple[int, ...]) -> int:
             while context not in state:
                 context = context[1:]
             return state[context]
 
-        def conditional(context: tuple[int, ...], token: int) -> float:
-            of_context = counts[context[0]] if len(context) == 1 else ngrams[context]
-            return (contexts[context][token] - DISCOUNT) / of_context
-
-        def probability(context: tuple[int, ...], token: int) -> float:
-            factor = 1.0
-            while context:
-                if token in contexts.get(context, ()):
-                    return factor * conditional(context, token)
-                factor *= left.get(context, 1.0)
-                context = context[1:]
-            return factor * unigrams[token]
-
         made = Automaton(
             numbers,
             array("i", [known((t,)) for t in range(len(unigrams))]),
@@ -125,14 +188,14 @@ class Automaton:
             [0],
             [0.0],
         )
+        nothing: dict[int, tuple[int, float]] = {}
         for context in ordered:
-            after = contexts[context]
-            own = sum(conditional(context, t) for t in after)
-            shorter = sum(probability(context[1:], t) for t in after)
-            left[context] = max(1 - own, 1e-12) / max(1 - shorter, 1e-12)
-            made.arcs.append({t: (known((*context, t)), math.log10(conditional(context, t))) for t in after})
+            of_context = counts[context[0]] if len(context) == 1 else ngrams[context]
+            after = contexts.get(context, {})
+            arcs = {t: (known((*context, t)), math.log10((n - DISCOUNT) / of_context)) for t, n in after.items()}
+            made.arcs.append(arcs or nothing)
             made.failure.append(known(context[1:]))
-            made.backoff.append(math.log10(left[context]))
+            made.backoff.append(left[context])
         return made
 
 
@@ -157,49 +220,115 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def count_ngrams(docs: DataFrame, frequent: dict[bytes, int], levels: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of overlapping known n-grams, each an n-gram of one token more, that occur at least `least`
-    times, and how often. For n = 1 the known ones are the tokens of `frequent`, by number; for longer
-    ones `levels` has the sorted pairs found so far, whose places are their numbers. A pair is
-    first * (how many are known) + second.
+def in_groups(batches: Iterator[pa.RecordBatch], column: int, codes: Codes) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
+    """Slices of the batches of about FLUSH tokens or one document, with the codes of each document."""
+    for batch in batches:
+        first, held, found = 0, 0, []
+        for i, value in enumerate(batch.column(column)):
+            found.append(codes.of(tokens(value.as_py())))
+            held += len(found[-1])
+            if held > FLUSH or i == len(batch) - 1:
+                yield batch.slice(first, len(found)), found
+                first, held, found = i + 1, 0, []
+
+
+def joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of some documents in one array, and which document each is of."""
+    lengths = [len(f) for f in found]
+    flat = np.fromiter((c for f in found for c in f), "uint64", sum(lengths))
+    return flat, np.repeat(np.arange(len(found)), lengths)
 
-    What reaches the driver is bounded by the share that `least` stands for.
-    """
-    widths = [len(frequent), *map(len, levels)]
-    bound = docs.sparkSession.sparkContext.broadcast((frequent, levels))
+
+def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, least: float) -> DataFrame:
+    """N-grams of two tokens or more that occur at least `least` times: level, gram, last, n, with the
+    number of tokens, the hash, and the code of the last token."""
+    bound = training.sparkSession.sparkContext.broadcast(numbers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = bound.value
-        chunks: list[np.ndarray] = []
+        codes = Codes(bound.value)
+        chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         held = 0
+        for _, found in in_groups(batches, 0, codes):
+            flat, doc = joined(found)
+            for k, (grams, places) in enumerate(grams_of(flat, doc, order), 1):
+                if k > 1:
+                    chunks.setdefault(k, []).append((grams, flat[places + k - 1]))
+            held += len(flat)
+            if held > 8 * FLUSH:
+                yield from _rows(chunks)
+                chunks, held = {}, 0
+        yield from _rows(chunks)
+
+    def _rows(chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for k, parts in chunks.items():
+            grams, last = (np.concatenate(side) for side in zip(*parts, strict=True))
+            grams, places, n = np.unique(grams, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(grams), k, "int8")), signed(grams), signed(last[places]), pa.array(n.astype("int64"))],
+                names=["level", "gram", "last", "n"],
+            )
+
+    rows = training.select("text").mapInArrow(count, "level byte, gram long, last long, n long")
+    return rows.groupBy("level", "gram").agg(F.max("last").alias("last"), F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def coded(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
+    """Tokens as n-grams of one token: gram, n."""
+    bound = counts.sparkSession.sparkContext.broadcast(numbers)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(bound.value)
         for batch in batches:
-            for value in batch.column(0):
-                ids = np.array([known.get(w, -1) for w in tokens(value.as_py())], "int64")
-                for keys, width in zip(found, widths, strict=False):
-                    pairs = pairs_of(ids, width)
-                    place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                    ids = np.where(keys[place] == pairs, place, -1)
-                pairs = pairs_of(ids, widths[-1])
-                chunks.append(pairs[pairs >= 0])
-                held += len(chunks[-1])
-                if held > 10 * FLUSH:
-                    yield _rows(chunks)
-                    chunks, held = [], 0
-        yield _rows(chunks)
-
-    def _rows(chunks: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate([np.zeros(0, "int64"), *chunks]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n.astype("int64"), pa.int64())], names=["pair", "n"])
-
-    pairs = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = pairs.where(F.col("n") >= least).orderBy("pair").toArrow()
-    return rows.column("pair").to_numpy(), rows.column("n").to_numpy()
-
-
-def pairs_of(ids: np.ndarray, width: int) -> np.ndarray:
-    """Neighbours in one number; -1 where either is unknown."""
-    a, b = ids[:-1], ids[1:]
-    return np.where((a >= 0) & (b >= 0), a * width + b, -1)
+            grams = mixed(np.array(codes.of(batch.column(0).to_pylist()), "uint64"))
+            yield pa.RecordBatch.from_arrays([signed(grams), batch.column(1)], names=["gram", "n"])
+
+    return counts.select("token", "n").mapInArrow(code, "gram long, n long")
+
+
+def with_context(grams: DataFrame) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context = context_of(unsigned(batch.column(0)), unsigned(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed(context)], names=["gram", "last", "n", "context"])
+
+    return grams.select("gram", "last", "n").mapInArrow(add, "gram long, last long, n long, context long")
+
+
+def with_suffix(arcs: DataFrame) -> DataFrame:
+    """Adds the hash of each n-gram without its first token, from that of its context; a single token
+    leaves the empty n-gram, whose hash is 0."""
+    fields = "gram long, last long, n long, context long, of_context long, suffix long"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            suffix = longer(unsigned(batch.column(5)), unsigned(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], signed(suffix)], names=[f.split()[0] for f in fields.split(", ")])
+
+    return arcs.select("gram", "last", "n", "context", "of_context", "suffix").mapInArrow(add, fields)
+
+
+def weights(ngrams: DataFrame, single: DataFrame, order: int, least: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From `ngrams` as counted and `single` tokens (gram, n, p), for each level of contexts:
+
+    backoffs   context, n, left: the logarithm of what is left for tokens not known after the context,
+               over what these have after the shorter context
+    arcs       gram, weight: the logarithm of the n-gram's probability, over what it has by backing off
+    """
+    shorter = single.where(F.col("n") >= least).select("gram", "n", "p", F.lit(0).cast("long").alias("suffix"))
+    backoffs, arcs = [], []
+    for k in range(2, order + 1):
+        of_context = shorter.select(F.col("gram").alias("context"), F.col("n").alias("of_context"), "suffix")
+        of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("p_shorter"))
+        known = with_context(ngrams.where(F.col("level") == k)).join(of_context, "context")
+        p = ((F.col("n") - DISCOUNT) / F.col("of_context")).alias("p")
+        known = stage(with_suffix(known).join(of_suffix, "suffix").select("gram", "n", "context", "of_context", "suffix", p, "p_shorter"))
+        rest = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-12))
+        left = F.log10(rest("p") / rest("p_shorter")).alias("left")
+        backoffs.append(stage(known.groupBy("context").agg(F.max("of_context").alias("n"), left)))
+        weight = F.log10("p") - F.log10("p_shorter") - F.col("left")
+        arcs.append(known.join(backoffs[-1].select("context", "left"), "context").select("gram", weight.alias("weight")))
+        shorter = known.select("gram", "n", "p", "suffix")
+    return backoffs, arcs
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -207,7 +336,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score(docs: DataFrame, order: int = 3, token_share: float = 1e-6, ngram_share: float = 1e-5) -> DataFrame:
+def score(
+    docs: DataFrame, order: int = 3, token_share: float = 1e-6, ngram_share: float = 0.0, held_share: float = 1e-5
+) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents that are not held out and scores all. Tokens are the words of the whole
@@ -217,82 +348,115 @@ def score(docs: DataFrame, order: int = 3, token_share: float = 1e-6, ngram_shar
     weights. Equal rows give equal rows, each of its own, also without a doc_id; without any training
     document all counts are zero; no rows give no rows; other columns are ignored.
 
-    `token_share` and `ngram_share` are the shares of the training tokens from which tokens and n-grams
-    are in the automaton; one over a share bounds their number.
+    All n-grams that occur LEAST times are learned; a `ngram_share` above zero leaves out those below
+    that share of the training tokens. `token_share` and `held_share` are the shares from which tokens
+    and n-grams are in the automaton rather than joined. They bound its size and change no score.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     training = read.where("not held_out").select("text")
     counts = stage(counted(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = n + PSEUDO * (v + 1)
+    least, from_tokens, from_grams = max(ngram_share * n, LEAST), token_share * n, max(held_share, token_share) * n
 
-    common = counts.where(F.col("n") >= token_share * n).orderBy(F.desc("n"), "token").toArrow()
+    common = counts.where(F.col("n") >= from_tokens).orderBy(F.desc("n"), "token").toArrow()
     numbers = {w: i for i, w in enumerate(common.column("token").to_pylist())}
     by_number = common.column("n").to_pylist()
-    ngrams: dict[tuple[int, ...], int] = {}
-    frequent = {w: i for w, i in numbers.items() if by_number[i] >= ngram_share * n}
-    grams, levels = [(i,) for i in range(len(frequent))], []
-    for _ in range(2, order + 1):
-        if not grams:
-            break
-        keys, times = count_ngrams(training, frequent, levels, max(ngram_share * n, 2))
-        grams = [(*grams[k // len(grams)], grams[k % len(grams)][-1]) for k in keys.tolist()]
-        ngrams |= dict(zip(grams, times.tolist(), strict=True))
-        levels.append(keys)
-    automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], ngrams, by_number)
-    parts = tuple(vars(automaton).values())
-    bound = docs.sparkSession.sparkContext.broadcast(parts)
+    ngrams = stage(count_ngrams(training, numbers, order, least))
+    single = stage(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
+    backoffs, arcs = weights(ngrams, single, order, least)
+
+    grams = dict(zip(mixed(np.arange(len(numbers), dtype="uint64")).tolist(), ((i,) for i in range(len(numbers))), strict=True))
+    frequent: dict[tuple[int, ...], int] = {}
+    held = with_context(ngrams.where(F.col("n") >= from_grams).orderBy("level", "gram")).toArrow()
+    hashes = unsigned(held.column("gram").combine_chunks())
+    contexts = unsigned(held.column("context").combine_chunks()).tolist()
+    for gram, context, last, times in zip(
+        hashes.tolist(), contexts, held.column("last").to_pylist(), held.column("n").to_pylist(), strict=True
+    ):
+        grams[gram] = (*grams[context], last)
+        frequent[grams[gram]] = times
+    left: dict[tuple[int, ...], float] = {}
+    for k, found in enumerate(backoffs):
+        own = found.where(F.col("n") >= (from_grams if k else from_tokens)).toArrow()
+        at = unsigned(own.column("context").combine_chunks()).tolist()
+        left |= {grams[c]: x for c, x in zip(at, own.column("left").to_pylist(), strict=True)}
+    automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], frequent, by_number, left)
+    bound = docs.sparkSession.sparkContext.broadcast((tuple(vars(automaton).values()), np.sort(hashes)))
+
+    doc = pa.struct(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("plain", pa.float64()), ("walked", pa.float64())]
+    )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*bound.value)
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows, words, times = array("q"), [], array("q")
-            known, score, plain, lengths, ids = array("q"), array("d"), array("d"), array("q"), array("q")
-            for value in batch.column(2):
-                text = tokens(value.as_py())
-                total, base, rare = automaton.walk(text)
-                seen = Counter(rare)
-                rows.extend([row] * len(seen))
-                words += seen.keys()
-                times.extend(seen.values())
-                ids.append(row)
-                lengths.append(len(text))
-                known.append(len(text) - len(rare))
-                plain.append(base)
-                score.append(total)
-                row += 1
-            own = [b" %d" % i for i in ids]  # no token: spreads these rows in the join
-            nothing = len(words)
-            yield pa.RecordBatch.from_arrays(
+        parts, held = bound.value
+        automaton = Automaton(*parts)
+        first = TaskContext.get().partitionId() << 33
+        for batch, found in in_groups(batches, 2, Codes(automaton.numbers)):
+            totals, plain, known = zip(*map(automaton.walk, found), strict=True)
+            own = pa.StructArray.from_arrays(
                 [
-                    pa.array([*rows, *ids], pa.int64()),
-                    pa.array([*words, *own], pa.binary()),
-                    pa.array([*times, *[0] * len(ids)], pa.int64()),
-                    pa.concat_arrays([pa.nulls(nothing, pa.int64()), batch.column(0)]),
-                    pa.concat_arrays([pa.nulls(nothing, pa.bool_()), batch.column(1)]),
-                    pa.concat_arrays([pa.nulls(nothing, pa.int64()), pa.array(lengths, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(nothing, pa.int64()), pa.array(known, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(nothing, pa.float64()), pa.array(plain, pa.float64())]),
-                    pa.concat_arrays([pa.nulls(nothing, pa.float64()), pa.array(score, pa.float64())]),
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(map(len, found), pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(plain, pa.float64()),
+                    pa.array(totals, pa.float64()),
                 ],
-                names=["row", "token", "times", "doc_id", "held_out", "n_tokens", "known", "plain", "walked"],
+                fields=list(doc),
             )
+            rows = np.arange(first, first + len(found))
+            # No n-grams: these hashes spread the rows in the join.
+            yield _rows(rows, mixed(rows.astype("uint64") | np.uint64(RARE)), np.zeros(len(rows), "int64"), False, own)
+            flat, of_row = joined(found)
+            for k, (grams, places) in enumerate(grams_of(flat, of_row, order), 1):
+                if k == 1:
+                    rare = flat >= np.uint64(RARE)
+                elif len(held):
+                    rare = held[np.minimum(np.searchsorted(held, grams), len(held) - 1)] != grams
+                else:
+                    rare = np.ones(len(grams), bool)
+                grams, of = grams[rare], of_row[places[rare]]
+                order_of = np.lexsort((grams, of))
+                grams, of = grams[order_of], of[order_of]
+                new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])[: len(grams)])
+                times = np.diff(np.append(new, len(grams)))
+                yield _rows(first + of[new], grams[new], times, k == 1, pa.nulls(len(new), doc))
+            first += len(found)
+
+    def _rows(rows: np.ndarray, grams: np.ndarray, times: np.ndarray, token: bool, own: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), signed(grams), pa.array(times, pa.int64()), pa.array(np.full(len(rows), token)), own],
+            names=["row", "gram", "times", "token", "doc"],
+        )
 
     walked = read.mapInArrow(
         walk,
-        "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, known long, plain double, walked double",
+        "row long, gram long, times long, token boolean, "
+        "doc struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, plain: double, walked: double>",
     )
-    rare = counts.where(F.col("n") < token_share * n)
-    weight = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + PSEUDO) / below)
-    added = walked.join(rare, "token", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("plain") + F.sum(weight)).alias("base_score"),
-        (F.sum("walked") + F.sum(weight)).alias("score"),
+    known = single.where(F.col("n") < from_tokens).select("gram", F.col("n").alias("seen"), F.lit(0.0).alias("weight"))
+    for found in backoffs:
+        known = known.unionByName(found.select(F.col("context").alias("gram"), F.lit(None).cast("long").alias("seen"), F.col("left").alias("weight")))
+    for found in arcs:
+        known = known.unionByName(found.withColumn("seen", F.lit(None).cast("long")))
+    known = stage(known.groupBy("gram").agg(F.max("seen").alias("seen"), F.sum("weight").alias("weight")))
+
+    # An n-gram that is not known adds nothing; its rows end here.
+    met = walked.join(known, "gram", "left").where("token or doc is not null or weight is not null")
+    plain = F.when(F.col("token"), F.col("times") * F.log10((F.coalesce("seen", F.lit(0)) + PSEUDO) / below)).otherwise(0.0)
+    added = met.groupBy("row").agg(
+        F.max("doc").alias("doc"),
+        F.sum(F.when(F.col("token") & (F.col("seen") > 0), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(plain).alias("plain"),
+        F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("weight"),
     )
     return added.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc.doc_id",
+        "doc.held_out",
+        "doc.n_tokens",
+        (F.col("doc.known") + F.col("known")).alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("doc.plain") + F.col("plain")).alias("base_score"),
+        (F.col("doc.walked") + F.col("plain") + F.col("weight")).alias("score"),
     )

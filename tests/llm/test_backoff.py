@@ -89,6 +89,20 @@ def test_scores_equal_their_definition(spark, order, token_share, ngram_share):
         assert math.isclose(r["score"], model.score(text), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize(("order", "shares"), [(3, [5e-3]), (3, [1e-6, 0.0, 2e-2]), (3, [2.0, 0.0, 2.0]), (4, [1e-2, 0.0, 2e-2])])
+def test_ngrams_are_learned_from_a_fixed_count_on_whatever_is_held(spark, order, shares):
+    rows = [*random_rows(), (150, "rare1 rare2 rare3 w1"), (151, "w1 rare1 rare2 rare3 w1"), (152, "rare1 rare2 rare3 rare3")]
+    model = ByHand(rows, order, 0, 0)
+    assert (b"rare1", b"rare2") in model.grams
+    found = backoff.score(documents(spark, rows).repartition(3), order, *shares).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        words = backoff.tokens(rows[r["doc_id"]][1])
+        assert r["n_known"] == sum(model.count[w] > 0 for w in words)
+        assert math.isclose(r["base_score"], model.base(rows[r["doc_id"]][1]), rel_tol=1e-9)
+        assert math.isclose(r["score"], model.score(rows[r["doc_id"]][1]), rel_tol=1e-9)
+
+
 def test_probabilities_add_up_to_one():
     model = ByHand(random_rows(), 3, 1e-6, 1e-3)
     unseen = 0.1 / model.below
