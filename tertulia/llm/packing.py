@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: Fixed value: how byte_bpe_50k cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 0
+#: The token that byte_bpe_50k adds to its vocabulary, and its id; it is found before a text is cut.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -31,7 +33,7 @@ def load_encoder(ranks_path: str):
     """Encoder of a byte-level BPE given as ranks: base64 of a token and its id on each line.
 
     It gives the ids that the same vocabulary gives in the `tokenizers` library, several times
-    faster; tests/llm holds the two against each other.
+    faster, ADDED being text like any other; tests/llm holds the two against each other.
     """
     import tiktoken
 
@@ -40,6 +42,21 @@ def load_encoder(ranks_path: str):
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def load_tokenizer(ranks_path: str):
+    """Encoder that gives the ids of byte_bpe_50k as `tokenizers` loads it: texts are cut at ADDED."""
+    encode = load_encoder(ranks_path)
+
+    def ids_of(text: str) -> list[int]:
+        first, *others = text.split(ADDED)
+        ids = encode(first)
+        for part in others:
+            ids.append(ADDED_ID)
+            ids += encode(part)
+        return ids
+
+    return ids_of
+
+
 @dataclass
 class Piece:
     """Consecutive ids of one document."""
@@ -196,7 +213,7 @@ def pack(docs: DataFrame, ranks_path: str, capacity: int = 1024, spare: float =
     """A row for each piece of each document: where it begins in the document's ids, its length, the
     CRC-32 of its ids, the ids of the whole document, its sequence and its offset there.
 
-    The ids of a document are those of its whole text and one END. A missing or empty text is END
+    The ids of a document are those of its whole text, ADDED being one token, and one END. A missing or empty text is END
     alone. Rows are packed as they are: equal rows, and rows of one doc_id or none, are documents of
     their own. No rows give no pieces; columns other than doc_id and text are ignored.
 
@@ -207,7 +224,7 @@ def pack(docs: DataFrame, ranks_path: str, capacity: int = 1024, spare: float =
 
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
-        encode = load_encoder(ranks_path)
+        encode = load_tokenizer(ranks_path)
         packer = Packer(capacity, spare, pool, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -31,6 +31,26 @@ def test_encoder_gives_the_ids_of_the_tokenizers_library(tokenizer):
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def as_loaded():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_tokenizer_as_loaded(as_loaded):
+    encode = packing.load_tokenizer(RANKS)
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", "<|endoftext|>", " ", "  ", "\n", "a", " b", "é", "😀", "'s", "12"]
+    for text in ["", "first part<|endoftext|>second part"] + ["".join(rng.choices(parts, k=12)) for _ in range(3000)]:
+        assert encode(text) == as_loaded.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_with_the_added_token(spark, as_loaded):
+    rows = [(1, "first part<|endoftext|>second part"), (2, "<|endoftext|>"), (3, "a <|endoftext|> b " * 700)]
+    pieces = packing.pack(documents(spark, rows).coalesce(1), RANKS).collect()
+    check(rows, pieces, as_loaded, 1024)
+    assert {p["doc_tokens"] for p in pieces if p["doc_id"] == 1} == {6}
+
+
 def slow_best_fit(lengths, capacity):
     windows = []
     for n in sorted(lengths, reverse=True):
