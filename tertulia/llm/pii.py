@@ -161,7 +161,7 @@ def spans(text: Column, kinds: Sequence[Kind] = BASE + MORE, least: float = 0.5)
     """All spans of a text with a score of at least `least`, by start and then kind as listed.
 
     A missing text is empty. Spans of different kinds may overlap; those of MORE are left out where
-    one of BASE already covers them.
+    a span of BASE that is returned already covers them.
     """
     whole = F.coalesce(text, F.lit(""))
 
@@ -169,7 +169,11 @@ def spans(text: Column, kinds: Sequence[Kind] = BASE + MORE, least: float = 0.5)
         found = [spans_of(t, kind, i) for i, kind in enumerate(kinds)]
         return F.array_sort(F.filter(F.concat(*found), lambda s: s["score"] >= least))
 
-    return let(whole, all_of)
+    def uncovered(found: Column) -> Column:
+        covers = lambda b, s: (b["start"] <= s["start"]) & (b["end"] >= s["end"])
+        return let(F.filter(found, is_base), lambda base: F.filter(found, lambda s: is_base(s) | ~F.exists(base, lambda b: covers(b, s))))
+
+    return let(let(whole, all_of), uncovered)
 
 
 def written(found: Column) -> Column:

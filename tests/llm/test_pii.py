@@ -52,6 +52,21 @@ PARTS = [
 ]
 
 
+def test_added_spans_within_base_spans_are_left_out(spark):
+    key = "AKIA" + "A1" * 8
+    rows = [
+        (1, f"mail {key}@x.org or {key}"),
+        (2, "call +1 (434) 555-2368 or 434-555-2368"),
+        (3, "ssn 123-45-6789 and mail 123-45-6789@x.org"),
+    ]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(documents(spark, rows)).collect()}
+    assert found == {
+        1: [("email", 5, 31), ("key", 35, 55)],
+        2: [("phone", 5, 22), ("local_phone", 26, 38)],
+        3: [("ssn", 4, 15), ("email", 25, 42)],
+    }
+
+
 def test_random_texts(spark):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choices(PARTS, k=rng.randrange(40)))) for i in range(1500)]
