@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tertulia.llm
-from tertulia.llm import backoff, chat, licenses, minmax, mixing, multiindex, packing, pii, quality, urls
+from tertulia.llm import backoff, chat, licenses, merkle, minmax, mixing, multiindex, packing, pii, pivots, quality, repair, urls
 from tertulia.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -103,6 +103,40 @@ def op10_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.find(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, merkle.lower_case(F.col("text")))).drop("source")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """`conversations` with rows dropped, emptied, cut off, repeated or given to the user, by a hash of conv_id and turn."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    which = F.crc32(F.concat_ws(":", filled("conv_id"), filled("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), which.alias("which"))
+    text = F.when(F.col("which") == 1, "").when(F.col("which") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("which") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("which") == 3, 2).otherwise(1))
+    changed = rows.where("which <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy"))
+    return changed.drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.summary(repair.repair(damaged(conversations))).withColumnRenamed("conv_id", "repaired_id")
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_urls": op2_urls,
@@ -114,4 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_minmax": op10_minmax,
+    "op11_pivots": op11_pivots,
+    "op12_merkle": op12_merkle,
+    "op13_repair": op13_repair,
 }

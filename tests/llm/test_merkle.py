@@ -1,0 +1,130 @@
+"""Merkle manifests against trees built in plain Python."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tertulia.llm import merkle, queries
+from tests.llm.cases import documents, odd_rows
+
+NAMES = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def levels_of(nodes: list[str]) -> list[list[str]]:
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([sha("".join(out[-1][i : i + 16])) for i in range(0, len(out[-1]), 16)])
+    return out
+
+
+def way_up(levels: list[list[str]], i: int) -> list[tuple[str, str]]:
+    steps = []
+    for nodes in levels[:-1]:
+        a = i // 16 * 16
+        steps.append(("".join(nodes[a:i]), "".join(nodes[i + 1 : a + 16])))
+        i //= 16
+    return steps
+
+
+def plain(rows: list[tuple], tamper) -> list[tuple]:
+    """Rows are (doc_id, source, lang, n_chars, text)."""
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r[1], []).append(r)
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in sources:
+        by_source[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r)))
+        trees[s] = levels_of([leaf_of(r) for r in by_source[s]])
+    top = levels_of([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, r in enumerate(by_source[s]):
+            steps = way_up(trees[s], i) + way_up(top, k)
+            found = tamper(r)
+            folded = leaf_of(r if found is None else (*r[:4], found))
+            for before, after in steps:
+                folded = sha(before + folded + after)
+            proof = sha("".join(b + a for b, a in steps))
+            out.append((r[0], leaf_of(r), trees[s][-1][0], top[-1][0], proof, folded, folded == top[-1][0]))
+    return sorted(out, key=repr)
+
+
+def lowered(row):
+    if row[0] is None or row[4] is None or zlib.crc32(str(row[0]).encode()) % 5:
+        return None
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])
+
+
+def compare(spark, df, tamper=lowered):
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.lower_case(F.col("text")))
+    got = sorted((tuple(r) for r in merkle.manifest(df, altered if tamper is lowered else None).select(NAMES).collect()), key=repr)
+    want = plain([tuple(r) for r in df.select(*merkle.COLUMNS).collect()], tamper)
+    assert got == want
+    return got
+
+
+def test_odd_rows(spark):
+    compare(spark, documents(spark, odd_rows()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 256, 257, 300])
+def test_sizes_around_full_runs(spark, n):
+    """One source of n rows, one of a single row, and many small ones."""
+    rows = [(i, f"Text {i}", "big") for i in range(n)] + [(5, "Alone", "one")] + [(i, "Few", f"s{i % 40}") for i in range(n // 3)]
+    got = compare(spark, documents(spark, rows))
+    assert len(got) == len(rows)
+
+
+def test_one_row(spark):
+    got = compare(spark, documents(spark, [(5, "Only", None)]), lambda r: None)
+    assert got[0][1] == got[0][2] == got[0][3] == got[0][5] and got[0][4] == sha("") and got[0][6]
+
+
+def test_values_cannot_run_into_each_other(spark):
+    rows = [(1, "ab", "c"), (1, "a", "bc"), (1, "", None), (1, None, "")]
+    leaves = {r["leaf"] for r in merkle.manifest(documents(spark, rows)).collect()}
+    assert len(leaves) == 4
+
+
+def test_copies_take_a_place_each(spark):
+    got = compare(spark, documents(spark, [(3, "Same", "a")] * 40), lambda r: None)
+    assert len({r[4] for r in got}) > 1 and all(r[6] for r in got)
+
+
+def test_no_rows(spark):
+    assert merkle.manifest(documents(spark, [])).collect() == []
+
+
+def test_any_change_is_found(spark):
+    rows = [(i, f"Text {i}.", f"s{i % 3}") for i in range(60)]
+    altered = merkle.manifest(documents(spark, rows), F.when(F.col("doc_id") == 17, F.concat("text", F.lit(" "))))
+    assert [r["doc_id"] for r in altered.where("not verified").collect()] == [17]
+
+
+def test_no_hot_key(spark):
+    """Numbers are dense in each source although its rows lie in several partitions."""
+    rows = spark.range(5000).select((F.col("id") % 2 == 0).cast("string").alias("tree"), (F.col("id") * 7919 % 5003).alias("doc_id"))
+    placed = merkle.numbered(rows, "tree", ["doc_id"]).collect()
+    for tree in ("true", "false"):
+        held = sorted((r["index"], r["doc_id"]) for r in placed if r["tree"] == tree)
+        assert [i for i, _ in held] == list(range(2500)) and [d for _, d in held] == sorted(d for _, d in held)
+        assert {r["size"] for r in placed if r["tree"] == tree} == {2500}
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sorted((tuple(r[c] for c in NAMES) for r in queries.op12_merkle(spark, sf).collect()), key=repr)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(*merkle.COLUMNS).collect()
+    assert got == plain([tuple(r) for r in rows], lowered)
+    assert not all(r[6] for r in got)

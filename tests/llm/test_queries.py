@@ -10,7 +10,7 @@ NAMES = [name for name in driver.queries() if name[:2] == "op" or name == "pipel
 
 
 def test_all_are_registered():
-    assert {name.split("_")[0] for name in NAMES} == {"pipeline", *[f"op{n}" for n in range(1, 11)]}
+    assert {name.split("_")[0] for name in NAMES} == {"pipeline", *[f"op{n}" for n in range(1, 14)]}
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in driver.oracle_sql()])
