@@ -26,10 +26,11 @@ from tertulia.llm.graph import components
 from tertulia.llm.multiindex import matrix, unit_rows, usable
 from tertulia.plans.staging import stage
 
-PIVOTS, FIRST = 512, 8  # pivots at most, and how many of them describe a vector
+PIVOTS, FIRST = 1024, 8  # pivots at most, and how many of them describe a vector
 APART = 0.9  # the largest cosine of two pivots: 25 degrees, over twice the angle of vectors to be linked
 SAMPLE, SAMPLE_VALUES = 8192, 4_000_000  # vectors pivots are chosen from: at most so many, and so many components
 BLOCK = 1024  # entries in a block of a list
+SHORT = 64  # entries in a list whose pairs are laid out one by one
 PAIRS = 32_768  # pairs compared at once
 EDGE = 1e-9  # cosines this near to the bound are computed once more, with exact sums
 
@@ -147,12 +148,20 @@ def links(nodes: DataFrame, least: float) -> DataFrame:
     return within.select("p", "q", "left").mapInArrow(compare, shape).unionByName(across.mapInArrow(compare, shape))
 
 
+def _bits() -> tuple[np.ndarray, np.ndarray]:
+    """For each pivot, its own bit and the bits of all before it, in words of 64."""
+    own = np.zeros((PIVOTS, PIVOTS // 64), np.uint64)
+    own[np.arange(PIVOTS), np.arange(PIVOTS) // 64] = np.uint64(1) << (np.arange(PIVOTS) % 64).astype(np.uint64)
+    return own, np.cumsum(own, axis=0, dtype=np.uint64) - own
+
+
 class Members:
     """The entries of several lists or blocks as arrays, one after another."""
 
     def __init__(self, column: pa.Array):
         structs = column.values
         self.ends = column.offsets.to_numpy()
+        self.sizes = np.diff(self.ends)
         self.node, self.n = (structs.field(f).to_numpy() for f in ("node", "n"))
         self.vecs = structs.field("vec")
         self.bits = np.zeros((len(structs), PIVOTS // 64), np.uint64)
@@ -164,26 +173,25 @@ class Members:
         return unit_rows(matrix(self.vecs.take(pa.array(rows))))
 
 
-def earlier(p: int, q: int) -> np.ndarray:
-    """Bits of the pivots that two entries of the list (p, q) must not share if the pair belongs to it."""
-    mask = np.zeros(PIVOTS // 64, np.uint64)
-    for k in range(q):
-        if k != p:
-            mask[k // 64] |= np.uint64(1) << np.uint64(k % 64)
-    return mask
-
-
 def linked_in(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
-    """Links within each list of a batch, or between its two blocks where it has two."""
+    """Links within each list of a batch, or between its two blocks where it has two.
+
+    The pairs of short lists are laid out side by side, those of long ones are products of matrices. A pair
+    belongs to a list (p, q) if the two share no pivot before q but p.
+    """
+    own, before = _bits()
     ps, qs = (batch.column(k).to_numpy() for k in (0, 1))
+    masks = before[qs] & ~own[ps]
     left = Members(batch.column(2))
-    right = Members(batch.column(3)) if batch.num_columns == 4 else left
-    for row in range(len(batch)):
+    if batch.num_columns == 4:
+        right, short = Members(batch.column(3)), np.zeros(len(batch), bool)
+    else:
+        right, short = left, left.sizes <= SHORT
+    for row in np.flatnonzero(~short):
         a = np.arange(left.ends[row], left.ends[row + 1])
         b = np.arange(right.ends[row], right.ends[row + 1])
-        mask = earlier(int(ps[row]), int(qs[row]))
         ua, ub = left.units(a), right.units(b)
-        masked = right.bits[b] & mask
+        masked = right.bits[b] & masks[row]
         step = max(1, PAIRS * 8 // max(1, len(b)))
         found_a, found_b = [], []
         for start in range(0, len(a), step):
@@ -192,14 +200,42 @@ def linked_in(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
             if right is left:
                 near &= a[some, None] < b[None, :]
             x, y = np.nonzero(near)
-            own = ~(left.bits[a[some]][x] & masked[y]).any(1)
-            found_a.append(x[own] + start)
-            found_b.append(y[own])
+            mine = ~(left.bits[a[some]][x] & masked[y]).any(1)
+            found_a.append(x[mine] + start)
+            found_b.append(y[mine])
         x, y = np.concatenate(found_a), np.concatenate(found_b)
         sure = confirmed(ua, ub, x, y, least)
-        x, y = a[x[sure]], b[y[sure]]
-        if len(x):
-            yield forest(left, right, x, y)
+        if sure.any():
+            yield forest(left, right, a[x[sure]], b[y[sure]])
+    if short.any():
+        x, y = short_pairs(left, masks, short)
+        found = []
+        dims = np.diff(left.vecs.offsets.to_numpy())[x]
+        for d in np.unique(dims):
+            for some in np.array_split(np.flatnonzero(dims == d), -(-int((dims == d).sum()) // PAIRS)):
+                ux, uy = left.units(x[some]), left.units(y[some])
+                at = np.arange(len(some))
+                found.append(some[confirmed(ux, uy, at, at, least)])
+        if found:
+            sure = np.concatenate(found)
+            if len(sure):
+                yield forest(left, left, x[sure], y[sure])
+
+
+def short_pairs(members: Members, masks: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within each short list that belong to it."""
+    owner = np.repeat(np.arange(len(members.sizes)), members.sizes)
+    rows = np.flatnonzero(short[owner])
+    found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    later = members.ends[owner[rows] + 1] - rows - 1
+    for some in np.array_split(np.arange(len(rows)), max(1, -(-int(later.sum()) // (PAIRS * 8)))):
+        n = later[some]
+        x = np.repeat(rows[some], n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        mine = ~(members.bits[x] & members.bits[y] & masks[owner[x]]).any(1)
+        found_x.append(x[mine])
+        found_y.append(y[mine])
+    return np.concatenate(found_x), np.concatenate(found_y)
 
 
 def confirmed(ua: np.ndarray, ub: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
