@@ -19,6 +19,13 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path for a new folder where staging tables go; `release` deletes it with them."""
+    path = f"{_folder(spark).rstrip('/')}/tertulia-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the folder the session names in spark.checkpoint.dir (or else was given by
     setCheckpointDir) and read it back.
@@ -28,8 +35,7 @@ def stage(df: DataFrame) -> DataFrame:
     settles ids that depend on the present state of a table. The folder stays until `release`.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/tertulia-{uuid.uuid4().hex}"
-    _staged.append(path)
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
+from pyspark.sql.types import DateType, StringType
 
+from tertulia.functions.text import parse_date
 from tertulia.schemas import SCHEMAS
 
 PARTICIPATION = ("invitacion_sesion", "asistencia_sesion", "invitacion_curso", "registrados_curso", "asistencia_clase")
@@ -22,6 +23,7 @@ class Change:
     tables    the new state of every table touched
     added     the new rows alone: append these rather than rewriting a large table
     changed   the rows of an update alone, as they become
+    replaced  the same rows as they were
     removed   the rows that a change takes away
     rejected  input rows that were not applied
 
@@ -34,6 +36,7 @@ class Change:
     rejected: DataFrame | None = None
     changed: Mapping[str, DataFrame] = field(default_factory=dict)
     removed: Mapping[str, DataFrame] = field(default_factory=dict)
+    replaced: Mapping[str, DataFrame] = field(default_factory=dict)
 
 
 class Tables:
@@ -57,6 +60,11 @@ class Tables:
         """The state that `change` leads to, before it is written."""
         return self.with_tables(**change.tables)
 
+    def as_views(self, prefix: str = "") -> None:
+        """Register the tables as temporary views, for SQL; a table's columns are then as declared."""
+        for name in SCHEMAS:
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+
     def reload(self, *names: str) -> Tables:
         """Read the named tables anew, all without a name, as after a write."""
         return Tables(self._read, {k: v for k, v in self._known.items() if names and k not in names})
@@ -78,8 +86,9 @@ def load_tables(
     otherwise    a file format; `location` is the folder that holds one folder per table
 
     `paths` names another path for single tables, such as a newer snapshot. Tables that bring their
-    own column names and types, as those of a warehouse do, are cast to the declared ones; text that
-    is no date becomes a missing date, anything else that does not fit is an error. Participation
+    own column names and types, as those of a warehouse do, are cast to the declared ones; text
+    is read as a date in any of the usual forms (`functions.text.DATE_FORMATS`) or becomes a missing date, anything
+    else that does not fit is an error. Participation
     tables are not read over JDBC without partition options, as one task would read each.
     """
     options = dict(options or {})
@@ -87,8 +96,12 @@ def load_tables(
     paths = paths or {}
 
     def declared(name: str, df: DataFrame) -> DataFrame:
+        texts = {f.name.lower() for f in df.schema if isinstance(f.dataType, StringType)}
+
         def typed(f) -> Column:
-            return (F.col(f.name).try_cast if isinstance(f.dataType, DateType) else F.col(f.name).cast)(f.dataType).alias(f.name)
+            if isinstance(f.dataType, DateType):
+                return (parse_date(f.name) if f.name in texts else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+            return F.col(f.name).cast(f.dataType).alias(f.name)
 
         return df.select(*[typed(f) for f in SCHEMAS[name]])
 
@@ -101,6 +114,7 @@ def load_tables(
             if name in PARTICIPATION and not PARTITIONED <= set(given):
                 raise ValueError(f"give {', '.join(sorted(PARTITIONED))} to read {name} over JDBC")
             return declared(name, reader.option("url", location).option("dbtable", paths.get(name, name)).load())
-        return reader.schema(SCHEMAS[name]).load(paths.get(name, f"{location.rstrip('/')}/{name}"))
+        stored = reader.schema(SCHEMAS[name]).load(paths.get(name, f"{location.rstrip('/')}/{name}"))
+        return stored.select(*SCHEMAS[name].names)  # without the columns that folders are named by
 
     return Tables(read)

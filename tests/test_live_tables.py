@@ -11,10 +11,11 @@ from tertulia.sources import append_rows
 DAY = dt.date(2024, 1, 1)
 ROWS = {
     "comunidad": [(1, "Ana", "Paz", "ana@x", True, None, "IT", None, None), (2, "Bo", "Roy", "bo@x", True, None, "IT", None, None)],
-    "sesion": [(1, "S", DAY, "")],
+    "sesion": [(1, "S", DAY, ""), (2, "T", DAY, "")],
     "instructor": [(1, "Eva", "Sol", "e@x")],
     "catalogo_cursos": [(1, "SQL")],
     "curso": [(1, 1, DAY, DAY, "P", True, "c@x")],
+    "clase": [(1, 1, DAY)],
     "tiene_sesion": [(1, 1)],
     "imparte": [(1, 1)],
     "asistencia_sesion": [(1, 1), (1, 2)],
