@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tertulia.schemas import SCHEMAS
+
 # White space as Python's strip() sees it, as far as the pasted samples contain any.
 BLANK = "concat(' ', chr(9), chr(10), chr(13))"
 
@@ -15,15 +19,16 @@ def _text(*cols: str) -> str:
     return ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
 
 
-def _lines(line: str) -> str:
+def _lines(line: str, texts: str = "correos_lineas") -> str:
     return f"""
-lineas AS (SELECT id_lote, unnest(string_split(texto, chr(10))) AS linea FROM correos_lineas),
+lineas AS (SELECT id_lote, unnest(string_split(texto, chr(10))) AS linea FROM {texts}),
 direcciones AS (
   SELECT DISTINCT id_lote, lower(trim({line}, {BLANK})) AS correo
   FROM lineas WHERE trim(linea, {BLANK}) <> '')"""
 
 
-LINES = _lines("replace(linea, chr(13), '')")
+NO_CR = "replace(linea, chr(13), '')"
+LINES = _lines(NO_CR)
 LINES_KEEP_CR = _lines("linea")
 
 PASTED = f"""
@@ -481,3 +486,117 @@ SELECT * FROM ({ORACLE["course_by_label"]}) WHERE etiqueta = 'Brand#1 (01/02/202
     f"{name}_one": _one(name, "correo", EMAIL)
     for name in ("member_sessions", "member_courses", "member_missed_sessions", "member_missed_courses")
 } | {"class_attendees_one": _one("class_attendees", "id_clase", 1)}
+
+
+DOUBTFUL = """lotes AS (
+  SELECT id_lote + CASE WHEN id_lote % 3 = 0 THEN 500000000 ELSE 0 END AS id_lote, texto FROM correos_lineas),
+"""
+
+
+def _checked(name: str, state: str, key: str, entity: str, lines: str) -> dict[str, str]:
+    """Batches of which one in three names no session, run or class: their addresses are all rejected."""
+    return {
+        f"{name}_checked": state,
+        f"{name}_rejected": f"""WITH {lines}
+SELECT d.id_lote % 500000000 AS id_lote, d.id_lote AS {key}, correo FROM direcciones d
+WHERE d.id_lote NOT IN (SELECT {key} FROM {entity}) OR correo NOT IN (SELECT correo FROM comunidad)""",
+    }
+
+
+def _pairs_checked(name: str, table: str, key: str, entity: str, first_only: bool, more: str = "", gate: str = "WHERE true", line: str = NO_CR) -> dict[str, str]:
+    lines = DOUBTFUL + _lines(line, "lotes")
+    state = _registered(table, key, first_only, more, f"{gate} AND d.id_lote IN (SELECT {key} FROM {entity})", lines)
+    return _checked(name, state, key, entity, lines)
+
+
+def _in_state(name: str, **states: str) -> str:
+    """The SQL of a report with other states in place of some tables."""
+    body = ORACLE[name].lstrip()
+    for table in states:
+        body = re.sub(rf"\b{table}\b", f"{table}_nueva", body)
+    ctes = ",\n".join(f"{table}_nueva AS ({sql})" for table, sql in states.items())
+    return f"WITH {ctes},\n{body.removeprefix('WITH')}" if body.startswith("WITH") else f"WITH {ctes}\n{body}"
+
+
+def _of_existing(table: str, key: str, entity: str, first_only: bool, more: str = "", gate: str = "WHERE true", lines: str = LINES) -> str:
+    return _registered(table, key, first_only, more, f"{gate} AND d.id_lote IN (SELECT {key} FROM {entity})", lines)
+
+
+ORACLE |= {
+    **_pairs_checked("register_session_invitees", "invitacion_sesion", "id_sesion", "sesion", False, gate=ALL_KNOWN),
+    **_pairs_checked("register_session_attendance", "asistencia_sesion", "id_sesion", "sesion", False),
+    **_pairs_checked("register_course_invitees", "invitacion_curso", "id_curso", "curso", True, line="linea"),
+    **_pairs_checked("register_course_registrants", "registrados_curso", "id_curso", "curso", True, ", NULL, NULL, NULL", line="linea"),
+    **_checked(
+        "register_class_attendance",
+        f"""WITH {DOUBTFUL}{_lines(NO_CR, "lotes")}
+SELECT * FROM asistencia_clase UNION ALL
+SELECT d.id_lote, min(c.id_usuario) FROM direcciones d JOIN comunidad c ON d.correo = c.correo
+WHERE d.id_lote IN (SELECT id_clase FROM clase) GROUP BY d.id_lote, d.correo""",
+        "id_clase", "clase", DOUBTFUL + _lines(NO_CR, "lotes"),
+    ),
+    "upkeep_session_funnel": _in_state(
+        "session_funnel",
+        invitacion_sesion=_of_existing("invitacion_sesion", "id_sesion", "sesion", False, gate=ALL_KNOWN),
+        asistencia_sesion=_of_existing("asistencia_sesion", "id_sesion", "sesion", False),
+    ),
+    "upkeep_course_funnel": _in_state(
+        "course_funnel",
+        registrados_curso=_of_existing("registrados_curso", "id_curso", "curso", True, ", NULL, NULL, NULL", lines=LINES_KEEP_CR),
+    ),
+    "upkeep_completion_rates": _in_state("completion_rates", registrados_curso=ORACLE["set_registrant_status"]),
+    "add_members_two_changes": f"""WITH estado AS ({ORACLE["add_members"]}),
+nuevos AS (
+  SELECT nombre, apellido, correo, true AS status, CAST(NULL AS VARCHAR) AS negocio,
+         CAST(NULL AS VARCHAR) AS area, CAST(NULL AS VARCHAR) AS pais, CAST(NULL AS BOOLEAN) AS baja_empresa
+  FROM miembros_faltantes WHERE nombre <> '' AND apellido <> '')
+SELECT * FROM estado UNION ALL
+SELECT {_ids(_text("nombre", "apellido", "correo", "status", "negocio", "area", "pais", "baja_empresa"),
+             "estado", "id_usuario")}, * FROM nuevos""",
+    "add_classes_checked": f"""WITH buenas AS (
+  SELECT id_curso, fecha FROM clases_dudosas WHERE fecha IS NOT NULL AND id_curso IN (SELECT id_curso FROM curso))
+SELECT * FROM clase UNION ALL
+SELECT {_ids(_text("id_curso", "fecha"), "clase", "id_clase")}, id_curso, fecha FROM buenas""",
+    "add_classes_rejected": """
+SELECT id_curso, fecha FROM clases_dudosas WHERE fecha IS NULL OR id_curso NOT IN (SELECT id_curso FROM curso)""",
+    "email_lines_spread": ORACLE["email_lines"],
+    "email_reply_all_spread": ORACLE["email_reply_all"],
+    "parsed_dates": """
+SELECT id_clase, texto, CAST(coalesce(
+         try_strptime(trim(texto), '%Y-%m-%d'), try_strptime(trim(texto), '%Y%m%d'), try_strptime(trim(texto), '%Y-%m-%d %H:%M:%S'),
+         try_strptime(trim(texto), '%m/%d/%Y'), try_strptime(trim(texto), '%d/%m/%Y')) AS DATE) AS fecha
+FROM fechas_texto""",
+    "stored_tables": " UNION ALL ".join(f"SELECT '{name}' AS tabla, count(*) AS filas FROM {name}" for name in SCHEMAS),
+    "rewrite_registrant_status": ORACLE["set_registrant_status"],
+    "rewrite_delete_members": ORACLE["delete_members"],
+    "rewrite_course_sessions": ORACLE["replace_course_sessions"],
+    "bucketed_session_invitees": ORACLE["session_invitees"],
+    "bucketed_member_dependents": ORACLE["member_dependents"],
+    "class_attendance_pairs": ORACLE["class_attendance"],
+    "class_attendance_stored_bitmaps": ORACLE["class_attendance"],
+    "grid_changes": f"""WITH editadas AS (
+  SELECT id_curso, id_usuario, id_curso + id_usuario AS n, status, solicitud_aprobada, curso_aprobado,
+         CASE WHEN n % 11 = 0 THEN NOT coalesce(status, false) ELSE status END AS s,
+         CASE WHEN n % 13 <> 0 THEN curso_aprobado END AS c FROM registrados_curso)
+SELECT id_curso, id_usuario, CASE WHEN status IS DISTINCT FROM s THEN s END AS status,
+       CASE WHEN curso_aprobado IS DISTINCT FROM c THEN c END AS curso_aprobado,
+       concat_ws(',', CASE WHEN status IS DISTINCT FROM s THEN 'status' END,
+                 CASE WHEN curso_aprobado IS DISTINCT FROM c THEN 'curso_aprobado' END) AS columnas, 'cambia' AS que
+FROM editadas WHERE n % 17 <> 0 AND (status IS DISTINCT FROM s OR curso_aprobado IS DISTINCT FROM c)
+UNION ALL SELECT id_curso, id_usuario, status, curso_aprobado, NULL, 'falta' FROM editadas WHERE n % 17 = 0
+UNION ALL SELECT id_curso + 500000000, id_usuario, s, c, NULL, 'dudosa' FROM editadas WHERE n % 17 <> 0 AND id_curso = 2 AND id_usuario % 2 = 0""",
+    "grid_set_registrant_status": """
+SELECT id_curso, id_usuario,
+       CASE WHEN cambia THEN coalesce(CASE WHEN n % 11 = 0 THEN NOT coalesce(status, false) ELSE status END, false) ELSE status END AS status,
+       solicitud_aprobada,
+       CASE WHEN cambia THEN coalesce(CASE WHEN n % 13 <> 0 THEN curso_aprobado END, false) ELSE curso_aprobado END AS curso_aprobado
+FROM (SELECT *, id_curso + id_usuario AS n,
+             n % 17 <> 0 AND (n % 11 = 0 OR (n % 13 = 0 AND curso_aprobado IS NOT NULL)) AS cambia FROM registrados_curso)""",
+    "append_class_attendance_twice": ORACLE["register_class_attendance"],
+    "add_courses_written_again": f"""SELECT * FROM ({ORACLE["add_courses"]}) JOIN ({ORACLE["add_courses_sessions"]}) USING (id_curso)""",
+    "period_attendance": """
+SELECT id_sesion, nombre_sesion, fecha_sesion,
+       (SELECT count(DISTINCT a.id_usuario) FROM asistencia_sesion a WHERE a.id_sesion = s.id_sesion) AS numero_asistentes
+FROM sesion s WHERE fecha_sesion BETWEEN DATE '2024-03-01' AND DATE '2024-05-31'""",
+}
+ORACLE["period_attendance_by_month"] = ORACLE["period_attendance"]

@@ -150,6 +150,22 @@ FROM part JOIN nation ON p_size % 25 = n_nationkey JOIN region ON n_regionkey =
     "nuevas_clases": """
 SELECT l_partkey AS id_curso, CAST(l_shipdate AS DATE) AS fecha
 FROM lineitem GROUP BY l_partkey, CAST(l_shipdate AS DATE)""",
+    # Runs of which one in four does not exist.
+    "clases_dudosas": """
+SELECT l_partkey + CASE WHEN l_partkey % 4 = 0 THEN 500000000 ELSE 0 END AS id_curso,
+       CASE WHEN l_partkey % 10 = 3 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS fecha
+FROM lineitem GROUP BY 1, 2""",
+    # Dates as people write them: in several forms, some of which are none.
+    "fechas_texto": """
+SELECT o_orderkey AS id_clase,
+       CASE o_orderkey % 7
+         WHEN 0 THEN dia
+         WHEN 1 THEN concat(substr(dia, 9, 2), '/', substr(dia, 6, 2), '/', substr(dia, 1, 4))
+         WHEN 2 THEN concat(' ', substr(dia, 6, 2), '/', substr(dia, 9, 2), '/', substr(dia, 1, 4), ' ')
+         WHEN 3 THEN concat(substr(dia, 1, 4), substr(dia, 6, 2), substr(dia, 9, 2))
+         WHEN 4 THEN concat(dia, ' 10:30:00')
+         WHEN 5 THEN concat(substr(dia, 1, 4), '-31-', substr(dia, 9, 2)) END AS texto
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS dia FROM orders) AS pedidos""",
     "cambios_comunidad": """
 SELECT concat(lower(replace(c_name, '#', '.')), '@example.com') AS correo,
        CASE WHEN c_acctbal > 5000 THEN c_name END AS nombre,
@@ -202,7 +218,7 @@ class Samples:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None, stored: str | None = None):
-        self._spark = spark
+        self.spark = spark
         self._sf_dir = sf_dir
         self._stored = stored
         self._raw: set[str] = set()
@@ -210,12 +226,12 @@ class Samples:
 
     def view(self, name: str) -> DataFrame:
         if self._stored and name in INPUTS:
-            return self._spark.read.parquet(f"{self._stored}/{name}")
+            return self.spark.read.parquet(f"{self._stored}/{name}")
         for table in _reads(VIEWS[name]):
             if table in RAW and table not in self._raw:
-                self._spark.read.parquet(f"{self._sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+                self.spark.read.parquet(f"{self._sf_dir}/{table}.parquet").createOrReplaceTempView(table)
                 self._raw.add(table)
-        return self._spark.sql(VIEWS[name])
+        return self.spark.sql(VIEWS[name])
 
 
 def with_views(body: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ NO_DATE = "Fecha no disponible"
 NOT_RECORDED = "No Registrar"
 DAY_FIRST = "dd/MM/yyyy"
 YEAR_FIRST = "yyyy/MM/dd"
+# How dates are written in texts, in the order they are tried; months go first where both fit.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
+)
 
 
 def strip(text: Column) -> Column:
@@ -49,6 +56,12 @@ def course_label(name: str, start: str, end: str, date_format: str) -> Column:
     return F.concat(shown(name), F.lit(" ("), F.coalesce(dates, F.lit(NO_DATE)), F.lit(")"))
 
 
+def parse_date(text: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """The date that a text holds, in the first of the formats that fits all of it; none gives null."""
+    held = strip(F.col(text) if isinstance(text, str) else text)
+    return F.coalesce(*[F.try_to_date(held, f) for f in formats])
+
+
 def yes_no(flag: str) -> Column:
     return F.when(F.col(flag), "Si").otherwise("No")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tertulia.functions.ids import with_new_ids
 from tertulia.functions.text import NOT_RECORDED, is_blank
 from tertulia.operators.lookups import catalog_id, instructor_id, session_ids
+from tertulia.plans.joins import split_known
 from tertulia.plans.staging import stage
 from tertulia.schemas import SCHEMAS
 from tertulia.sources.tables import Change, Tables
@@ -88,8 +90,15 @@ def add_catalog(t: Tables, rows: DataFrame) -> Change:
     return _insert(t, "catalogo_cursos", "id_catalogo", rows, required=["nombre_curso"])
 
 
-def add_classes(t: Tables, rows: DataFrame) -> Change:
-    return _insert(t, "clase", "id_clase", rows, required=["id_curso", "fecha"])
+def add_classes(t: Tables, rows: DataFrame, must_exist: bool = True) -> Change:
+    """Add classes to runs. Classes of a run that does not exist are rejected, as those without a run or a
+    date are; `must_exist=False` takes any run, for rows that come ahead of theirs."""
+    if not must_exist:
+        return _insert(t, "clase", "id_clase", rows, required=["id_curso", "fecha"])
+    valid, invalid = _split(rows, ["id_curso", "fecha"])
+    known, unknown = split_known(valid, t.curso, "id_curso")
+    change = _insert(t, "clase", "id_clase", known)
+    return replace(change, rejected=invalid.unionByName(unknown))
 
 
 def _named(ids: DataFrame, rows: DataFrame, name: str) -> DataFrame:

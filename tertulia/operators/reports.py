@@ -6,12 +6,16 @@ never multiply each other and a popular key shrinks to one row per map task.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
+from tertulia.plans.bitmaps import bitmaps, count_ids, merge
 from tertulia.plans.joins import count_links, without_match, zero_if_null
+from tertulia.sources.layouts import MONTH, month_of
 from tertulia.sources.tables import Tables
 
 TOP = 10
@@ -35,11 +39,16 @@ def _funnel(t: Tables, invited: DataFrame, present: DataFrame, key: str, names:
 
     One pass over both tables collapses each (key, member) pair; only pairs of known members count.
     """
-    invitado, presente, ausente = names
     marks = invited.select(key, "id_usuario", F.lit(1).alias("_i"), F.lit(0).alias("_p")).unionByName(
         present.select(key, "id_usuario", F.lit(0).alias("_i"), F.lit(1).alias("_p"))
     )
     pairs = marks.groupBy(key, "id_usuario").agg(F.sum("_i").alias("_i"), F.sum("_p").alias("_p"))
+    return _funnel_of(t, pairs, key, names)
+
+
+def _funnel_of(t: Tables, pairs: DataFrame, key: str, names: tuple[str, str, str]) -> DataFrame:
+    """The funnel from how often each (key, member) pair is invited and present, `_i` and `_p`."""
+    invitado, presente, ausente = names
     known = pairs.join(t.comunidad.select("id_usuario"), "id_usuario", "left_semi")
     return known.groupBy(key).agg(
         F.sum("_i").alias(invitado),
@@ -48,11 +57,18 @@ def _funnel(t: Tables, invited: DataFrame, present: DataFrame, key: str, names:
     )
 
 
-def session_funnel(t: Tables, id_sesion: int | None = None) -> DataFrame:
+def session_funnel(t: Tables, id_sesion: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Invited and attended per session. `gap` is the difference of the counts; people also come
-    uninvited, so `no_asistieron` counts the invited who stayed away."""
-    facts = (where_equal(x, "id_sesion", id_sesion) for x in (t.invitacion_sesion, t.asistencia_sesion))
-    counts = _funnel(t, *facts, "id_sesion", ("invitados", "asistentes", "no_asistieron"))
+    uninvited, so `no_asistieron` counts the invited who stayed away.
+
+    `pairs` are stored counts that `upkeep.SESSION_PAIRS` keeps; the tables of invitations and attendance are
+    not read then."""
+    names = ("invitados", "asistentes", "no_asistieron")
+    if pairs is None:
+        facts = (where_equal(x, "id_sesion", id_sesion) for x in (t.invitacion_sesion, t.asistencia_sesion))
+        counts = _funnel(t, *facts, "id_sesion", names)
+    else:
+        counts = _funnel_of(t, where_equal(pairs, "id_sesion", id_sesion), "id_sesion", names)
     sessions = where_equal(t.sesion, "id_sesion", id_sesion).select("id_sesion", "nombre_sesion")
     return sessions.join(counts, "id_sesion", "left").select(
         "id_sesion", "nombre_sesion", *zero_if_null("invitados", "asistentes", "no_asistieron"),
@@ -60,10 +76,14 @@ def session_funnel(t: Tables, id_sesion: int | None = None) -> DataFrame:
     )
 
 
-def course_funnel(t: Tables, id_curso: int | None = None) -> DataFrame:
-    """Invited and registered per course run; columns as in `session_funnel`."""
-    facts = (where_equal(x, "id_curso", id_curso) for x in (t.invitacion_curso, t.registrados_curso))
-    counts = _funnel(t, *facts, "id_curso", ("invitados", "registrados", "no_registrados"))
+def course_funnel(t: Tables, id_curso: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Invited and registered per course run; columns as in `session_funnel`, `pairs` as `upkeep.COURSE_PAIRS` keeps."""
+    names = ("invitados", "registrados", "no_registrados")
+    if pairs is None:
+        facts = (where_equal(x, "id_curso", id_curso) for x in (t.invitacion_curso, t.registrados_curso))
+        counts = _funnel(t, *facts, "id_curso", names)
+    else:
+        counts = _funnel_of(t, where_equal(pairs, "id_curso", id_curso), "id_curso", names)
     runs = where_equal(t.curso, "id_curso", id_curso).join(t.catalogo_cursos, "id_catalogo")
     return runs.join(counts, "id_curso", "left").select(
         "id_curso", "nombre_curso", *zero_if_null("invitados", "registrados", "no_registrados"),
@@ -220,11 +240,15 @@ def runs_per_course(t: Tables) -> DataFrame:
     return named.groupBy("nombre_curso").agg(F.sum("cantidad_cursos").alias("cantidad_cursos"))
 
 
-def completion_rates(t: Tables) -> DataFrame:
-    """Registered, completed and their percentage per course, most registered first."""
-    counts = t.registrados_curso.groupBy("id_curso").agg(
-        F.count("id_usuario").alias("inscritos"), _sum_if("curso_aprobado").alias("completados")
-    )
+def completion_rates(t: Tables, results: DataFrame | None = None) -> DataFrame:
+    """Registered, completed and their percentage per course, most registered first.
+
+    `results` are stored counts per run that `upkeep.RUN_RESULTS` keeps; registrations are not read then."""
+    counts = results
+    if counts is None:
+        counts = t.registrados_curso.groupBy("id_curso").agg(
+            F.count("id_usuario").alias("inscritos"), _sum_if("curso_aprobado").alias("completados")
+        )
     rates = _per_course(t, counts, "inscritos", "completados").withColumn(
         "completion_rate", _percent("completados", "inscritos")
     )
@@ -246,24 +270,63 @@ def session_attendance_pct(t: Tables, id_sesion: int | None = None) -> DataFrame
     return counted.withColumn("porcentaje_asistencia", _percent("numero_asistentes", members))
 
 
-def class_attendance(t: Tables, id_curso: int | None = None) -> DataFrame:
+def class_attendance(t: Tables, id_curso: int | None = None, by_bitmap: bool = True) -> DataFrame:
     """Distinct attendees per run and class date, by date; classes on one date count as one.
 
     Every class adds a row without an attendee, so that dates nobody attended count zero. The
     join of the two large tables is thus an inner one, which adaptive execution splits on either
     side when a class is very popular.
+
+    Attendees are counted by bitmaps, filled before the one shuffle by date: what moves is a bitmap for each
+    date and 32,768 member ids, however many attended. Where few members of each such range attend a
+    class, `by_bitmap=False` moves less: it counts distinct pairs.
     """
     classes = where_equal(t.clase, "id_curso", id_curso)
     attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")
     held = classes.select("id_curso", "fecha", F.lit(None).cast("long").alias("id_usuario"))
-    counts = (
-        attended.unionByName(held)
-        .groupBy("id_curso", "fecha")
-        .agg(F.countDistinct("id_usuario").alias("numero_asistentes"))
-    )
+    rows, keys, name = attended.unionByName(held), ["id_curso", "fecha"], "numero_asistentes"
+    if by_bitmap:
+        counts = count_ids(bitmaps(rows, keys, "id_usuario"), keys, name)
+    else:
+        counts = rows.groupBy(*keys).agg(F.countDistinct("id_usuario").alias(name))
     return counts.orderBy("id_curso", "fecha")
 
 
+def attendance_bitmaps(t: Tables) -> DataFrame:
+    """Who attended each class, as bitmaps to store: id_clase, _bucket and _bits. New attendance is merged into them
+    without reading the old."""
+    return bitmaps(t.asistencia_clase, ["id_clase"], "id_usuario")
+
+
+def class_attendance_of(t: Tables, maps: DataFrame) -> DataFrame:
+    """`class_attendance` from stored bitmaps of the classes, merged from class to date."""
+    dated = maps.join(t.clase, "id_clase").select("id_curso", "fecha", "_bucket", "_bits")
+    keys = ["id_curso", "fecha"]
+    counts = count_ids(merge(dated, keys), keys, "_n")
+    dates = t.clase.select(*keys, F.lit(0).cast("long").alias("_n"))
+    both = counts.unionByName(dates).groupBy(*keys).agg(F.max("_n").alias("numero_asistentes"))
+    return both.orderBy(*keys)
+
+
+def period_attendance(t: Tables, first: date, last: date, by_month: DataFrame | None = None) -> DataFrame:
+    """Distinct attendees of each session from `first` to `last`, sessions without any included.
+
+    `by_month` is the attendance as `layouts.write_by_month` stores it; then only the folders of months in which there
+    are such sessions are read. The months come from the sessions as the query finds them, so any
+    filter on sessions prunes the attendance.
+    """
+    sessions = t.sesion.where(F.col("fecha_sesion").between(first, last)).select("id_sesion", "nombre_sesion", "fecha_sesion")
+    if by_month is None:
+        attended = t.asistencia_sesion.join(sessions.select("id_sesion"), "id_sesion", "left_semi")
+    else:
+        months = sessions.select("id_sesion", month_of("fecha_sesion").alias(MONTH))
+        attended = by_month.join(months, ["id_sesion", MONTH], "left_semi")
+    counts = attended.groupBy("id_sesion").agg(F.countDistinct("id_usuario").alias("numero_asistentes"))
+    return sessions.join(counts, "id_sesion", "left").select(
+        "id_sesion", "nombre_sesion", "fecha_sesion", *zero_if_null("numero_asistentes")
+    )
+
+
 # What depends on a member, session or run
 
 
@@ -300,6 +363,16 @@ def member_dependents(t: Tables, strict: bool = False) -> DataFrame:
     return count_links(t.comunidad, member_links(t, strict), "id_usuario")
 
 
+def member_dependents_stored(t: Tables, strict: bool = False) -> DataFrame:
+    """`member_dependents` from tables that are in buckets by member (`layouts.write_buckets`): each is counted where it
+    lies and joined by member, so nothing is shuffled. Tables in no buckets are counted with less by the other form."""
+    links = member_links(t, strict)
+    members = t.comunidad.groupBy("id_usuario").agg(F.count(F.lit(1)).alias("_filas"))
+    for name, (df, key) in links.items():
+        members = members.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
+    return members.select("id_usuario", *zero_if_null(*links))
+
+
 def session_dependents(t: Tables, strict: bool = False) -> DataFrame:
     """Rows that refer to each session. `strict` also counts links to runs."""
     return count_links(t.sesion, session_links(t, strict), "id_sesion")

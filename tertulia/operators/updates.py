@@ -40,8 +40,9 @@ def _update(
             return F.col(name)
         return F.when(F.col(HIT), new_values[name]).otherwise(F.col(name)).alias(name)
 
-    state, changed = (current.join(renamed, list(keys), how).select(*[value(c) for c in current.columns]) for how in ("left", "inner"))
-    return Change({table: state}, rejected=rejected, changed={table: changed})
+    state, hit = (current.join(renamed, list(keys), how) for how in ("left", "inner"))
+    new, old = [value(c) for c in current.columns], current.columns
+    return Change({table: state.select(*new)}, rejected=rejected, changed={table: hit.select(*new)}, replaced={table: hit.select(*old)})
 
 
 def _keep_old(*cols: str) -> dict[str, Column]:

@@ -93,6 +93,15 @@ def new_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     return pairs.join(held, pairs.columns, "left_anti")
 
 
+def split_known(rows: DataFrame, entity: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` whose `key` names a row of `entity`, and the others; those without a key are among the others.
+
+    A small entity is broadcast to the rows, which then stay where they are; with a large one, both
+    sides come straight from their tables, so a key that most rows name can be split.
+    """
+    return tuple(rows.join(entity.select(key), key, how).select(*rows.columns) for how in ("left_semi", "left_anti"))
+
+
 def one_per_key(changes: DataFrame, keys: Sequence[str], order_col: str | None) -> DataFrame:
     """One change row per key: the last by `order_col`, else an error when a key occurs twice."""
     rest = [c for c in changes.columns if c not in keys and c != order_col]

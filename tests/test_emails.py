@@ -1,9 +1,13 @@
+import datetime as dt
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tertulia.functions.text import WHITE_SPACE, strip
+from tertulia import load_tables
+from tertulia.functions.text import WHITE_SPACE, parse_date, strip
+from tertulia.operators import emails
 from tertulia.operators.emails import (
     known_emails,
     parse_email_lines,
@@ -11,6 +15,7 @@ from tertulia.operators.emails import (
     resolve_members,
     unknown_emails,
 )
+from tertulia.plans.staging import stage
 
 
 def batches(spark, *texts):
@@ -108,3 +113,57 @@ def test_members_who_share_an_address(spark, rows, members):
     emails = spark.createDataFrame([("a@x",), ("c@x",)], "correo string")
     assert rows(resolve_members(members, emails)) == [("a@x", 2)]
     assert rows(resolve_members(members, emails, first_only=False)) == [("a@x", 2), ("a@x", 3)]
+
+
+# Very long texts
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10_000])
+def test_pieces_hold_the_same_entries(spark, size):
+    """However a text is cut, its entries are those of the whole text, in order."""
+    texts = [None, "", ";", ";;", "a", "a;", ";a", "a;b", "ana@x; bo@x;;cy@x;", "x" * 40, "x" * 9 + ";" + "ñ😀" * 9, ";" * 11, "a;" * 20]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "n int, texto string")
+    cut = df.select("n", F.posexplode(emails.in_pieces("texto", ";", size, -1)).alias("nth", "piece"))
+    got = {}
+    for r in cut.orderBy("n", "nth").collect():
+        got.setdefault(r["n"], []).extend(r["piece"].split(";"))
+    assert got == {i: x.split(";") for i, x in enumerate(texts) if x is not None}
+    assert cut.where(F.size(F.split("piece", ";")) > size).isEmpty()
+
+
+def test_a_text_of_100_mb_is_parsed_by_several_tasks(spark):
+    """One list of four million addresses, of which a quarter repeat."""
+    line = F.concat(F.lit("Persona <p"), (F.col("id") % 3_000_000).cast("string"), F.lit("@example.com>"))
+    parts = spark.range(0, 4_000_000, 1, 4).select(line.alias("x"))
+    whole = parts.agg(F.array_join(F.collect_list("x"), "; ").alias("texto")).select(F.lit(1).alias("id_lote"), "texto")
+    text = stage(whole)
+    assert text.select(F.length("texto")).first()[0] > 100_000_000
+    pieces = text.select("id_lote", F.posexplode(emails.in_pieces("texto", ";")).alias("nth", "piece")).repartition("id_lote", "nth")
+    sizes = [r[1] for r in pieces.groupBy(F.spark_partition_id()).agg(F.sum(F.length("piece"))).collect()]
+    assert len(sizes) > 1 and max(sizes) < 60_000_000
+    found = emails.parse_reply_all(text, spread=True)
+    assert found.agg(F.count("correo"), F.countDistinct("correo")).first()[:] == (3_000_000, 3_000_000)
+
+
+# Dates
+
+
+def test_dates_in_texts(spark):
+    said = {
+        "2024-03-05": (2024, 3, 5), "2024/03/05": (2024, 3, 5), "20240305": (2024, 3, 5), " 2024-03-05 10:20:30 ": (2024, 3, 5),
+        "2024-03-05T10:20:30": (2024, 3, 5), "3/5/2024": (2024, 3, 5), "25/3/2024": (2024, 3, 25), "25.03.2024": (2024, 3, 25),
+        "5 Mar 2024": (2024, 3, 5), "March 5, 2024": (2024, 3, 5), "Mar 5, 2024": (2024, 3, 5),
+        "2024-02-30": None, "31/31/2024": None, "pronto": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in said], "texto string").withColumn("fecha", parse_date("texto"))
+    assert {r["texto"]: r["fecha"] for r in df.collect()} == {k: v and dt.date(*v) for k, v in said.items()}
+
+
+def test_a_warehouse_with_dates_as_text(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE textos LOCATION '{tmp_path}/textos'")
+    try:
+        spark.createDataFrame([("7", "1", "5/3/2024")], "ID_CLASE string, ID_CURSO string, FECHA string").write.saveAsTable("textos.clase")
+        got = load_tables(spark, "textos", fmt="table").clase.first()
+        assert (got.id_clase, str(got.fecha)) == (7, "2024-05-03")
+    finally:
+        spark.sql("DROP DATABASE textos CASCADE")
