@@ -572,7 +572,7 @@ FROM fechas_texto""",
     "rewrite_course_sessions": ORACLE["replace_course_sessions"],
     "bucketed_session_invitees": ORACLE["session_invitees"],
     "bucketed_member_dependents": ORACLE["member_dependents"],
-    "class_attendance_pairs": ORACLE["class_attendance"],
+    "class_attendance_bitmaps": ORACLE["class_attendance"],
     "class_attendance_stored_bitmaps": ORACLE["class_attendance"],
     "grid_changes": f"""WITH editadas AS (
   SELECT id_curso, id_usuario, id_curso + id_usuario AS n, status, solicitud_aprobada, curso_aprobado,

@@ -239,7 +239,7 @@ QUERIES |= {
     "bucketed_member_dependents": stored.bucketed_dependents,
     "period_attendance": _report(reports.period_attendance, first=PERIOD[0], last=PERIOD[1]),
     "period_attendance_by_month": stored.attendance_by_month,
-    "class_attendance_pairs": _report(reports.class_attendance, by_bitmap=False),
+    "class_attendance_bitmaps": _report(reports.class_attendance, by_bitmap=True),
     "class_attendance_stored_bitmaps": stored.attendance_from_bitmaps,
     "upkeep_session_funnel": stored.kept_session_funnel,
     "upkeep_course_funnel": stored.kept_course_funnel,

@@ -259,9 +259,11 @@ def completion_rates(t: Tables, results: DataFrame | None = None) -> DataFrame:
 
 
 def session_attendance_pct(t: Tables, id_sesion: int | None = None) -> DataFrame:
-    """Distinct attendees of each session, and what percentage of all members they are."""
+    """Distinct attendees of each session, and what percentage of all members they are.
+
+    A session has many members of every range of ids, so they are counted by bitmaps: no pair is moved."""
     attended = where_equal(t.asistencia_sesion, "id_sesion", id_sesion)
-    counts = attended.groupBy("id_sesion").agg(F.countDistinct("id_usuario").alias("numero_asistentes"))
+    counts = count_ids(bitmaps(attended, ["id_sesion"], "id_usuario"), ["id_sesion"], "numero_asistentes")
     members = t.comunidad.agg(F.countDistinct("id_usuario")).scalar()
     sessions = where_equal(t.sesion, "id_sesion", id_sesion).select("id_sesion", "nombre_sesion")
     counted = sessions.join(counts, "id_sesion", "left").select(
@@ -270,16 +272,16 @@ def session_attendance_pct(t: Tables, id_sesion: int | None = None) -> DataFrame
     return counted.withColumn("porcentaje_asistencia", _percent("numero_asistentes", members))
 
 
-def class_attendance(t: Tables, id_curso: int | None = None, by_bitmap: bool = True) -> DataFrame:
+def class_attendance(t: Tables, id_curso: int | None = None, by_bitmap: bool = False) -> DataFrame:
     """Distinct attendees per run and class date, by date; classes on one date count as one.
 
     Every class adds a row without an attendee, so that dates nobody attended count zero. The
     join of the two large tables is thus an inner one, which adaptive execution splits on either
     side when a class is very popular.
 
-    Attendees are counted by bitmaps, filled before the one shuffle by date: what moves is a bitmap for each
-    date and 32,768 member ids, however many attended. Where few members of each such range attend a
-    class, `by_bitmap=False` moves less: it counts distinct pairs.
+    `by_bitmap` counts attendees by bitmaps, filled before the one shuffle by date: what moves is a bitmap
+    for each date and 32,768 member ids, however many attended. That pays where many members of each such range
+    attend a class, and costs more where few do (README has figures); the other way counts distinct pairs.
     """
     classes = where_equal(t.clase, "id_curso", id_curso)
     attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")

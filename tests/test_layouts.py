@@ -163,13 +163,23 @@ def test_attendance_moves_as_bitmaps(spark, samples, tmp_path):
     for name in ("clase", "asistencia_clase"):
         append_rows(getattr(samples.tables, name), f"{tmp_path}/{name}")
     t = samples.tables.with_tables(**{n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("clase", "asistencia_clase")})
-    plan = plan_of(reports.class_attendance(t))
+    plan = plan_of(reports.class_attendance(t, by_bitmap=True))
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     # One shuffle by date and bucket, whose rows are bitmaps, and one of a count per date and bucket.
     assert sum("_bucket" in line for line in moved) == 1 and len(moved) <= 2
     assert "partial_bitmap_construct_agg" in plan and "Expand" not in plan
 
 
+def test_attendees_of_sessions_move_as_bitmaps(spark, samples, tmp_path):
+    append_rows(samples.tables.asistencia_sesion, f"{tmp_path}/a")
+    t = samples.tables.with_tables(asistencia_sesion=spark.read.parquet(f"{tmp_path}/a"))
+    plan = plan_of(reports.session_attendance_pct(t))
+    assert "partial_bitmap_construct_agg" in plan
+    # Sessions and buckets of bitmaps are dealt out; the one shuffle by member is that of the members' own count.
+    by_member = [line for line in plan.splitlines() if "Exchange hashpartitioning(id_usuario" in line]
+    assert re.search(r"Exchange hashpartitioning\(id_sesion#\d+L, _bucket", plan) and len(by_member) <= 1
+
+
 def test_bitmaps_count_what_distinct_counts(spark, rows):
     far = [0, 1, -1, 32767, 32768, 32769, 2**40, -(2**40), None]
     pairs = [(k, far[(i * k) % len(far)]) for k in range(1, 6) for i in range(20)] + [(None, 5), (None, 5), (9, None)]
@@ -189,4 +199,4 @@ def test_stored_bitmaps_take_new_attendance(spark, rows, make):
     more = make(asistencia_clase=[(4, 8), (1, 6)])
     both = merge(old.unionByName(reports.attendance_bitmaps(more)), ["id_clase"])
     now = t.with_tables(asistencia_clase=t.asistencia_clase.unionByName(more.asistencia_clase))
-    assert rows(reports.class_attendance_of(now, both)) == rows(reports.class_attendance(now)) == rows(reports.class_attendance(now, by_bitmap=False))
+    assert rows(reports.class_attendance_of(now, both)) == rows(reports.class_attendance(now)) == rows(reports.class_attendance(now, by_bitmap=True))
