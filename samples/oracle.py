@@ -599,4 +599,11 @@ SELECT id_sesion, nombre_sesion, fecha_sesion,
        (SELECT count(DISTINCT a.id_usuario) FROM asistencia_sesion a WHERE a.id_sesion = s.id_sesion) AS numero_asistentes
 FROM sesion s WHERE fecha_sesion BETWEEN DATE '2024-03-01' AND DATE '2024-05-31'""",
 }
+TORN = """repetidos AS (
+  SELECT * FROM cambios_curso UNION ALL
+  SELECT * REPLACE ('Otro proveedor' AS proveedor) FROM cambios_curso WHERE id_curso % 5 = 0 UNION ALL
+  SELECT * FROM cambios_curso WHERE id_curso % 7 = 0),
+claros AS (SELECT DISTINCT * FROM repetidos WHERE id_curso % 5 <> 0)"""
+ORACLE["update_courses_go_on"] = f"WITH {TORN}\n" + ORACLE["update_courses"].replace("cambios_curso", "claros")
+ORACLE["update_courses_unclear"] = f"WITH {TORN}\nSELECT * FROM repetidos WHERE id_curso % 5 = 0"
 ORACLE["period_attendance_by_month"] = ORACLE["period_attendance"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from samples import stored
 from samples.stored import PERIOD
@@ -220,7 +221,16 @@ def _checked(function: Callable, table: str, key: str, **options) -> dict[str, Q
     }
 
 
+def _torn(s: Samples) -> DataFrame:
+    """Changes of runs, one run in five with two that differ, and one in seven with the same one twice."""
+    changes = s.view("cambios_curso")
+    other = changes.where("id_curso % 5 = 0").withColumn("proveedor", F.lit("Otro proveedor"))
+    return changes.unionByName(other).unionByName(changes.where("id_curso % 7 = 0"))
+
+
 QUERIES |= {
+    "update_courses_go_on": lambda s: updates.update_courses(s.tables, _torn(s), go_on=True).tables["curso"],
+    "update_courses_unclear": lambda s: updates.update_courses(s.tables, _torn(s), go_on=True).rejected,
     "add_classes_checked": _after(adds.add_classes, "clase", "clases_dudosas"),
     "add_classes_rejected": _rejected(adds.add_classes, "clases_dudosas"),
     **_checked(registrations.register_session_invitees, "invitacion_sesion", "id_sesion"),

@@ -1,4 +1,8 @@
-"""Changing rows that exist. A missing value in a change leaves the old value as it is."""
+"""Changing rows that exist. A missing value in a change leaves the old value as it is.
+
+Where a key has several different changes and no order column tells which is the last, the whole batch is an error;
+with `go_on` the other keys are changed, and the rows of that key are rejected.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tertulia.operators.lookups import instructor_id, session_ids
-from tertulia.plans.joins import drop_keys, one_per_key
+from tertulia.plans.joins import drop_keys, settled
 from tertulia.plans.staging import stage
 from tertulia.sources.tables import Change, Tables
 
@@ -54,7 +58,7 @@ def _given(changes: DataFrame, *cols: str) -> list[str]:
 
 
 def update_members(
-    t: Tables, changes: DataFrame, order_col: str | None = None, keep_profile: bool = True
+    t: Tables, changes: DataFrame, order_col: str | None = None, keep_profile: bool = True, go_on: bool = False
 ) -> Change:
     """Change members found by `correo`; `correo_nuevo` is their new address.
 
@@ -69,21 +73,21 @@ def update_members(
     if not keep_profile:
         values |= _keep_old(*_given(changes, *profile))
     # Staged: many members may share an address, and a join with a stored table can be split.
-    single = stage(one_per_key(changes, ["correo"], order_col))
-    return _update(t, "comunidad", ["correo"], single, values)
+    single, rejected = settled(changes, ["correo"], order_col, go_on)
+    return _update(t, "comunidad", ["correo"], stage(single), values, rejected)
 
 
-def update_sessions(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
+def update_sessions(t: Tables, changes: DataFrame, order_col: str | None = None, go_on: bool = False) -> Change:
     values = _keep_old(*_given(changes, "nombre_sesion", "fecha_sesion", "link_sesion_informativa"))
-    single = one_per_key(changes, ["id_sesion"], order_col)
-    return _update(t, "sesion", ["id_sesion"], single, values)
+    single, rejected = settled(changes, ["id_sesion"], order_col, go_on)
+    return _update(t, "sesion", ["id_sesion"], single, values, rejected)
 
 
-def update_courses(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
+def update_courses(t: Tables, changes: DataFrame, order_col: str | None = None, go_on: bool = False) -> Change:
     fields = ["fecha_inicio", "fecha_fin", "proveedor", "requiere_caso_uso", "correo_contacto"]
     values = _keep_old(*_given(changes, *fields))
-    single = one_per_key(changes, ["id_curso"], order_col)
-    return _update(t, "curso", ["id_curso"], single, values)
+    single, rejected = settled(changes, ["id_curso"], order_col, go_on)
+    return _update(t, "curso", ["id_curso"], single, values, rejected)
 
 
 def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
@@ -99,7 +103,7 @@ def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
     return Change({"tiene_sesion": kept.unionByName(new)}, {"tiene_sesion": new}, removed={"tiene_sesion": removed})
 
 
-def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
+def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = None, go_on: bool = False) -> Change:
     """Give runs another instructor, by `id_curso` and the full name in `instructor`.
 
     A run nobody teaches gets no row; a name that is not found changes nothing and is rejected.
@@ -108,14 +112,17 @@ def reassign_instructor(t: Tables, changes: DataFrame, order_col: str | None = N
     instructors = stage(instructor_id(t).join(named.select("nombre_completo").distinct(), "nombre_completo", "left_semi"))
     found = named.join(instructors, "nombre_completo").drop("nombre_completo")
     unknown = named.join(instructors, "nombre_completo", "left_anti")
-    single = stage(one_per_key(found, ["id_curso"], order_col))
+    single, unclear = settled(found, ["id_curso"], order_col, go_on)
     rejected = unknown.withColumnRenamed("nombre_completo", "instructor").select(*changes.columns)
-    return _update(t, "imparte", ["id_curso"], single, _keep_old("id_instructor"), rejected)
+    if unclear is not None:
+        of_unclear = named.join(unclear.select("id_curso").distinct(), "id_curso", "left_semi").join(instructors, "nombre_completo", "left_semi")
+        rejected = rejected.unionByName(of_unclear.withColumnRenamed("nombre_completo", "instructor").select(*changes.columns))
+    return _update(t, "imparte", ["id_curso"], stage(single), _keep_old("id_instructor"), rejected)
 
 
-def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None = None) -> Change:
+def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None = None, go_on: bool = False) -> Change:
     """Set status and completion of registrants, by run and member; a missing flag means no."""
     values = {c: F.coalesce(f"n_{c}", F.lit(False)) for c in ("status", "curso_aprobado")}
     keys = ["id_curso", "id_usuario"]
-    single = one_per_key(changes, keys, order_col)
-    return _update(t, "registrados_curso", keys, single, values)
+    single, rejected = settled(changes, keys, order_col, go_on)
+    return _update(t, "registrados_curso", keys, single, values, rejected)

@@ -116,5 +116,23 @@ def one_per_key(changes: DataFrame, keys: Sequence[str], order_col: str | None)
     return grouped.select(*keys, *[F.when(F.col("_n") > 1, twice).otherwise(F.col(c)).alias(c) for c in rest])
 
 
+def settled(
+    changes: DataFrame, keys: Sequence[str], order_col: str | None, go_on: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """One change row per key, and with `go_on` the rows that were left out because their key has several.
+
+    Rows that say the same are one change. Without `go_on` several changes of a key are an error, unless an order column
+    tells which is the last (`one_per_key`).
+    """
+    if order_col or not go_on:
+        return one_per_key(changes, keys, order_col), None
+    rest = [c for c in changes.columns if c not in keys]
+    # Equal rows collapse first, so a key that is repeated many times is one row per different change.
+    different = changes.groupBy(*changes.columns).agg(F.count(F.lit(1)).alias("copias"))
+    counted = different.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in rest])
+    twice = stage(counted.where("_n > 1").select(*keys))
+    return counted.where("_n = 1").select(*changes.columns), changes.join(twice, list(keys), "left_semi").select(*changes.columns)
+
+
 def zero_if_null(*cols: str) -> list[Column]:
     return [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in cols]

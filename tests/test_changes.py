@@ -303,3 +303,33 @@ def test_invited_is_attended_and_invited_plus_no_shows(spark, t):
     invited = rosters.session_invitees(after).count()
     both = after.invitacion_sesion.join(after.asistencia_sesion, ["id_sesion", "id_usuario"], "left_semi").count()
     assert invited == both + rosters.session_no_shows(after).count()
+
+
+# Several changes of one key
+
+
+def test_the_others_go_on(spark, rows, t):
+    shape = "id_curso long, id_usuario long, status boolean, curso_aprobado boolean"
+    changes = [(1, 1, False, True), (1, 1, True, True), (1, 3, True, True), (1, 3, True, True), (None, 1, True, True), (9, 9, None, None)]
+    given = spark.createDataFrame(changes, shape)
+    with pytest.raises(Exception, match="two changes for one"):
+        rows(updates.set_registrant_status(t, given).tables["registrados_curso"])
+    change = updates.set_registrant_status(t, given, go_on=True)
+    assert rows(change.changed["registrados_curso"]) == [(1, 3, True, None, True)]
+    assert rows(change.replaced["registrados_curso"]) == [(1, 3, None, None, True)]
+    assert rows(change.rejected) == [(1, 1, False, True), (1, 1, True, True)]
+
+
+def test_instructors_named_twice_are_rejected(spark, rows, t):
+    given = spark.createDataFrame([(1, "Leo Mar"), (1, "Eva Sol"), (2, "Leo Mar"), (1, "Nadie")], "id_curso long, instructor string")
+    change = updates.reassign_instructor(t, given, go_on=True)
+    assert rows(change.tables["imparte"]) == [(1, 1)]
+    assert rows(change.rejected) == [(1, "Eva Sol"), (1, "Leo Mar"), (1, "Nadie")]
+
+
+def test_members_and_sessions_go_on(spark, rows, t):
+    members = spark.createDataFrame([("ana@x", "A"), ("ana@x", "B"), ("bo@x", "Bo")], "correo string, nombre string")
+    change = updates.update_members(t, members, go_on=True)
+    assert [r[1] for r in rows(change.tables["comunidad"])] == ["Ana", "Bo", "Cy", "Cy"] and change.rejected.count() == 2
+    sessions = spark.createDataFrame([(1, "X"), (2, "Y"), (2, "Z")], "id_sesion long, nombre_sesion string")
+    assert [r[1] for r in rows(updates.update_sessions(t, sessions, go_on=True).tables["sesion"])] == ["X", "T", "S"]
