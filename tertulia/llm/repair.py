@@ -313,27 +313,33 @@ def summary(parts: DataFrame) -> DataFrame:
     part; it holds one part at a time.
     """
     written = F.array_join(F.transform("rows", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
-    gaps = F.when(F.col("low").isNull(), 0).otherwise(F.col("high") - F.col("low") + 1 - F.col("turns")).cast("long")
     columns = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
-    one = parts.where("whole").withColumn("gaps", gaps).withColumn("repaired_sha256", F.sha2(written, 256)).select(*columns)
-    several = parts.where("not whole").withColumn("lines", written).withColumn("n_rows", F.size("rows")).drop("rows", "whole")
+    # The text of a whole conversation is hashed where it is, and goes no further.
+    hashed = parts.select(
+        *[c for c in parts.columns if c not in ("rows", "whole")],
+        F.size("rows").alias("n_rows"),
+        F.when(~F.col("whole"), written).alias("lines"),
+        F.when(F.col("whole"), F.sha2(written, 256)).alias("sha256"),
+    )
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
+            done = []
             for r in batch.to_pylist():
                 if total is None or total.conv_id != r["conv_id"]:
                     if total is not None:
-                        yield total.row(schema)
+                        done.append(total.row())
                     total = Total(r["conv_id"])
                 total.add(r)
+            yield pa.RecordBatch.from_pylist([{k: d[k] for k in columns} for d in done], schema=schema)
         if total is not None:
-            yield total.row(schema)
+            last = total.row()
+            yield pa.RecordBatch.from_pylist([{k: last[k] for k in columns}], schema=schema)
 
     schema = pa.schema([(c, pa.string() if c in ("audit", "repaired_sha256") else pa.int64()) for c in columns])
     shape = ", ".join(f"{c} {'string' if c in ('audit', 'repaired_sha256') else 'long'}" for c in columns)
-    in_order = several.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return one.unionByName(in_order.mapInArrow(pass_over, shape))
+    return hashed.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(pass_over, shape)
 
 
 class Total:
@@ -343,9 +349,10 @@ class Total:
         self.conv_id, self.hash, self.begun, self.last = conv_id, hashlib.sha256(), False, None
         self.sums = dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "cost", "turns"), 0)
         self.audits: list[str] = []
-        self.low = self.high = None
+        self.low = self.high = self.sha256 = None
 
     def add(self, part: dict) -> None:
+        self.sha256 = part["sha256"]
         for name in self.sums:
             self.sums[name] += part[name]
         if self.last is not None:
@@ -355,11 +362,16 @@ class Total:
         if part["low"] is not None:
             self.low = part["low"] if self.low is None else self.low
             self.high = part["high"]
-        if part["n_rows"]:
+        if part["n_rows"] and self.sha256 is None:
             self.hash.update((b"\n" if self.begun else b"") + part["lines"].encode())
             self.begun = True
 
-    def row(self, schema: pa.Schema) -> pa.RecordBatch:
+    def row(self) -> dict:
         gaps = 0 if self.low is None else self.high - self.low + 1 - self.sums["turns"]
-        out = {**self.sums, "conv_id": self.conv_id, "gaps": gaps, "audit": "".join(self.audits), "repaired_sha256": self.hash.hexdigest()}
-        return pa.RecordBatch.from_pylist([{k: out[k] for k in schema.names}], schema=schema)
+        return {
+            **self.sums,
+            "conv_id": self.conv_id,
+            "gaps": gaps,
+            "audit": "".join(self.audits),
+            "repaired_sha256": self.sha256 or self.hash.hexdigest(),
+        }
