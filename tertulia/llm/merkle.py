@@ -138,7 +138,7 @@ def hand_down(levels: list[DataFrame], roots: list[DataFrame], tops: DataFrame)
         level = levels[k].withColumn("parent", F.expr(f"index div {ARITY}"))
         known = level.join(above, ["tree", "parent"]).withColumn("steps", F.concat(F.array(F.struct("before", "after")), "next"))
         if k:
-            known = stage(known.select("tree", "index", "steps", *more).unionByName(ends[k].select("tree", "index", "steps", *more)))
+            known = known.select("tree", "index", "steps", *more).unionByName(ends[k].select("tree", "index", "steps", *more))
     return known
 
 
@@ -176,7 +176,7 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),  # tells copies apart, so that ranges can cut them
         )
     )
-    leaves = stage(numbered(rows, "tree", ["doc_id", "digest", "row"]).drop("row"))
+    leaves = numbered(rows, "tree", ["doc_id", "digest", "row"]).drop("row")
     carried = ["doc_id", "source", "altered"]
     levels, roots = climb(leaves, carried)
 
@@ -186,9 +186,10 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     named = subroots.select(F.lit(TREE_OF_SOURCES).alias("tree"), F.col("tree").alias("name"), "digest")
     sources = stage(numbered(named, "tree", ["name"]))
     over, top = climb(sources, ["name"])
-    root = top[-1].select(F.col("digest").alias("root"))
     if over:
-        known = hand_down(over, top, root.select(F.lit(TREE_OF_SOURCES).alias("tree"), F.expr(NO_STEPS).alias("steps"), "root"))
+        # Staged, so that the tree's name is a column to join by.
+        root = stage(top[-1].select("tree", F.expr(NO_STEPS).alias("steps"), F.col("digest").alias("root")))
+        known = hand_down(over, top, root)
         tops = known.select(F.col("name").alias("tree"), "steps", F.col("digest").alias("subroot"), "root")
     else:
         tops = sources.select(F.col("name").alias("tree"), F.expr(NO_STEPS).alias("steps"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
