@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A text is cut into overlapping blocks of words. A template is a set of words, and a block matches it
-when it contains at least `threshold` of them. The words of templates and blocks are put in one
+when it contains at least `threshold` of them, those that name its license included. The words of templates and blocks are put in one
 order, rare ones first as counted over the whole corpus, so that few blocks are looked at:
 
 - prefix filter: a block that holds `need` of a template's words holds one of the template's first
@@ -47,6 +47,9 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 
+#: Words that name a license. A block that lacks one its notice holds is another license's, however near.
+NAMING = frozenset(("mit", "apache", "gnu", "lesser", "mozilla", "cc", "creative", "unencumbered"))
+
 BLOCK = 64
 FOUND = (
     "doc_id long, n_words long, places array<struct<label string, word long>>, "
@@ -56,11 +59,13 @@ FOUND = (
 
 @dataclass(frozen=True)
 class Template:
-    """`words` in corpus order, rare first; `phrase` in reading order, for an exact phrase only."""
+    """`words` in corpus order, rare first, of which a block holds `need` and all of `names`; `phrase` in reading
+    order, for an exact phrase only."""
 
     label: str
     words: tuple[bytes, ...]
     need: int
+    names: frozenset[bytes]
     phrase: tuple[bytes, ...] = ()
 
 
@@ -80,7 +85,8 @@ class TemplateIndex:
     def _template(self, text: str, label: str, threshold: float, exact: bool) -> Template:
         words = alnum_words(text)
         distinct = tuple(sorted(set(words), key=self.rank.__getitem__))
-        return Template(label, distinct, needed(len(distinct), threshold), tuple(words) if exact else ())
+        names = frozenset(w for w in distinct if w.decode() in NAMING)
+        return Template(label, distinct, needed(len(distinct), threshold), names, tuple(words) if exact else ())
 
     def matches(self, block: Sequence[bytes]) -> list[tuple[Template, int]]:
         """Templates that `block` contains far enough, each with the number of common words."""
@@ -95,7 +101,7 @@ class TemplateIndex:
         found = []
         for t in sorted(candidates):
             common = len(held.intersection(self.templates[t].words))
-            if common >= self.templates[t].need:
+            if common >= self.templates[t].need and self.templates[t].names <= held:
                 found.append((self.templates[t], common))
         return found
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tertulia.llm.licenses import BLOCK, NOTICES, PHRASES
+from tertulia.llm.licenses import BLOCK, NAMING, NOTICES, PHRASES
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -23,7 +23,8 @@ blocks AS (
   FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {BLOCK // 2 - 1}) // {BLOCK // 2})) AS b FROM words)),
 matches AS (
   SELECT doc_id, label, len(list_intersect(held, t)) / len(t) AS part
-  FROM blocks, notices WHERE len(list_intersect(held, t)) >= 0.8 * len(t)),
+  FROM blocks, notices WHERE len(list_intersect(held, t)) >= 0.8 * len(t)
+  AND list_has_all(held, list_intersect(t, {sorted(NAMING)!r}))),
 base AS (
   SELECT doc_id, count(*) AS n, min(word) AS first_word, max(word) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),

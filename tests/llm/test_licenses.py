@@ -28,7 +28,7 @@ def by_hand(text, threshold=0.8, block=licenses.BLOCK):
         inside = set(words[start : start + block])
         for notice, label in licenses.NOTICES.items():
             wanted = set(notice.split())
-            if len(inside & wanted) >= threshold * len(wanted):
+            if len(inside & wanted) >= threshold * len(wanted) and not (wanted & licenses.NAMING) - inside:
                 blocks.append((label, start, len(inside & wanted) / len(wanted)))
     return len(words), sorted(places), sorted(blocks)
 
@@ -69,6 +69,23 @@ def test_order_of_words_does_not_matter():
     assert len(found) == 1
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("This is released under the Apache License.", {"apache"}),
+        ("released under the GPL license", set()),
+        ("under the terms of the GNU General Public License", {"gpl"}),
+        ("Released under the MIT licence", {"mit"}),
+        ("the terms of the GNU Lesser General Public License", {"gpl", "lgpl"}),
+        ("subject to the terms of the public license", set()),
+        ("Permission is hereby granted, free of charge, to any person getting a copy", {"mit"}),
+    ],
+)
+def test_a_notice_needs_the_word_that_names_its_license(spark, text, labels):
+    found = licenses.scan(documents(spark, [(1, text)])).first()
+    assert {x["label"] for x in [*found["places"], *found["blocks"]]} == labels
+
+
 def test_template_longer_than_half_a_block_is_refused(spark):
     with pytest.raises(ValueError, match="words"):
         licenses.scan(documents(spark, []), block=16)
