@@ -26,7 +26,8 @@ KEYS = [
     "session_no_shows", "course_not_registered", "member_missed_sessions", "member_missed_courses",
     "session_funnel", "course_funnel", "engagement_summary", "engagement_breakdown", "top_participants",
     "top_participants_area", "popular_courses", "runs_per_course", "completion_rates",
-    "session_attendance_pct", "invite_recommendations", "class_attendance", "member_dependents",
+    "session_attendance_pct", "invite_recommendations", "class_attendance", "class_attendance_bitmaps",
+    "class_attendance_stored_bitmaps", "member_dependents",
     "member_dependents_strict", "session_dependents", "session_dependents_strict", "course_dependents",
     "course_dependents_strict", "delete_members", "delete_members_blocked", "delete_sessions",
     "delete_sessions_blocked", "delete_courses", "delete_courses_blocked", "delete_courses_strict",
