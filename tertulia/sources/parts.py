@@ -68,7 +68,8 @@ def rewrite_parts(spark: SparkSession, path: str, change: Change, table: str) ->
     stored = spark.read.parquet(path)
     columns = [c for c in stored.columns if c != PART]
     found = lambda kind: [kind[table].select(*columns)] if table in kind else []
-    gone, come = found(change.changed) + found(change.removed), found(change.changed) + found(change.added)
+    changed = [stage(df) for df in found(change.changed)]  # what an update makes of the table is made once
+    gone, come = changed + found(change.removed), changed + found(change.added)
     nothing = stored.select(*columns).limit(0)
     keys = stage(reduce(DataFrame.unionByName, gone, nothing).select(*layout.keys).distinct().select("*", layout.part()))
     rows = stage(reduce(DataFrame.unionByName, come, nothing).select("*", layout.part()))
