@@ -50,6 +50,15 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _staged.pop()
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete one table that `stage` returned and nothing reads any more, before `release` would."""
+    spark = staged.sparkSession
+    configuration = spark._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+
+
 def stage_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """Stage what `build` returns, and delete what was staged on the way to it."""
     before = len(_staged)
