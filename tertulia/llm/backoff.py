@@ -11,7 +11,11 @@ share of all tokens: a share of 1e-6 bounds them at a million. All rarer ones ar
 a text is the sum, over all places, of one weight for each known n-gram that begins there: what its arc
 adds to the probability after the shorter context, and its backoff weight, which every place after it
 passes or its arc takes back. So a walk needs the exact backoff weights of its own states alone, and the
-weights of rarer n-grams are added by a join. They are rare by definition, so the join has no hot key.
+weights of rarer n-grams are added where they meet. They are rare by definition, so no key is hot there.
+
+N-grams travel in blocks: a task sorts those it has read by bucket, the leading bits of their hash, and sends
+their codes compressed. The buckets of n-grams, and of what is known of them, meet in one task each, and the
+more tokens there are the more buckets.
 
 An n-gram goes by a hash of 64 bits, a polynomial of hashes of its tokens, from which the last token
 leaves the hash of its context. Among three billion n-grams one pair in four such corpora is expected to
@@ -26,6 +30,8 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tertulia.llm.blocks import bits_for, bucket_of, pack, rising, runs, summed, unpack
 from tertulia.llm.words import lower_words
-from tertulia.plans.staging import stage
+from tertulia.plans.staging import discard, stage
 
 END = b""  # no word is empty
 DISCOUNT = 0.75
 PSEUDO = 0.1
 LEAST = 2  # n-grams that occur less often are not learned
+OF_KNOWN, OF_DOCUMENTS = -1, 0  # kinds of blocks; others hold n-grams of so many tokens
 FLUSH = 400_000  # different tokens or n-grams that a task holds before it passes its counts on
 
 
@@ -239,37 +247,103 @@ def joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(found)), lengths)
 
 
-def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, least: float) -> DataFrame:
+def with_escapes(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of codes as small numbers, 0 for the hash of a rare token, and then all these hashes."""
+    rare = [c >= np.uint64(RARE) for c in codes]
+    small = [np.where(r, np.uint64(0), c + np.uint64(1)) for c, r in zip(codes, rare, strict=True)]
+    return [*small, np.concatenate([c[r] for c, r in zip(codes, rare, strict=True)])]
+
+
+def without_escapes(columns: list[np.ndarray]) -> list[np.ndarray]:
+    *small, hashes = columns
+    codes, at = [], 0
+    for column in small:
+        rare = column == 0
+        code, end = column - np.uint64(1), at + int(rare.sum())
+        code[rare] = hashes[at:end]
+        codes.append(code)
+        at = end
+    return codes
+
+
+def hashes_of(codes: list[np.ndarray]) -> np.ndarray:
+    hashes = mixed(codes[0])
+    for code in codes[1:]:
+        hashes = longer(hashes, code)
+    return hashes
+
+
+def sent(grams: np.ndarray, codes: list[np.ndarray], others: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of n-grams by the bucket of their hash. Within a bucket they are in order of their first
+    two tokens, as far as these have numbers, so that like ones lie side by side."""
+    near = np.uint64((1 << 21) - 1)
+    key = bucket_of(grams, bits) << np.uint64(42)
+    for code, shift in zip(codes[:2], (21, 0), strict=False):
+        key |= np.minimum(code, near) << np.uint64(shift)
+    order = np.argsort(key, kind="stable")
+    codes, others = [c[order] for c in codes], [c[order] for c in others]
+    for bucket, start, end in runs(bucket_of(grams[order], bits)):
+        yield bucket, pack([*(c[start:end] for c in others), *with_escapes([c[start:end] for c in codes])])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of batches that are in order of their buckets, each with all rows of one bucket."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+    for _, group in groupby(rows, itemgetter(0)):
+        yield group
+
+
+def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, least: float, places: int) -> DataFrame:
     """N-grams of two tokens or more that occur at least `least` times: level, gram, last, n, with the
-    number of tokens, the hash, and the code of the last token."""
+    number of tokens, the hash, and the code of the last token.
+
+    Tasks count what they read and send the codes of different n-grams in blocks, a block for each bucket
+    of hashes; the buckets, of which there are more the more `places`, are added up one at a time."""
     bound = training.sparkSession.sparkContext.broadcast(numbers)
+    bits = bits_for(places)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(bound.value)
-        chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        chunks: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for _, found in in_groups(batches, 0, codes):
-            flat, doc = joined(found)
-            for k, (grams, places) in enumerate(grams_of(flat, doc, order), 1):
-                if k > 1:
-                    chunks.setdefault(k, []).append((grams, flat[places + k - 1]))
-            held += len(flat)
+            chunks.append(joined(found))
+            held += len(chunks[-1][0])
             if held > 8 * FLUSH:
                 yield from _rows(chunks)
-                chunks, held = {}, 0
+                chunks, held = [], 0
         yield from _rows(chunks)
 
-    def _rows(chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for k, parts in chunks.items():
-            grams, last = (np.concatenate(side) for side in zip(*parts, strict=True))
-            grams, places, n = np.unique(grams, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(grams), k, "int8")), signed(grams), signed(last[places]), pa.array(n.astype("int64"))],
-                names=["level", "gram", "last", "n"],
-            )
+    def _rows(chunks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not chunks:
+            return
+        flat = np.concatenate([c for c, _ in chunks])
+        docs = np.cumsum([0, *(d[-1] + 1 for _, d in chunks)])
+        doc = np.concatenate([d + first for (_, d), first in zip(chunks, docs, strict=False)])
+        for k, (grams, places) in enumerate(grams_of(flat, doc, order), 1):
+            if k > 1 and len(grams):
+                grams, at, (n,) = summed(grams, np.ones(len(grams), "u8"))
+                places = places[at]
+                buckets, blocks = zip(*sent(grams, [flat[places + i] for i in range(k)], [n], bits), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets, pa.int64()), pa.array([k] * len(blocks), pa.int8()), pa.array(blocks, pa.binary())],
+                    names=["bucket", "level", "block"],
+                )
 
-    rows = training.select("text").mapInArrow(count, "level byte, gram long, last long, n long")
-    return rows.groupBy("level", "gram").agg(F.max("last").alias("last"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_bucket(batches, ["bucket", "level", "block"]):
+            for k, level in groupby(group, itemgetter(1)):
+                parts = [(n, without_escapes(rest)) for n, *rest in (unpack(block) for _, _, block in level)]
+                grams, at, (n,) = summed(np.concatenate([hashes_of(c) for _, c in parts]), np.concatenate([n for n, _ in parts]))
+                often = n >= least
+                last = np.concatenate([c[-1] for _, c in parts])[at[often]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(last), k, "int8")), signed(grams[often]), signed(last), pa.array(n[often].astype("int64"))],
+                    names=["level", "gram", "last", "n"],
+                )
+
+    blocks = training.select("text").mapInArrow(count, "bucket long, level byte, block binary")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket", "level").mapInArrow(add, "level byte, gram long, last long, n long")
 
 
 def coded(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
@@ -313,21 +387,32 @@ def weights(ngrams: DataFrame, single: DataFrame, order: int, least: float) -> t
     backoffs   context, n, left: the logarithm of what is left for tokens not known after the context,
                over what these have after the shorter context
     arcs       gram, weight: the logarithm of the n-gram's probability, over what it has by backing off
-    """
+
+    Both are staged; what led to a level is deleted with the next."""
     shorter = single.where(F.col("n") >= least).select("gram", "n", "p", F.lit(0).cast("long").alias("suffix"))
-    backoffs, arcs = [], []
+    backoffs, arcs, earlier = [], [], None
     for k in range(2, order + 1):
         of_context = shorter.select(F.col("gram").alias("context"), F.col("n").alias("of_context"), "suffix")
         of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("p_shorter"))
         known = with_context(ngrams.where(F.col("level") == k)).join(of_context, "context")
-        p = ((F.col("n") - DISCOUNT) / F.col("of_context")).alias("p")
-        known = stage(with_suffix(known).join(of_suffix, "suffix").select("gram", "n", "context", "of_context", "suffix", p, "p_shorter"))
-        rest = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-12))
-        left = F.log10(rest("p") / rest("p_shorter")).alias("left")
+        known = with_suffix(known).join(of_suffix, "suffix")
+        known = stage(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter"))
+        p = (F.col("n") - DISCOUNT) / F.col("of_context")
+        rest = lambda share: F.greatest(1 - F.sum(share), F.lit(1e-12))
+        left = F.log10(rest(p) / rest("p_shorter")).alias("left")
         backoffs.append(stage(known.groupBy("context").agg(F.max("of_context").alias("n"), left)))
-        weight = F.log10("p") - F.log10("p_shorter") - F.col("left")
-        arcs.append(known.join(backoffs[-1].select("context", "left"), "context").select("gram", weight.alias("weight")))
-        shorter = known.select("gram", "n", "p", "suffix")
+        weight = F.log10(p) - F.log10("p_shorter")
+        known_weight = known.select("context", "gram", weight.alias("weight"))
+        arcs.append(
+            stage(known_weight.join(backoffs[-1].select("context", "left"), "context").select("gram", (F.col("weight") - F.col("left")).alias("weight")))
+        )
+        if earlier is not None:
+            discard(earlier)
+        earlier = known
+        if k < order:
+            shorter = known.select("gram", "n", p.alias("p"), "suffix")
+    if earlier is not None:
+        discard(earlier)
     return backoffs, arcs
 
 
@@ -362,7 +447,7 @@ def score(
     common = counts.where(F.col("n") >= from_tokens).orderBy(F.desc("n"), "token").toArrow()
     numbers = {w: i for i, w in enumerate(common.column("token").to_pylist())}
     by_number = common.column("n").to_pylist()
-    ngrams = stage(count_ngrams(training, numbers, order, least))
+    ngrams = stage(count_ngrams(training, numbers, order, least, n))
     single = stage(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
     backoffs, arcs = weights(ngrams, single, order, least)
 
@@ -382,81 +467,163 @@ def score(
         at = unsigned(own.column("context").combine_chunks()).tolist()
         left |= {grams[c]: x for c, x in zip(at, own.column("left").to_pylist(), strict=True)}
     automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], frequent, by_number, left)
+    discard(ngrams)
     bound = docs.sparkSession.sparkContext.broadcast((tuple(vars(automaton).values()), np.sort(hashes)))
-
-    doc = pa.struct(
-        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("plain", pa.float64()), ("walked", pa.float64())]
-    )
+    bits = bits_for(2 * n)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = bound.value
         automaton = Automaton(*parts)
         first = TaskContext.get().partitionId() << 33
+        chunks: list[list[np.ndarray]] = []
+        own: list[list[np.ndarray]] = []
+        size = rows = 0
         for batch, found in in_groups(batches, 2, Codes(automaton.numbers)):
             totals, plain, known = zip(*map(automaton.walk, found), strict=True)
-            own = pa.StructArray.from_arrays(
+            doc_id = batch.column(0)
+            flat, of_row = joined(found)
+            own.append(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(map(len, found), pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(plain, pa.float64()),
-                    pa.array(totals, pa.float64()),
-                ],
-                fields=list(doc),
+                    doc_id.fill_null(0).to_numpy().view("u8"),
+                    doc_id.is_valid().to_numpy(zero_copy_only=False).astype("u8"),
+                    batch.column(1).to_numpy(zero_copy_only=False).astype("u8"),
+                    np.array([len(f) for f in found], "u8"),
+                    np.array(known, "u8"),
+                    np.array(plain, "f8").view("u8"),
+                    np.array(totals, "f8").view("u8"),
+                ]
             )
-            rows = np.arange(first, first + len(found))
-            # No n-grams: these hashes spread the rows in the join.
-            yield _rows(rows, mixed(rows.astype("uint64") | np.uint64(RARE)), np.zeros(len(rows), "int64"), False, own)
-            flat, of_row = joined(found)
-            for k, (grams, places) in enumerate(grams_of(flat, of_row, order), 1):
-                if k == 1:
-                    rare = flat >= np.uint64(RARE)
-                elif len(held):
-                    rare = held[np.minimum(np.searchsorted(held, grams), len(held) - 1)] != grams
-                else:
-                    rare = np.ones(len(grams), bool)
-                grams, of = grams[rare], of_row[places[rare]]
-                order_of = np.lexsort((grams, of))
-                grams, of = grams[order_of], of[order_of]
-                new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])[: len(grams)])
-                times = np.diff(np.append(new, len(grams)))
-                yield _rows(first + of[new], grams[new], times, k == 1, pa.nulls(len(new), doc))
-            first += len(found)
-
-    def _rows(rows: np.ndarray, grams: np.ndarray, times: np.ndarray, token: bool, own: pa.Array) -> pa.RecordBatch:
+            chunks.append([flat, of_row + rows])
+            size, rows = size + len(flat), rows + len(found)
+            if size > 4 * FLUSH:
+                yield _blocks(chunks, own, first, held)
+                first += rows
+                chunks, own, size, rows = [], [], 0, 0
+        if rows:
+            yield _blocks(chunks, own, first, held)
+
+    def _blocks(chunks: list[list[np.ndarray]], own: list[list[np.ndarray]], first: int, held: np.ndarray) -> pa.RecordBatch:
+        # The rows of documents are no n-grams; this hash deals them out.
+        made = [(int(mixed(np.array([first], "u8"))[0]) >> (64 - bits), OF_DOCUMENTS, pack([np.concatenate(c) for c in zip(*own, strict=True)]))]
+        flat, of_row = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        for k, (grams, places) in enumerate(grams_of(flat, of_row, order), 1):
+            if k == 1:
+                rare = flat >= np.uint64(RARE)
+            elif len(held):
+                rare = held[np.minimum(np.searchsorted(held, grams), len(held) - 1)] != grams
+            else:
+                rare = np.ones(len(grams), bool)
+            grams, places = grams[rare], places[rare]
+            codes = [flat[places + i] for i in range(k)]
+            made += [(bucket, k, block) for bucket, block in sent(grams, codes, [of_row[places].astype("u8")], bits)]
+        buckets, kinds, blocks = zip(*made, strict=True)
+        return _row(buckets, kinds, [first] * len(made), blocks)
+
+    def _row(buckets, kinds, firsts, blocks) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets, pa.int64()), pa.array(kinds, pa.int8()), pa.array(firsts, pa.int64()), pa.array(blocks, pa.binary())],
+            names=["bucket", "kind", "first", "block"],
+        )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > FLUSH:
+                yield from _known(held)
+                held, size = [], 0
+        yield from _known(held)
+
+    def _known(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, held)):
+            return
+        grams = np.concatenate([unsigned(b.column(0)) for b in held])
+        seen = np.concatenate([b.column(1).to_numpy(zero_copy_only=False).astype("u8") for b in held])
+        weight = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held]).view("u8")
+        by_hash = np.argsort(grams)
+        grams, seen, weight = grams[by_hash], seen[by_hash], weight[by_hash]
+        made = [(bucket, pack([rising(grams[i:j]), seen[i:j], weight[i:j]])) for bucket, i, j in runs(bucket_of(grams, bits))]
+        buckets, blocks = zip(*made, strict=True)
+        yield _row(buckets, [OF_KNOWN] * len(made), [0] * len(made), blocks)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for group in by_bucket(batches, ["bucket", "kind", "first", "block"]):
+            grams, tables = np.zeros(0, "u8"), None
+            for kind, of_kind in groupby(group, itemgetter(1)):
+                if kind == OF_KNOWN:
+                    parts = [unpack(block) for _, _, _, block in of_kind]
+                    grams, _, tables = summed(
+                        np.concatenate([np.cumsum(g, dtype="u8") for g, _, _ in parts]),
+                        np.concatenate([s for _, s, _ in parts]),
+                        np.concatenate([w.view("f8") for _, _, w in parts]),
+                    )
+                    continue
+                for _, _, start, block in of_kind:
+                    if kind == OF_DOCUMENTS:
+                        yield _documents(start, unpack(block))
+                        continue
+                    row, *rest = unpack(block)
+                    searched = hashes_of(without_escapes(rest))
+                    at = np.minimum(np.searchsorted(grams, searched), max(len(grams) - 1, 0))
+                    hit = grams[at] == searched if len(grams) else np.zeros(len(searched), bool)
+                    seen, weight = np.zeros(len(searched), "u8"), np.zeros(len(searched))
+                    if tables is not None:
+                        seen[hit], weight[hit] = tables[0][at[hit]], tables[1][at[hit]]
+                    if kind == 1:
+                        plain = np.log10((seen + PSEUDO) / below)
+                        found = summed(row, (seen > 0).astype("i8"), plain, plain + weight)
+                    else:
+                        zero = np.zeros(int(hit.sum()))
+                        found = summed(row[hit], zero.astype("i8"), zero, weight[hit])
+                    sums.append((found[0].astype("i8") + start, *found[2]))
+                    size += len(sums[-1][0])
+                if size > 2 * FLUSH:
+                    yield _sums(sums)
+                    sums, size = [], 0
+        if sums:
+            yield _sums(sums)
+
+    def _sums(sums: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        row, _, added = summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))
+        nothing = [pa.nulls(len(row), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(row), *nothing, *map(pa.array, added)], names=names)
+
+    def _documents(start: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        doc_id, valid, held_out, n_tokens, known, plain, walked = columns
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), signed(grams), pa.array(times, pa.int64()), pa.array(np.full(len(rows), token)), own],
-            names=["row", "gram", "times", "token", "doc"],
+            [
+                pa.array(np.arange(start, start + len(doc_id), dtype="i8")),
+                pa.array(doc_id.view("i8"), mask=valid == 0),
+                pa.array(held_out == 1),
+                pa.array(n_tokens.view("i8")),
+                pa.array(known.view("i8")),
+                pa.array(plain.view("f8")),
+                pa.array(walked.view("f8")),
+            ],
+            names=names,
         )
 
-    walked = read.mapInArrow(
-        walk,
-        "row long, gram long, times long, token boolean, "
-        "doc struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, plain: double, walked: double>",
-    )
+    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    names = [f.split()[0] for f in fields.split(", ")]
     known = single.where(F.col("n") < from_tokens).select("gram", F.col("n").alias("seen"), F.lit(0.0).alias("weight"))
+    no_token = F.lit(0).cast("long").alias("seen")
     for found in backoffs:
-        known = known.unionByName(found.select(F.col("context").alias("gram"), F.lit(None).cast("long").alias("seen"), F.col("left").alias("weight")))
+        known = known.unionByName(found.select(F.col("context").alias("gram"), no_token, F.col("left").alias("weight")))
     for found in arcs:
-        known = known.unionByName(found.withColumn("seen", F.lit(None).cast("long")))
-    known = stage(known.groupBy("gram").agg(F.max("seen").alias("seen"), F.sum("weight").alias("weight")))
-
-    # An n-gram that is not known adds nothing; its rows end here.
-    met = walked.join(known, "gram", "left").where("token or doc is not null or weight is not null")
-    plain = F.when(F.col("token"), F.col("times") * F.log10((F.coalesce("seen", F.lit(0)) + PSEUDO) / below)).otherwise(0.0)
-    added = met.groupBy("row").agg(
-        F.max("doc").alias("doc"),
-        F.sum(F.when(F.col("token") & (F.col("seen") > 0), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(plain).alias("plain"),
-        F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("weight"),
-    )
-    return added.select(
-        "doc.doc_id",
-        "doc.held_out",
-        "doc.n_tokens",
-        (F.col("doc.known") + F.col("known")).alias("n_known"),
+        known = known.unionByName(found.select("gram", no_token, "weight"))
+    form = "bucket long, kind byte, first long, block binary"
+    blocks = read.mapInArrow(walk, form).unionByName(known.select("gram", "seen", "weight").mapInArrow(spread, form))
+    met = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, fields)
+    # An n-gram that is not known adds nothing; it ends in its bucket.
+    return met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum("n_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("doc.plain") + F.col("plain")).alias("base_score"),
-        (F.col("doc.walked") + F.col("plain") + F.col("weight")).alias("score"),
-    )
+        F.sum("base_score").alias("base_score"),
+        F.sum("score").alias("score"),
+    ).drop("row")

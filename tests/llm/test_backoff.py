@@ -103,6 +103,17 @@ def test_ngrams_are_learned_from_a_fixed_count_on_whatever_is_held(spark, order,
         assert math.isclose(r["score"], model.score(rows[r["doc_id"]][1]), rel_tol=1e-9)
 
 
+def test_scores_do_not_depend_on_how_much_a_task_holds(spark, monkeypatch):
+    """Tasks pass on their counts and n-grams after every few documents, in many small buckets."""
+    rows = random_rows()
+    expected = {r["doc_id"]: r["score"] for r in backoff.score(documents(spark, rows)).collect()}
+    monkeypatch.setattr(backoff, "FLUSH", 20)
+    monkeypatch.setattr(backoff, "bits_for", lambda places: 7)
+    found = backoff.score(documents(spark, rows).repartition(2), 3, 1e-2, 0.0, 2e-2).collect()
+    assert len(found) == len(rows)
+    assert all(math.isclose(r["score"], expected[r["doc_id"]], rel_tol=1e-9) for r in found)
+
+
 def test_probabilities_add_up_to_one():
     model = ByHand(random_rows(), 3, 1e-6, 1e-3)
     unseen = 0.1 / model.below
