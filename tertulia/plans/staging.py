@@ -51,12 +51,15 @@ def release(spark: SparkSession, since: int = 0) -> None:
 
 
 def discard(staged: DataFrame) -> None:
-    """Delete one table that `stage` returned and nothing reads any more, before `release` would."""
+    """Delete one table that `stage` returned and nothing reads any more, before `release` would.
+
+    Spark deletes the shuffle files that led to it when the driver's garbage is collected, which is asked for."""
     spark = staged.sparkSession
     configuration = spark._jsc.hadoopConfiguration()
     for folder in {file.rpartition("/")[0] for file in staged.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(configuration).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def stage_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
