@@ -6,8 +6,9 @@ weight and leads to the context without its first token. A document is scored in
 right.
 
 Every n-gram that occurs LEAST times in training is in the model, whatever the size of the corpus. The
-automaton must fit in every task, so it holds only the tokens and n-grams that make up at least a fixed
-share of all tokens: a share of 1e-6 bounds them at a million. All rarer ones are in a table. The score of
+automaton must fit in every task, so it holds only the 200,000 most frequent tokens, and the n-grams that
+make up at least a fixed share of all tokens: a share of 1e-5 bounds them at 100,000 of each length. All
+rarer ones are in a table. The score of
 a text is the sum, over all places, of one weight for each known n-gram that begins there: what its arc
 adds to the probability after the shorter context, and its backoff weight, which every place after it
 passes or its arc takes back. So a walk needs the exact backoff weights of its own states alone, and the
@@ -15,7 +16,8 @@ weights of rarer n-grams are added where they meet. They are rare by definition,
 
 N-grams travel in blocks: a task sorts those it has read by bucket, the leading bits of their hash, and sends
 their codes compressed. The buckets of n-grams, and of what is known of them, meet in one task each, and the
-more tokens there are the more buckets.
+more tokens there are the more buckets. A place of a document travels once for all n-grams that begin
+there, to the bucket of the shortest that the automaton lacks, since longer ones are rarer still.
 
 An n-gram goes by a hash of 64 bits, a polynomial of hashes of its tokens, from which the last token
 leaves the hash of its context. Among three billion n-grams one pair in four such corpora is expected to
@@ -24,22 +26,22 @@ share a hash.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tertulia.llm.blocks import bits_for, bucket_of, pack, rising, runs, summed, unpack
+from tertulia.llm.blocks import bits_for, bucket_of, counts_of, pack, rising, runs, summed, unpack
 from tertulia.llm.words import lower_words
 from tertulia.plans.staging import discard, stage
 
@@ -60,24 +62,14 @@ def tokens(text: str | None) -> list[bytes]:
     return [*lower_words(text), END]
 
 
-class Codes:
+class Codes(dict):
     """Codes of tokens: the number of a frequent one, a hash of any other."""
 
-    def __init__(self, numbers: dict[bytes, int]):
-        self.numbers = numbers
-        self.hashes: dict[bytes, int] = {}
-
-    def _hashed(self, word: bytes) -> int:
-        code = self.hashes.get(word)
-        if code is None:
-            if len(self.hashes) > FLUSH // 4:
-                self.hashes.clear()
-            code = self.hashes[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest()) | RARE
-        return code
+    def __missing__(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) | RARE
 
     def of(self, words: list[bytes]) -> list[int]:
-        number, hashed = self.numbers.get, self._hashed
-        return [hashed(w) if (code := number(w)) is None else code for w in words]
+        return list(map(self.__getitem__, words))
 
 
 def mixed(codes: np.ndarray) -> np.ndarray:
@@ -243,7 +235,7 @@ def in_groups(batches: Iterator[pa.RecordBatch], column: int, codes: Codes) -> I
 def joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The codes of some documents in one array, and which document each is of."""
     lengths = [len(f) for f in found]
-    flat = np.fromiter((c for f in found for c in f), "uint64", sum(lengths))
+    flat = np.fromiter(chain.from_iterable(found), "uint64", sum(lengths))
     return flat, np.repeat(np.arange(len(found)), lengths)
 
 
@@ -280,12 +272,20 @@ def sent(grams: np.ndarray, codes: list[np.ndarray], others: list[np.ndarray], b
     key = bucket_of(grams, bits) << np.uint64(42)
     for code, shift in zip(codes[:2], (21, 0), strict=False):
         key |= np.minimum(code, near) << np.uint64(shift)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     codes, others = [c[order] for c in codes], [c[order] for c in others]
     for bucket, start, end in runs(bucket_of(grams[order], bits)):
         yield bucket, pack([*(c[start:end] for c in others), *with_escapes([c[start:end] for c in codes])])
 
 
+def look_up(table: np.ndarray, searched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether the value is there."""
+    if not len(table):
+        return np.zeros(len(searched), "i8"), np.zeros(len(searched), bool)
+    at = np.minimum(np.searchsorted(table, searched), len(table) - 1)
+    return at, table[at] == searched
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
     """Rows of batches that are in order of their buckets, each with all rows of one bucket."""
     rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
@@ -309,7 +309,7 @@ def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, lea
         for _, found in in_groups(batches, 0, codes):
             chunks.append(joined(found))
             held += len(chunks[-1][0])
-            if held > 8 * FLUSH:
+            if held > 4 * FLUSH:
                 yield from _rows(chunks)
                 chunks, held = [], 0
         yield from _rows(chunks)
@@ -322,7 +322,7 @@ def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, lea
         doc = np.concatenate([d + first for (_, d), first in zip(chunks, docs, strict=False)])
         for k, (grams, places) in enumerate(grams_of(flat, doc, order), 1):
             if k > 1 and len(grams):
-                grams, at, (n,) = summed(grams, np.ones(len(grams), "u8"))
+                grams, at, n = counts_of(grams)
                 places = places[at]
                 buckets, blocks = zip(*sent(grams, [flat[places + i] for i in range(k)], [n], bits), strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -369,60 +369,109 @@ def with_context(grams: DataFrame) -> DataFrame:
 
 
 def with_suffix(arcs: DataFrame) -> DataFrame:
-    """Adds the hash of each n-gram without its first token, from that of its context; a single token
-    leaves the empty n-gram, whose hash is 0."""
-    fields = "gram long, last long, n long, context long, of_context long, suffix long"
+    """Gives each n-gram the hash of itself without its first token, from that of its context; a single
+    token leaves the empty n-gram, whose hash is 0."""
+    fields = "gram long, last long, n long, context long, of_context long, by long, suffix long"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            suffix = longer(unsigned(batch.column(5)), unsigned(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], signed(suffix)], names=[f.split()[0] for f in fields.split(", ")])
+            suffix = longer(unsigned(batch.column(6)), unsigned(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], signed(suffix)], names=[f.split()[0] for f in fields.split(", ")])
 
-    return arcs.select("gram", "last", "n", "context", "of_context", "suffix").mapInArrow(add, fields)
+    return arcs.select("gram", "last", "n", "context", "of_context", "by", "suffix").mapInArrow(add, fields)
 
 
-def weights(ngrams: DataFrame, single: DataFrame, order: int, least: float) -> tuple[list[DataFrame], list[DataFrame]]:
+def weights(
+    ngrams: DataFrame, single: DataFrame, order: int, least: float, from_grams: float, bits: int
+) -> tuple[list[DataFrame], list[DataFrame]]:
     """From `ngrams` as counted and `single` tokens (gram, n, p), for each level of contexts:
 
     backoffs   context, n, left: the logarithm of what is left for tokens not known after the context,
-               over what these have after the shorter context
-    arcs       gram, weight: the logarithm of the n-gram's probability, over what it has by backing off
-
-    Both are staged; what led to a level is deleted with the next."""
-    shorter = single.where(F.col("n") >= least).select("gram", "n", "p", F.lit(0).cast("long").alias("suffix"))
+               over what these have after the shorter context; and the context's route
+    arcs       gram, weight: the logarithm of the n-gram's probability, over what it has by backing off;
+               in blocks as `spread` makes them
+
+    The route of an n-gram is its shortest prefix of two tokens or more that occurs fewer than `from_grams`
+    times, or else itself. Both are staged; what led to a level is deleted with the next."""
+    nothing = F.lit(None).cast("long").alias("route")
+    shorter = single.where(F.col("n") >= least).select("gram", "n", "p", F.lit(0).cast("long").alias("suffix"), nothing)
     backoffs, arcs, earlier = [], [], None
     for k in range(2, order + 1):
-        of_context = shorter.select(F.col("gram").alias("context"), F.col("n").alias("of_context"), "suffix")
+        of_context = shorter.select(F.col("gram").alias("context"), F.col("n").alias("of_context"), "suffix", F.col("route").alias("by"))
         of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("p_shorter"))
         known = with_context(ngrams.where(F.col("level") == k)).join(of_context, "context")
         known = with_suffix(known).join(of_suffix, "suffix")
-        known = stage(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter"))
+        by_context = ["by"] if k > 3 else []
+        known = stage(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter", *by_context))
         p = (F.col("n") - DISCOUNT) / F.col("of_context")
+        by = F.col("by" if k > 3 else "context")
+        route = (F.when(F.col("of_context") < from_grams, by).otherwise(F.col("gram")) if k > 2 else F.col("gram")).alias("route")
         rest = lambda share: F.greatest(1 - F.sum(share), F.lit(1e-12))
         left = F.log10(rest(p) / rest("p_shorter")).alias("left")
-        backoffs.append(stage(known.groupBy("context").agg(F.max("of_context").alias("n"), left)))
+        backoffs.append(stage(known.groupBy("context").agg(F.max("of_context").alias("n"), left, F.max(by).alias("route"))))
         weight = F.log10(p) - F.log10("p_shorter")
-        known_weight = known.select("context", "gram", weight.alias("weight"))
-        arcs.append(
-            stage(known_weight.join(backoffs[-1].select("context", "left"), "context").select("gram", (F.col("weight") - F.col("left")).alias("weight")))
-        )
+        arc = known.select("context", "gram", route, weight.alias("weight")).join(backoffs[-1].select("context", "left"), "context")
+        arcs.append(stage(spread(arc.select("gram", "route", F.lit(0).cast("long").alias("seen"), F.col("weight") - F.col("left")), bits)))
         if earlier is not None:
             discard(earlier)
         earlier = known
         if k < order:
-            shorter = known.select("gram", "n", p.alias("p"), "suffix")
+            shorter = known.select("gram", "n", p.alias("p"), "suffix", route)
     if earlier is not None:
         discard(earlier)
     return backoffs, arcs
 
 
+BLOCK = "bucket long, kind byte, first long, block binary"
+
+
+def block_rows(buckets: list[int], kinds: list[int], first: int, blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets, pa.int64()), pa.array(kinds, pa.int8()), pa.array([first] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())],
+        names=["bucket", "kind", "first", "block"],
+    )
+
+
+def spread(known: DataFrame, bits: int) -> DataFrame:
+    """What is known of n-grams (gram, route, seen, weight), in blocks by the bucket of their route."""
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > FLUSH:
+                yield from _rows(held)
+                held, size = [], 0
+        yield from _rows(held)
+
+    def _rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, held)):
+            return
+        grams, routes, seen = (np.concatenate([unsigned(b.column(i)) for b in held]) for i in range(3))
+        weight = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in held]).view("u8")
+        bucket = bucket_of(routes, bits)
+        order = np.lexsort((grams, bucket))
+        grams, seen, weight = grams[order], seen[order], weight[order]
+        made = [(b, pack([rising(grams[i:j]), seen[i:j], weight[i:j]])) for b, i, j in runs(bucket[order])]
+        buckets, blocks = zip(*made, strict=True)
+        yield block_rows(buckets, [OF_KNOWN] * len(made), 0, blocks)
+
+    return known.mapInArrow(pass_on, BLOCK)
+
+
 def held_out(doc_id: str = "doc_id"):
     """One document in ten, by the CRC-32 of its id as text; a missing id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
 def score(
-    docs: DataFrame, order: int = 3, token_share: float = 1e-6, ngram_share: float = 0.0, held_share: float = 1e-5
+    docs: DataFrame,
+    order: int = 3,
+    token_share: float = 0.0,
+    ngram_share: float = 0.0,
+    held_share: float = 1e-5,
+    held_tokens: int = 200_000,
 ) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -434,22 +483,27 @@ def score(
     document all counts are zero; no rows give no rows; other columns are ignored.
 
     All n-grams that occur LEAST times are learned; a `ngram_share` above zero leaves out those below
-    that share of the training tokens. `token_share` and `held_share` are the shares from which tokens
-    and n-grams are in the automaton rather than joined. They bound its size and change no score.
+    that share of the training tokens. The automaton holds tokens and n-grams from the shares `token_share`
+    and `held_share` on, and of tokens the `held_tokens` most frequent at most; all others are joined. This
+    bounds its size and changes no score.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     training = read.where("not held_out").select("text")
     counts = stage(counted(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = n + PSEUDO * (v + 1)
-    least, from_tokens, from_grams = max(ngram_share * n, LEAST), token_share * n, max(held_share, token_share) * n
+    least = max(ngram_share * n, LEAST)
+    beyond = counts.orderBy(F.desc("n")).select("n").offset(held_tokens).first()
+    from_tokens = max(token_share * n, beyond.n + 1 if beyond else 0)
+    from_grams = max(held_share * n, from_tokens)
 
     common = counts.where(F.col("n") >= from_tokens).orderBy(F.desc("n"), "token").toArrow()
     numbers = {w: i for i, w in enumerate(common.column("token").to_pylist())}
     by_number = common.column("n").to_pylist()
     ngrams = stage(count_ngrams(training, numbers, order, least, n))
     single = stage(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
-    backoffs, arcs = weights(ngrams, single, order, least)
+    bits = bits_for(2 * n)
+    backoffs, arcs = weights(ngrams, single, order, least, from_grams, bits)
 
     grams = dict(zip(mixed(np.arange(len(numbers), dtype="uint64")).tolist(), ((i,) for i in range(len(numbers))), strict=True))
     frequent: dict[tuple[int, ...], int] = {}
@@ -469,7 +523,7 @@ def score(
     automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], frequent, by_number, left)
     discard(ngrams)
     bound = docs.sparkSession.sparkContext.broadcast((tuple(vars(automaton).values()), np.sort(hashes)))
-    bits = bits_for(2 * n)
+    absent = np.uint64(len(numbers))  # the code of no token, after the end of a document
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = bound.value
@@ -506,46 +560,23 @@ def score(
         # The rows of documents are no n-grams; this hash deals them out.
         made = [(int(mixed(np.array([first], "u8"))[0]) >> (64 - bits), OF_DOCUMENTS, pack([np.concatenate(c) for c in zip(*own, strict=True)]))]
         flat, of_row = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        left = np.ones(len(flat), bool)
         for k, (grams, places) in enumerate(grams_of(flat, of_row, order), 1):
             if k == 1:
-                rare = flat >= np.uint64(RARE)
-            elif len(held):
-                rare = held[np.minimum(np.searchsorted(held, grams), len(held) - 1)] != grams
+                chosen, length = flat >= np.uint64(RARE), 1
             else:
-                rare = np.ones(len(grams), bool)
-            grams, places = grams[rare], places[rare]
+                chosen, length = left[places], order
+                chosen &= ~look_up(held, grams)[1]
+                left[places[chosen]] = False
+            grams, places = grams[chosen], places[chosen]
+            rows = of_row[places]
             codes = [flat[places + i] for i in range(k)]
-            made += [(bucket, k, block) for bucket, block in sent(grams, codes, [of_row[places].astype("u8")], bits)]
+            for i in range(k, length):
+                at = np.minimum(places + i, len(flat) - 1)
+                codes.append(np.where((places + i == at) & (of_row[at] == rows), flat[at], absent))
+            made += [(bucket, k, block) for bucket, block in sent(grams, codes, [rows.astype("u8")], bits)]
         buckets, kinds, blocks = zip(*made, strict=True)
-        return _row(buckets, kinds, [first] * len(made), blocks)
-
-    def _row(buckets, kinds, firsts, blocks) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(buckets, pa.int64()), pa.array(kinds, pa.int8()), pa.array(firsts, pa.int64()), pa.array(blocks, pa.binary())],
-            names=["bucket", "kind", "first", "block"],
-        )
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size > FLUSH:
-                yield from _known(held)
-                held, size = [], 0
-        yield from _known(held)
-
-    def _known(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not sum(map(len, held)):
-            return
-        grams = np.concatenate([unsigned(b.column(0)) for b in held])
-        seen = np.concatenate([b.column(1).to_numpy(zero_copy_only=False).astype("u8") for b in held])
-        weight = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held]).view("u8")
-        by_hash = np.argsort(grams)
-        grams, seen, weight = grams[by_hash], seen[by_hash], weight[by_hash]
-        made = [(bucket, pack([rising(grams[i:j]), seen[i:j], weight[i:j]])) for bucket, i, j in runs(bucket_of(grams, bits))]
-        buckets, blocks = zip(*made, strict=True)
-        yield _row(buckets, [OF_KNOWN] * len(made), [0] * len(made), blocks)
+        return block_rows(buckets, kinds, first, blocks)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[tuple[np.ndarray, ...]] = []
@@ -566,28 +597,43 @@ def score(
                         yield _documents(start, unpack(block))
                         continue
                     row, *rest = unpack(block)
-                    searched = hashes_of(without_escapes(rest))
-                    at = np.minimum(np.searchsorted(grams, searched), max(len(grams) - 1, 0))
-                    hit = grams[at] == searched if len(grams) else np.zeros(len(searched), bool)
-                    seen, weight = np.zeros(len(searched), "u8"), np.zeros(len(searched))
-                    if tables is not None:
-                        seen[hit], weight[hit] = tables[0][at[hit]], tables[1][at[hit]]
+                    codes, row = without_escapes(rest), row.view("i8")
+                    searched = hashes_of(codes[:kind])
+                    at, hit = look_up(grams, searched)
+                    weight = np.where(hit, tables[1][at], 0.0) if len(grams) else np.zeros(len(row))
                     if kind == 1:
+                        seen = np.where(hit, tables[0][at], 0) if len(grams) else np.zeros(len(row))
                         plain = np.log10((seen + PSEUDO) / below)
-                        found = summed(row, (seen > 0).astype("i8"), plain, plain + weight)
+                        found = np.flatnonzero(np.bincount(row))
+                        of = [np.bincount(row, x)[found] for x in (seen > 0, plain, plain + weight)]
                     else:
-                        zero = np.zeros(int(hit.sum()))
-                        found = summed(row[hit], zero.astype("i8"), zero, weight[hit])
-                    sums.append((found[0].astype("i8") + start, *found[2]))
-                    size += len(sums[-1][0])
+                        any_hit = hit
+                        for code in codes[kind:]:
+                            searched = longer(searched, code)
+                            at, hit = look_up(grams, searched)
+                            hit &= code != absent
+                            if len(grams):
+                                weight[hit] += tables[1][at[hit]]
+                            any_hit = any_hit | hit
+                        found = np.flatnonzero(np.bincount(row[any_hit]))
+                        of = [np.zeros(len(found)), np.zeros(len(found)), np.bincount(row[any_hit], weight[any_hit])[found]]
+                    sums.append((found + start, of[0].astype("i8"), *of[1:]))
+                    size += len(found)
                 if size > 2 * FLUSH:
-                    yield _sums(sums)
-                    sums, size = [], 0
+                    sums = [_merged(sums)]
+                    size = len(sums[0][0])
+                    if size > FLUSH:
+                        yield _sums(sums)
+                        sums, size = [], 0
         if sums:
-            yield _sums(sums)
+            yield _sums([_merged(sums)])
 
-    def _sums(sums: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def _merged(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         row, _, added = summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))
+        return row, *added
+
+    def _sums(sums: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        ((row, *added),) = sums
         nothing = [pa.nulls(len(row), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(row), *nothing, *map(pa.array, added)], names=names)
 
@@ -608,14 +654,15 @@ def score(
 
     fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     names = [f.split()[0] for f in fields.split(", ")]
-    known = single.where(F.col("n") < from_tokens).select("gram", F.col("n").alias("seen"), F.lit(0.0).alias("weight"))
     no_token = F.lit(0).cast("long").alias("seen")
-    for found in backoffs:
-        known = known.unionByName(found.select(F.col("context").alias("gram"), no_token, F.col("left").alias("weight")))
+    rare = F.col("n") < from_tokens
+    known = single.where(rare).select("gram", F.col("gram").alias("route"), F.col("n").alias("seen"), F.lit(0.0).alias("weight"))
+    for k, found in enumerate(backoffs):
+        route = F.col("route" if k else "context").alias("route")
+        known = known.unionByName(found.select(F.col("context").alias("gram"), route, no_token, F.col("left").alias("weight")))
+    blocks = read.mapInArrow(walk, BLOCK).unionByName(spread(known, bits))
     for found in arcs:
-        known = known.unionByName(found.select("gram", no_token, "weight"))
-    form = "bucket long, kind byte, first long, block binary"
-    blocks = read.mapInArrow(walk, form).unionByName(known.select("gram", "seen", "weight").mapInArrow(spread, form))
+        blocks = blocks.unionByName(found)
     met = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, fields)
     # An n-gram that is not known adds nothing; it ends in its bucket.
     return met.groupBy("row").agg(

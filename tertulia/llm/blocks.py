@@ -33,7 +33,7 @@ def pack(columns: list[np.ndarray]) -> bytes:
         width = (int(column.max()).bit_length() + 7) // 8 if len(column) else 0
         head.append(struct.pack("<QB", len(column), width))
         body.append(column.view("u1").reshape(-1, 8)[:, :width].T.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(head + body))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -61,9 +61,22 @@ def rising(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.uint64(0))
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where in it each different one begins."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+
+
+def counts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, a place where each is found, and how often."""
+    order, starts = _groups(keys)
+    at = order[starts]
+    return keys[at], at, np.diff(starts, append=len(keys)).astype("u8")
+
+
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Different keys in order, a place where each is found, and the sums of the columns over each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    return keys[starts], order[starts], [np.add.reduceat(c[order], starts) if len(starts) else c[:0] for c in columns]
+    order, starts = _groups(keys)
+    at = order[starts]
+    return keys[at], at, [np.add.reduceat(c[order], starts) if len(starts) else c[:0] for c in columns]

@@ -109,9 +109,10 @@ def test_scores_do_not_depend_on_how_much_a_task_holds(spark, monkeypatch):
     expected = {r["doc_id"]: r["score"] for r in backoff.score(documents(spark, rows)).collect()}
     monkeypatch.setattr(backoff, "FLUSH", 20)
     monkeypatch.setattr(backoff, "bits_for", lambda places: 7)
-    found = backoff.score(documents(spark, rows).repartition(2), 3, 1e-2, 0.0, 2e-2).collect()
-    assert len(found) == len(rows)
-    assert all(math.isclose(r["score"], expected[r["doc_id"]], rel_tol=1e-9) for r in found)
+    for held_tokens in (200_000, 10):
+        found = backoff.score(documents(spark, rows).repartition(2), 3, 1e-3, 0.0, 1e-2, held_tokens).collect()
+        assert len(found) == len(rows)
+        assert all(math.isclose(r["score"], expected[r["doc_id"]], rel_tol=1e-9) for r in found)
 
 
 def test_probabilities_add_up_to_one():

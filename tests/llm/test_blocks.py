@@ -47,6 +47,9 @@ def test_sums(rows):
     expected = {k: sum(x for y, x in rows if y == k) for k, _ in rows}
     assert dict(zip(found.tolist(), total.tolist(), strict=True)) == expected
     assert keys[at].tolist() == found.tolist() == sorted(expected)
+    found, at, times = blocks.counts_of(keys)
+    assert keys[at].tolist() == found.tolist() == sorted(expected)
+    assert times.tolist() == [sum(k == x for x, _ in rows) for k in found.tolist()]
 
 
 def test_more_places_have_more_buckets():
