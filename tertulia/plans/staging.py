@@ -50,16 +50,21 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _staged.pop()
 
 
-def discard(staged: DataFrame) -> None:
-    """Delete one table that `stage` returned and nothing reads any more, before `release` would.
+def settle(df: DataFrame) -> DataFrame:
+    """`stage`, and ask for the shuffle files that led to the table to go: Spark deletes them when the
+    driver's garbage is collected, which on a driver with little to do may be long after."""
+    staged = stage(df)
+    staged.sparkSession._jvm.System.gc()
+    return staged
+
 
-    Spark deletes the shuffle files that led to it when the driver's garbage is collected, which is asked for."""
+def discard(staged: DataFrame) -> None:
+    """Delete one table that `stage` returned and nothing reads any more, before `release` would."""
     spark = staged.sparkSession
     configuration = spark._jsc.hadoopConfiguration()
     for folder in {file.rpartition("/")[0] for file in staged.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(configuration).delete(path, True)
-    spark._jvm.System.gc()
 
 
 def stage_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
