@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tertulia.llm.blocks import bits_for, bucket_of, counts_of, pack, rising, runs, summed, unpack
 from tertulia.llm.words import lower_words
-from tertulia.plans.staging import discard, stage
+from tertulia.plans.staging import discard, settle
 
 END = b""  # no word is empty
 DISCOUNT = 0.75
@@ -402,16 +402,16 @@ def weights(
         known = with_context(ngrams.where(F.col("level") == k)).join(of_context, "context")
         known = with_suffix(known).join(of_suffix, "suffix")
         by_context = ["by"] if k > 3 else []
-        known = stage(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter", *by_context))
+        known = settle(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter", *by_context))
         p = (F.col("n") - DISCOUNT) / F.col("of_context")
         by = F.col("by" if k > 3 else "context")
         route = (F.when(F.col("of_context") < from_grams, by).otherwise(F.col("gram")) if k > 2 else F.col("gram")).alias("route")
         rest = lambda share: F.greatest(1 - F.sum(share), F.lit(1e-12))
         left = F.log10(rest(p) / rest("p_shorter")).alias("left")
-        backoffs.append(stage(known.groupBy("context").agg(F.max("of_context").alias("n"), left, F.max(by).alias("route"))))
+        backoffs.append(settle(known.groupBy("context").agg(F.max("of_context").alias("n"), left, F.max(by).alias("route"))))
         weight = F.log10(p) - F.log10("p_shorter")
         arc = known.select("context", "gram", route, weight.alias("weight")).join(backoffs[-1].select("context", "left"), "context")
-        arcs.append(stage(spread(arc.select("gram", "route", F.lit(0).cast("long").alias("seen"), F.col("weight") - F.col("left")), bits)))
+        arcs.append(settle(spread(arc.select("gram", "route", F.lit(0).cast("long").alias("seen"), F.col("weight") - F.col("left")), bits)))
         if earlier is not None:
             discard(earlier)
         earlier = known
@@ -489,7 +489,7 @@ def score(
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     training = read.where("not held_out").select("text")
-    counts = stage(counted(training))
+    counts = settle(counted(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = n + PSEUDO * (v + 1)
     least = max(ngram_share * n, LEAST)
@@ -500,8 +500,8 @@ def score(
     common = counts.where(F.col("n") >= from_tokens).orderBy(F.desc("n"), "token").toArrow()
     numbers = {w: i for i, w in enumerate(common.column("token").to_pylist())}
     by_number = common.column("n").to_pylist()
-    ngrams = stage(count_ngrams(training, numbers, order, least, n))
-    single = stage(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
+    ngrams = settle(count_ngrams(training, numbers, order, least, n))
+    single = settle(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
     bits = bits_for(2 * n)
     backoffs, arcs = weights(ngrams, single, order, least, from_grams, bits)
 
