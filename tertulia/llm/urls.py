@@ -11,14 +11,16 @@ driver and the tasks: 40**ORDER contexts of 40 characters, 2.56 million counts a
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tertulia.llm.columns import free_names
@@ -68,38 +70,55 @@ def symbols(text: str) -> str:
     return "".join(c if c in _KNOWN else "~" for c in text.lower())
 
 
+_NUMBER = bytes(_KNOWN.index(chr(i)) if chr(i) in _KNOWN else len(_KNOWN) for i in range(256))
+
+
+def numbers_of(text: str) -> np.ndarray:
+    """The symbols of `text` as numbers below ALPHABET."""
+    return np.frombuffer(symbols(text).encode("ascii").translate(_NUMBER), np.uint8).astype(np.int64)
+
+
+def places_of(numbers: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each context length up to `order`, the places in its table of the characters that have it: those
+    near the beginning have the whole beginning as context, all others `order` characters."""
+    found, place = [], numbers
+    for k in range(order + 1):
+        if k:
+            place = numbers[: max(len(numbers) - k, 0)] * ALPHABET**k + place[1:]
+        found.append(place if k == order else place[:1])
+    return found
+
+
 @dataclass(frozen=True)
 class MarkovModel:
-    """Counts of characters after contexts of 0 to ORDER characters.
+    """Counts of characters after contexts of 0 to `order` characters.
 
-    `grams` has the count of each context with its next character, `contexts` that of each context
-    and the number of different characters after it.
+    `counts[k]` has a row for each context of k characters and a column for each next one; a context is the
+    number that its characters write in base ALPHABET.
     """
 
-    grams: Mapping[str, int]
-    contexts: Mapping[str, tuple[int, int]]
-    order: int = ORDER
+    counts: Sequence[np.ndarray]
 
     @staticmethod
-    def of(grams: Mapping[str, int], order: int = ORDER) -> MarkovModel:
-        contexts: dict[str, tuple[int, int]] = {}
-        for gram, n in grams.items():
-            total, kinds = contexts.get(gram[:-1], (0, 0))
-            contexts[gram[:-1]] = (total + n, kinds + 1)
-        return MarkovModel(dict(grams), contexts, order)
-
-    def probability(self, context: str, char: str) -> float:
-        """Witten-Bell: each order is mixed with the shorter one by how often it saw a new character."""
-        p = 1.0 / ALPHABET
-        for k in range(len(context), -1, -1):
-            total, kinds = self.contexts.get(context[k:], (0, 0))
-            if not total:
-                break  # longer contexts were not seen either
-            p = (self.grams.get(context[k:] + char, 0) + kinds * p) / (total + kinds)
-        return p
-
-    def log_likelihood(self, text: str) -> float:
-        return sum(math.log(self.probability(text[max(0, i - self.order) : i], c)) for i, c in enumerate(text))
+    def of(grams: Iterable[tuple[str, int]], order: int = ORDER) -> MarkovModel:
+        counts = [np.zeros((ALPHABET**k, ALPHABET)) for k in range(order + 1)]
+        for gram, n in grams:
+            place = 0
+            for number in gram.encode("ascii").translate(_NUMBER):
+                place = place * ALPHABET + number
+            counts[len(gram) - 1].flat[place] += n
+        return MarkovModel(counts)
+
+    def logarithms(self) -> list[np.ndarray]:
+        """Logarithms of the probabilities, a table for each context length. Witten-Bell: each order is
+        mixed with the shorter one by how often it saw a new character."""
+        p, found = np.full((1, ALPHABET), 1.0 / ALPHABET), []
+        for k, counts in enumerate(self.counts):
+            shorter = np.tile(p, (ALPHABET, 1)) if k else p
+            total, kinds = counts.sum(axis=1, keepdims=True), np.count_nonzero(counts, axis=1, keepdims=True)
+            p = np.where(total > 0, (counts + kinds * shorter) / np.maximum(total + kinds, 1), shorter)
+            found.append(np.log(p).reshape(-1))
+        return found
 
 
 def grams_of(text: str, order: int = ORDER) -> Iterator[str]:
@@ -122,19 +141,28 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> dict[str, MarkovModel]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     counted = texts.mapInArrow(count, "verdict string, gram string, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
-    grams: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for r in counted.toLocalIterator():
-        grams[r["verdict"]][r["gram"]] = r["n"]
-    return {verdict: MarkovModel.of(g, order) for verdict, g in grams.items()}
+    known, found = counted.toArrow(), {}
+    for verdict in ("allow", "block"):
+        own = known.filter(pc.equal(known.column("verdict"), verdict)).select(["gram", "n"]).to_batches(max_chunksize=10_000)
+        found[verdict] = MarkovModel.of((pair for b in own for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)), order)
+    return found
+
 
+def score_with(spark: SparkSession, accepted: MarkovModel, rejected: MarkovModel):
+    """Log-likelihood under `accepted` less that under `rejected`, per character; 0 for an empty string.
 
-def score_with(accepted: MarkovModel, rejected: MarkovModel):
-    """Log-likelihood under `accepted` less that under `rejected`, per character; 0 for an empty string."""
+    Tasks hold one number for each context and next character: 21 MB for contexts of up to 3."""
+    order = len(accepted.counts) - 1
+    ratios = spark.sparkContext.broadcast([a - r for a, r in zip(accepted.logarithms(), rejected.logarithms(), strict=True)])
 
-    @F.udf("double", useArrow=True)
-    def score(text: str) -> float:
-        chars = symbols(text)
-        return (accepted.log_likelihood(chars) - rejected.log_likelihood(chars)) / len(chars) if chars else 0.0
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        found = []
+        for text in texts:
+            numbers = numbers_of(text)
+            total = sum(float(ratio[at].sum()) for ratio, at in zip(ratios.value, places_of(numbers, order), strict=True))
+            found.append(total / len(numbers) if len(numbers) else 0.0)
+        return pd.Series(found, dtype="float64")
 
     return score
 
@@ -182,7 +210,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, key:
     known = judged.where(F.col(chosen).isNotNull()).select(F.col(f"{chosen}.verdict").alias("verdict"), F.col(seen).alias("text"))
     apart = F.pmod(F.xxhash64("text"), F.lit(KEPT_OUT)) == 0
     models = count_grams(known.where(~apart), order)
-    score = score_with(models["allow"], models["block"])
+    score = score_with(pages.sparkSession, models["allow"], models["block"])
     threshold = calibrate(known.where(apart).select("verdict", score("text").alias("score")))
     scored = judged.withColumn("score", score(F.col(seen)))
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")

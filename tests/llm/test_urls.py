@@ -2,6 +2,7 @@ import math
 import random
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,26 +57,51 @@ def test_split_agrees_with_the_standard_library(spark):
         assert (r["host"], r["path"]) == (parts.netloc.lower(), parts.path)
 
 
-def test_counts_equal_a_plain_count(spark):
+class ByHand:
+    """The same model from its definition, on dicts."""
+
+    def __init__(self, texts, order=urls.ORDER):
+        self.order, self.grams, self.after = order, {}, {}
+        for text in map(urls.symbols, texts):
+            for i in range(len(text)):
+                for k in range(min(order, i) + 1):
+                    gram = text[i - k : i + 1]
+                    self.grams[gram] = self.grams.get(gram, 0) + 1
+        for gram, n in self.grams.items():
+            self.after.setdefault(gram[:-1], []).append(n)
+
+    def probability(self, context, char):
+        shorter = self.probability(context[1:], char) if context else 1 / urls.ALPHABET
+        seen = self.after.get(context)
+        return (self.grams.get(context + char, 0) + len(seen) * shorter) / (sum(seen) + len(seen)) if seen else shorter
+
+    def log_likelihood(self, text):
+        text = urls.symbols(text)
+        return sum(math.log(self.probability(text[max(0, i - self.order) : i], c)) for i, c in enumerate(text))
+
+
+def test_counts_and_scores_equal_a_plain_model(spark):
     rng = random.Random(1)
-    rows = [(rng.choice(["allow", "block"]), "".join(rng.choices("ab/.-é", k=rng.randrange(20)))) for _ in range(200)]
+    rows = [(rng.choice(["allow", "block"]), "".join(rng.choices("ab/.-éZ9", k=rng.randrange(20)))) for _ in range(200)]
     models = urls.count_grams(spark.createDataFrame(rows, "verdict string, text string").repartition(4))
+    plain = {v: ByHand([t for w, t in rows if w == v]) for v in ("allow", "block")}
     for verdict, model in models.items():
-        plain = {}
-        for v, text in rows:
-            if v == verdict:
-                for gram in urls.grams_of(urls.symbols(text)):
-                    plain[gram] = plain.get(gram, 0) + 1
-        assert model.grams == plain
+        assert sum(int(c.sum()) for c in model.counts) == sum(plain[verdict].grams.values())
+        assert sum(int((c > 0).sum()) for c in model.counts) == len(plain[verdict].grams)
+    texts = [*(t for _, t in rows), "", "a", "ab", "abc", "unseen/Words.é", "ab" * 30_000]
+    scored = spark.createDataFrame([(t,) for t in texts], "text string").select("text", urls.score_with(spark, *models.values())("text").alias("score"))
+    for r in scored.collect():
+        want = plain["allow"].log_likelihood(r["text"]) - plain["block"].log_likelihood(r["text"])
+        assert math.isclose(r["score"], want / max(len(urls.symbols(r["text"])), 1), rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_probabilities_add_up_to_one():
     grams = {}
     for gram in urls.grams_of("abracadabra/abra.cad"):
         grams[gram] = grams.get(gram, 0) + 1
-    model = urls.MarkovModel.of(grams)
-    for context in ("", "a", "abr", "zzz", "ra/"):
-        assert math.isclose(sum(model.probability(context, c) for c in urls._KNOWN + "~"), 1.0)
+    for table in urls.MarkovModel.of(grams.items()).logarithms():
+        sums = np.exp(table).reshape(-1, urls.ALPHABET).sum(axis=1)
+        assert np.allclose(sums, 1.0)
 
 
 def test_held_out_accuracy(spark):
