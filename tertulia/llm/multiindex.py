@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tertulia.plans.staging import stage
 
 ENTRIES, QUERIES = 2048, 256  # vectors in a block
+ROUTED = 64  # queries that a task routes
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,9 @@ def search(
                 [*out.columns, pa.array(parts, pa.int32()), pa.array(masks, pa.binary())], names=["vec_id", "vec", "part", "cells"]
             )
 
-    routed = searched.mapInArrow(route, f"vec_id long, vec {kind}, part int, cells binary")
+    # The staged queries are one small file or few, and routing them is dear.
+    dealt = searched.repartition(max(1, -(-n_queries // ROUTED)), "vec_id")
+    routed = dealt.mapInArrow(route, f"vec_id long, vec {kind}, part int, cells binary")
     shares = F.array(*[F.lit(max(1, -(-int(n) // ENTRIES))) for n in sizes.sum(1)])
     entry_blocks = (
         placed.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.get(shares, F.col("part"))))
