@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions.text import NO_AREA
 from tertulia.operators.lookups import where_equal
-from tertulia.plans.bitmaps import bitmaps, count_ids, merge
+from tertulia.plans.bitmaps import bitmaps, count_ids, merge, words
 from tertulia.plans.joins import count_links, without_match, zero_if_null
 from tertulia.sources.layouts import MONTH, month_of
 from tertulia.sources.tables import Tables
@@ -261,7 +261,8 @@ def completion_rates(t: Tables, results: DataFrame | None = None) -> DataFrame:
 def session_attendance_pct(t: Tables, id_sesion: int | None = None) -> DataFrame:
     """Distinct attendees of each session, and what percentage of all members they are.
 
-    A session has many members of every range of ids, so they are counted by bitmaps: no pair is moved."""
+    They are counted by bitmaps, each filled where the pairs of a session and 32,768 member ids are dealt to, so that no
+    bitmap is moved, sorted or kept, however few of its bits are set."""
     attended = where_equal(t.asistencia_sesion, "id_sesion", id_sesion)
     counts = count_ids(bitmaps(attended, ["id_sesion"], "id_usuario"), ["id_sesion"], "numero_asistentes")
     members = t.comunidad.agg(F.countDistinct("id_usuario")).scalar()
@@ -279,9 +280,8 @@ def class_attendance(t: Tables, id_curso: int | None = None, by_bitmap: bool = F
     join of the two large tables is thus an inner one, which adaptive execution splits on either
     side when a class is very popular.
 
-    `by_bitmap` counts attendees by bitmaps, filled before the one shuffle by date: what moves is a bitmap
-    for each date and 32,768 member ids, however many attended. That pays where many members of each such range
-    attend a class, and costs more where few do (README has figures); the other way counts distinct pairs.
+    `by_bitmap` counts attendees by bitmaps, filled where the rows of a date and 32,768 member ids are dealt to: one
+    bitmap at a time is held, however many attended. The other way counts distinct pairs.
     """
     classes = where_equal(t.clase, "id_curso", id_curso)
     attended = t.asistencia_clase.join(classes, "id_clase").select("id_curso", "fecha", "id_usuario")
@@ -297,7 +297,7 @@ def class_attendance(t: Tables, id_curso: int | None = None, by_bitmap: bool = F
 def attendance_bitmaps(t: Tables) -> DataFrame:
     """Who attended each class, as bitmaps to store: id_clase, _bucket and _bits. New attendance is merged into them
     without reading the old."""
-    return bitmaps(t.asistencia_clase, ["id_clase"], "id_usuario")
+    return words(t.asistencia_clase, ["id_clase"], "id_usuario")
 
 
 def class_attendance_of(t: Tables, maps: DataFrame) -> DataFrame:

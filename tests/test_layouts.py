@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from samples import stored
 from samples.views import Samples
 from tertulia.operators import deletes, reports, rosters, updates
-from tertulia.plans.bitmaps import bitmaps, count_ids, merge
+from tertulia.plans.bitmaps import bitmaps, count_ids, merge, words
 from tertulia.sources import Change, append_rows, read_parts, rewrite_parts, write_by_month, write_parts
 from tests.test_plans import NO_BROADCAST, SF, plan_of, settings
 
@@ -200,3 +200,26 @@ def test_stored_bitmaps_take_new_attendance(spark, rows, make):
     both = merge(old.unionByName(reports.attendance_bitmaps(more)), ["id_clase"])
     now = t.with_tables(asistencia_clase=t.asistencia_clase.unionByName(more.asistencia_clase))
     assert rows(reports.class_attendance_of(now, both)) == rows(reports.class_attendance(now)) == rows(reports.class_attendance(now, by_bitmap=True))
+
+
+def test_no_bitmap_of_4_kb_is_shuffled_or_sorted(samples, spark, tmp_path):
+    """With a few ids in each of many buckets, bitmaps would take hundreds of times the memory of the pairs."""
+    for name in ("asistencia_sesion", "clase", "asistencia_clase"):
+        append_rows(getattr(samples.tables, name), f"{tmp_path}/{name}")
+    t = samples.tables.with_tables(**{n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("asistencia_sesion", "clase", "asistencia_clase")})
+    for df in (reports.session_attendance_pct(t), reports.class_attendance(t, by_bitmap=True)):
+        lines = [line.strip(" :+-") for line in plan_of(df).splitlines()]
+        below = [lines[i + 1] for i, line in enumerate(lines) if re.match(r"(Sort|Exchange hashpartitioning) ?[\[(]", line)]
+        assert below and not any("partial_bitmap_construct_agg" in line for line in below)
+    stored = reports.attendance_bitmaps(t)
+    assert stored.schema["_bits"].dataType.simpleString() == "bigint"
+    assert "bitmap_or_agg" not in plan_of(merge(stored, ["id_clase"]))
+
+
+def test_words_count_what_distinct_counts(spark, rows):
+    far = [0, 1, -1, 63, 64, -64, -65, 2**40, -(2**40), 2**63 - 1, -(2**63), None]
+    pairs = [(k, far[(i * k) % len(far)]) for k in range(1, 6) for i in range(30)] + [(None, 5), (None, 5), (9, None)]
+    df = spark.createDataFrame(pairs, "k long, id long").withColumn("half", F.col("id") % 2)
+    want = rows(df.groupBy("k").agg(F.countDistinct("id")))
+    assert rows(count_ids(words(df, ["k"], "id"), ["k"], "n")) == want
+    assert rows(count_ids(merge(words(df, ["k", "half"], "id"), ["k"]), ["k"], "n")) == want
