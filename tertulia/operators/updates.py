@@ -124,5 +124,8 @@ def set_registrant_status(t: Tables, changes: DataFrame, order_col: str | None =
     """Set status and completion of registrants, by run and member; a missing flag means no."""
     values = {c: F.coalesce(f"n_{c}", F.lit(False)) for c in ("status", "curso_aprobado")}
     keys = ["id_curso", "id_usuario"]
-    single, rejected = settled(changes, keys, order_col, go_on)
-    return _update(t, "registrados_curso", keys, single, values, rejected)
+    # Staged before and after they are settled: the join with the table then holds no aggregate of changes in memory
+    # beside its own rows, and can be split. Flags of no type, which no file can hold, are missing booleans.
+    flags = {name: F.col(name).cast("boolean") for name, kind in changes.dtypes if kind == "void"}
+    single, rejected = settled(stage(changes.withColumns(flags)), keys, order_col, go_on)
+    return _update(t, "registrados_curso", keys, stage(single), values, rejected)
