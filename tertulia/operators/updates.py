@@ -95,7 +95,8 @@ def replace_course_sessions(t: Tables, links: DataFrame) -> Change:
 
     All sessions of a name are linked, each once; a row without a name just clears the run.
     """
-    links = links.select("id_curso", "nombre_sesion").distinct()
+    # Staged as given, then without copies: the input is made once, and no task holds it by two hash tables at a time.
+    links = stage(stage(links.select("id_curso", F.col("nombre_sesion").cast("string"))).distinct())
     kept = drop_keys(t.tiene_sesion, links, ["id_curso"])
     removed = t.tiene_sesion.join(links.select("id_curso").distinct(), "id_curso", "left_semi").select(*kept.columns)
     named = links.join(session_ids(t, first_only=False), "nombre_sesion")

@@ -333,3 +333,12 @@ def test_members_and_sessions_go_on(spark, rows, t):
     assert [r[1] for r in rows(change.tables["comunidad"])] == ["Ana", "Bo", "Cy", "Cy"] and change.rejected.count() == 2
     sessions = spark.createDataFrame([(1, "X"), (2, "Y"), (2, "Z")], "id_sesion long, nombre_sesion string")
     assert [r[1] for r in rows(updates.update_sessions(t, sessions, go_on=True).tables["sesion"])] == ["X", "T", "S"]
+
+
+def test_columns_without_a_type_are_missing_values(spark, rows, t):
+    pairs = t.registrados_curso.select("id_curso", "id_usuario")
+    none = pairs.withColumn("status", F.lit(None)).withColumn("curso_aprobado", F.lit(None))
+    after = updates.set_registrant_status(t, none).tables["registrados_curso"]
+    assert after.count() == pairs.count() and after.where("status OR curso_aprobado").count() == 0
+    cleared = t.tiene_sesion.select("id_curso").withColumn("nombre_sesion", F.lit(None))
+    assert updates.replace_course_sessions(t, cleared).tables["tiene_sesion"].count() == 0

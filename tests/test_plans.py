@@ -193,6 +193,21 @@ def test_a_small_change_is_broadcast_to_the_table(spark, stored):
     assert not any("Exchange hashpartitioning" in line for line in table[join:])
 
 
+def test_changes_are_settled_before_they_meet_the_table(spark, stored):
+    """No aggregate of the changes is held in memory beside the rows of the table."""
+    batch = spark.createDataFrame([(1, 1, True, True)], "id_curso bigint, id_usuario bigint, status boolean, curso_aprobado boolean")
+    change = updates.set_registrant_status(stored, batch)
+    for df in (change.tables, change.changed, change.replaced):
+        assert "Aggregate" not in plan_of(df["registrados_curso"])
+
+
+def test_links_that_replace_others_are_made_once(spark, stored, tmp_path):
+    spark.createDataFrame([(1, "S"), (1, "S"), (2, None)], "id_curso long, nombre_sesion string").write.parquet(f"{tmp_path}/entrada")
+    change = updates.replace_course_sessions(stored, spark.read.parquet(f"{tmp_path}/entrada"))
+    for df in (change.tables, change.added, change.removed):
+        assert "/entrada" not in plan_of(df["tiene_sesion"])
+
+
 def test_each_fact_is_shuffled_by_member_once(spark, stored):
     with settings(spark, **NO_BROADCAST):
         df = reports.engagement_summary(stored)
