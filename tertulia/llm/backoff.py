@@ -17,15 +17,17 @@ weights of rarer n-grams are added where they meet. They are rare by definition,
 N-grams travel in blocks: a task sorts those it has read by bucket, the leading bits of their hash, and sends
 their codes compressed. The buckets of n-grams, and of what is known of them, meet in one task each, and the
 more tokens there are the more buckets. A place of a document travels once for all n-grams that begin
-there, to the bucket of the shortest that the automaton lacks, since longer ones are rarer still.
+there, to the bucket of the shortest that the automaton lacks, since longer ones are rarer still. What n-grams
+weigh is found in the same way: they meet the n-grams of one token less in the bucket of their suffix, and
+then in that of their context, still as blocks.
 
-An n-gram goes by a hash of 64 bits, a polynomial of hashes of its tokens, from which the last token
-leaves the hash of its context. Among three billion n-grams one pair in four such corpora is expected to
+An n-gram goes by a hash of 64 bits, a polynomial of hashes of its tokens. Among three billion n-grams one pair in four such corpora is expected to
 share a hash.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from array import array
 from collections import Counter
@@ -37,6 +39,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +52,13 @@ END = b""  # no word is empty
 DISCOUNT = 0.75
 PSEUDO = 0.1
 LEAST = 2  # n-grams that occur less often are not learned
-OF_KNOWN, OF_DOCUMENTS = -1, 0  # kinds of blocks; others hold n-grams of so many tokens
+OF_KNOWN, OF_DOCUMENTS = -1, 0  # kinds of blocks; those from 1 on hold n-grams of so many tokens
+OF_FIRST, OF_SHORTER, OF_SUMS, OF_STATES = -2, -3, -4, -5  # others that `weighed` makes
 FLUSH = 400_000  # different tokens or n-grams that a task holds before it passes its counts on
 
 
 RARE = 1 << 63  # codes from here on are hashes of tokens, those below are numbers of frequent ones
 BASE = 0x9E3779B97F4A7C17  # 3 modulo 4, so that swapped tokens do not share hashes
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -85,11 +88,6 @@ def longer(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return hashes * np.uint64(BASE) + mixed(last)
 
 
-def context_of(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams without their last token."""
-    return (hashes - mixed(last)) * np.uint64(INVERSE)
-
-
 def grams_of(codes: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length up to `order`, the hashes of the n-grams that lie within one document, and the
     places where they begin. `doc` numbers the document of each code."""
@@ -107,10 +105,6 @@ def signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view("int64"), pa.int64())
 
 
-def unsigned(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype("int64").view("uint64")
-
-
 @dataclass
 class Automaton:
     """States by number, 0 being the initial one, which has an arc for every token in `numbers`.
@@ -273,9 +267,19 @@ def sent(grams: np.ndarray, codes: list[np.ndarray], others: list[np.ndarray], b
     for code, shift in zip(codes[:2], (21, 0), strict=False):
         key |= np.minimum(code, near) << np.uint64(shift)
     order = np.argsort(key)
-    codes, others = [c[order] for c in codes], [c[order] for c in others]
+    del key
+    columns, hashes = [c[order] for c in others], []
+    for code in codes:
+        code = code[order]
+        rare = code >= np.uint64(RARE)
+        hashes.append((code[rare], np.concatenate([[0], np.cumsum(rare)])))
+        code += np.uint64(1)
+        code[rare] = 0
+        columns.append(code)
+    compressor = zstandard.ZstdCompressor(level=1)
     for bucket, start, end in runs(bucket_of(grams[order], bits)):
-        yield bucket, pack([*(c[start:end] for c in others), *with_escapes([c[start:end] for c in codes])])
+        own = np.concatenate([found[at[start] : at[end]] for found, at in hashes])  # as `with_escapes` has them
+        yield bucket, pack([*(c[start:end] for c in columns), own], compressor)
 
 
 def look_up(table: np.ndarray, searched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,9 +297,30 @@ def by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         yield group
 
 
+BLOCK = "bucket long, kind byte, block binary"
+
+
+def block_rows(buckets: list[int], kinds: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets, pa.int64()), pa.array(kinds, pa.int8()), pa.array(blocks, pa.binary())], names=["bucket", "kind", "block"]
+    )
+
+
+def dealt(blocks: DataFrame) -> DataFrame:
+    """All blocks of a bucket in one task, in order of their kinds."""
+    return blocks.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def with_codes(parts: list[list[np.ndarray]], others: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of several blocks that `sent` made: others, and codes."""
+    whole = [[*part[:others], *without_escapes(part[others:])] for part in parts]
+    columns = [np.concatenate(c) for c in zip(*whole, strict=True)]
+    return columns[:others], columns[others:]
+
+
 def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, least: float, places: int) -> DataFrame:
-    """N-grams of two tokens or more that occur at least `least` times: level, gram, last, n, with the
-    number of tokens, the hash, and the code of the last token.
+    """N-grams of two tokens or more that occur at least `least` times, in blocks of their counts and codes;
+    the kind of a block is the number of tokens.
 
     Tasks count what they read and send the codes of different n-grams in blocks, a block for each bucket
     of hashes; the buckets, of which there are more the more `places`, are added up one at a time."""
@@ -309,7 +334,7 @@ def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, lea
         for _, found in in_groups(batches, 0, codes):
             chunks.append(joined(found))
             held += len(chunks[-1][0])
-            if held > 4 * FLUSH:
+            if held > 2 * FLUSH:
                 yield from _rows(chunks)
                 chunks, held = [], 0
         yield from _rows(chunks)
@@ -325,139 +350,218 @@ def count_ngrams(training: DataFrame, numbers: dict[bytes, int], order: int, lea
                 grams, at, n = counts_of(grams)
                 places = places[at]
                 buckets, blocks = zip(*sent(grams, [flat[places + i] for i in range(k)], [n], bits), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets, pa.int64()), pa.array([k] * len(blocks), pa.int8()), pa.array(blocks, pa.binary())],
-                    names=["bucket", "level", "block"],
-                )
+                yield block_rows(buckets, [k] * len(blocks), blocks)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_bucket(batches, ["bucket", "level", "block"]):
+        for group in by_bucket(batches, ["bucket", "kind", "block"]):
             for k, level in groupby(group, itemgetter(1)):
-                parts = [(n, without_escapes(rest)) for n, *rest in (unpack(block) for _, _, block in level)]
-                grams, at, (n,) = summed(np.concatenate([hashes_of(c) for _, c in parts]), np.concatenate([n for n, _ in parts]))
+                (n,), codes = with_codes([unpack(block) for _, _, block in level], 1)
+                grams, at, (n,) = summed(hashes_of(codes), n)
                 often = n >= least
-                last = np.concatenate([c[-1] for _, c in parts])[at[often]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(last), k, "int8")), signed(grams[often]), signed(last), pa.array(n[often].astype("int64"))],
-                    names=["level", "gram", "last", "n"],
-                )
+                for bucket, block in sent(grams[often], [c[at[often]] for c in codes], [n[often]], bits):
+                    yield block_rows([bucket], [k], [block])
 
-    blocks = training.select("text").mapInArrow(count, "bucket long, level byte, block binary")
-    return blocks.repartition("bucket").sortWithinPartitions("bucket", "level").mapInArrow(add, "level byte, gram long, last long, n long")
+    return dealt(training.select("text").mapInArrow(count, BLOCK)).mapInArrow(add, BLOCK)
 
 
-def coded(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
-    """Tokens as n-grams of one token: gram, n."""
+def singles(counts: DataFrame, numbers: dict[bytes, int], bits: int) -> DataFrame:
+    """Tokens without a number as what is known of n-grams of one token, all with a weight of 0."""
     bound = counts.sparkSession.sparkContext.broadcast(numbers)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(bound.value)
+        numbers, out = bound.value, Outgoing(bits, bits)
         for batch in batches:
-            grams = mixed(np.array(codes.of(batch.column(0).to_pylist()), "uint64"))
-            yield pa.RecordBatch.from_arrays([signed(grams), batch.column(1)], names=["gram", "n"])
-
-    return counts.select("token", "n").mapInArrow(code, "gram long, n long")
-
+            words = [(Codes().__missing__(w), n) for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if w not in numbers]
+            codes, n = (np.array(c, "u8") for c in (zip(*words, strict=True) if words else ((), ())))
+            grams = mixed(codes)
+            out.add(OF_KNOWN, grams, grams, n, np.zeros(len(n)))
+            yield from out.full()
+        yield from out.all()
+
+    return counts.select("token", "n").mapInArrow(code, BLOCK)
+
+
+class Outgoing:
+    """What a task makes of n-grams, by kind: passed on in blocks, by buckets of its keys, after every FLUSH rows or so."""
+
+    def __init__(self, bits: int, final_bits: int):
+        self.bits, self.final_bits, self.held, self.size = bits, final_bits, {}, 0
+
+    def add(self, kind: int, keys: np.ndarray, *columns: np.ndarray) -> None:
+        if len(keys):
+            self.held.setdefault(kind, []).append((keys, *(c.view("u8") for c in columns)))
+            self.size += len(keys)
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        if self.size > FLUSH:
+            yield from self.all()
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        for kind, parts in self.held.items():
+            keys, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if kind == OF_SUMS:
+                first, _, sums = summed(columns[0], *(c.view("f8") for c in columns[1:]))
+                made = [(0, pack([first, *(c.view("u8") for c in sums)]))]
+            elif kind == OF_STATES:
+                made = [(0, pack(columns))]
+            elif kind > 0:
+                made = list(sent(keys, columns[-kind:], columns[:-kind], self.bits))
+            else:
+                bucket = bucket_of(keys, self.bits if kind == OF_SHORTER else self.final_bits)
+                order = np.lexsort((columns[0], bucket))
+                grams, *others = (c[order] for c in columns)
+                compressor = zstandard.ZstdCompressor(level=1)
+                made = [(b, pack([rising(grams[i:j]), *(c[i:j] for c in others)], compressor)) for b, i, j in runs(bucket[order])]
+            buckets, blocks = zip(*made, strict=True)
+            yield block_rows(buckets, [kind] * len(blocks), blocks)
+        self.held, self.size = {}, 0
+
+
+def table_of(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """What blocks say of n-grams, in order of their hashes; blocks that `Outgoing` made."""
+    if not parts:
+        return [np.zeros(0, "u8")] * 3
+    grams, *columns = (np.concatenate(c) for c in zip(*([np.cumsum(g, dtype="u8"), *rest] for g, *rest in parts), strict=True))
+    order = np.argsort(grams)
+    return [grams[order], *(c[order] for c in columns)]
+
+
+def route_of(codes: list[np.ndarray], held: np.ndarray) -> np.ndarray:
+    """Hash of the shortest prefix that the automaton lacks, or else of the whole n-gram."""
+    hashes = mixed(codes[0])
+    route, open_ = hashes.copy(), codes[0] < np.uint64(RARE)
+    for code in codes[1:]:
+        hashes = longer(hashes, code)
+        route[open_] = hashes[open_]
+        open_ &= look_up(held, hashes)[1]
+    return route
 
-def with_context(grams: DataFrame) -> DataFrame:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context = context_of(unsigned(batch.column(0)), unsigned(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, signed(context)], names=["gram", "last", "n", "context"])
 
-    return grams.select("gram", "last", "n").mapInArrow(add, "gram long, last long, n long, context long")
+def weighed(ngrams: DataFrame, shorter: DataFrame, k: int, last: bool, model, bits: int, final_bits: int) -> DataFrame:
+    """From counted n-grams of `k` tokens and what is known of those with one token less, in blocks of kind
 
+    OF_KNOWN     by route, gram, tokens seen, weight: the logarithm of an n-gram's probability over what it has
+                 by backing off; and of contexts, the logarithm of what is left for tokens not known after
+                 them over what these have after the shorter context
+    OF_FIRST     gram, number of its first token, weight before what that token leaves: bigrams of numbered tokens
+    OF_SUMS      for what a numbered token leaves: number, sums of the probabilities of its bigrams and of their ends
+    OF_STATES    what is left after a context that the automaton holds, and its codes
+    OF_SHORTER   gram, n, n of its context: of all, for the next length
 
-def with_suffix(arcs: DataFrame) -> DataFrame:
-    """Gives each n-gram the hash of itself without its first token, from that of its context; a single
-    token leaves the empty n-gram, whose hash is 0."""
-    fields = "gram long, last long, n long, context long, of_context long, by long, suffix long"
+    N-grams go to the bucket of their suffix, for its probability, and then to that of their context. Numbered
+    tokens are known everywhere, so their bigrams need not meet and are dealt by their own hash.
+    """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(codes: np.ndarray) -> np.ndarray:
+        return codes >= np.uint64(RARE)
+
+    def n_of(codes: list[np.ndarray], table: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often shorter n-grams and their contexts occur; single tokens have no context."""
+        at, hit = look_up(table[0], hashes_of(codes))
+        n, of_context = ((c[at] if len(c) else at.astype("u8")) for c in table[1:])
+        if k == 2:
+            numbered = ~rare(codes[0])
+            n = n.copy()
+            n[numbered] = times[codes[0][numbered].astype("i8")]
+        return n, of_context
+
+    def by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outgoing(bits, final_bits)
         for batch in batches:
-            suffix = longer(unsigned(batch.column(6)), unsigned(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], signed(suffix)], names=[f.split()[0] for f in fields.split(", ")])
+            for block in batch.column(0):
+                (n,), codes = with_codes([unpack(block.as_py())], 1)
+                key = hashes_of(codes[1:])
+                if k == 2:
+                    key = np.where(rare(codes[1]), key, hashes_of(codes))
+                out.add(k, key, n, *codes)
+                yield from out.full()
+        yield from out.all()
+
+    def by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, (times, _, below, _) = Outgoing(bits, final_bits), model.value
+        for group in by_bucket(batches, ["bucket", "kind", "block"]):
+            blocks = {kind: [unpack(b) for _, _, b in of_kind] for kind, of_kind in groupby(group, itemgetter(1))}
+            if k in blocks:
+                (n,), codes = with_codes(blocks.pop(k), 1)
+                n_shorter, of_shorter = n_of(codes[1:], table_of([p for parts in blocks.values() for p in parts]), times)
+                p_shorter = (n_shorter + PSEUDO) / below if k == 2 else (n_shorter - DISCOUNT) / of_shorter
+                key = hashes_of(codes[:-1])
+                if k == 2:
+                    key = np.where(rare(codes[0]), key, hashes_of(codes))
+                out.add(k, key, n, p_shorter, *codes)
+                yield from out.full()
+        yield from out.all()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, (times, held, _, from_grams) = Outgoing(bits, final_bits), model.value
+        nothing = [np.zeros(0, "u8")]
+        for group in by_bucket(batches, ["bucket", "kind", "block"]):
+            blocks = {kind: [unpack(b) for _, _, b in of_kind] for kind, of_kind in groupby(group, itemgetter(1))}
+            (n, p_shorter), codes = with_codes(blocks.pop(k, [nothing * (k + 3)]), 2)
+            p_shorter = p_shorter.view("f8")
+            table = table_of([p for parts in blocks.values() for p in parts])
+            of_context, _ = n_of(codes[:-1], table, times)
+            context = hashes_of(codes[:-1])
+            gram = longer(context, codes[-1])
+            p = (n - DISCOUNT) / of_context
+            weight = np.log10(p) - np.log10(p_shorter)
+            if not last:
+                out.add(OF_SHORTER, gram, gram, n, of_context)
+            here = rare(codes[0]) if k == 2 else np.ones(len(gram), bool)
+            if not here.all():
+                there = ~here
+                first = codes[0][there]
+                out.add(OF_FIRST, gram[there], gram[there], first, weight[there])
+                first, _, sums = summed(first, p[there], p_shorter[there])
+                out.add(OF_SUMS, first, first, *sums)
+            own, context, codes = weight[here], context[here], [c[here] for c in codes]
+            contexts, at, (known, known_shorter) = summed(context, p[here], p_shorter[here])
+            left = np.log10(np.maximum(1 - known, 1e-12) / np.maximum(1 - known_shorter, 1e-12))
+            if len(own):
+                own = own - left[np.searchsorted(contexts, context)]
+            gram = gram[here]
+            out.add(OF_KNOWN, route_of(codes, held), gram, np.zeros(len(gram), "u8"), own)
+            if k == 2:
+                to, hit = look_up(contexts, table[0])
+                out.add(OF_KNOWN, table[0], table[0], table[1], np.where(hit, left[to], 0.0) if len(left) else np.zeros(len(hit)))
+            else:
+                of = [c[at] for c in codes[:-1]]
+                out.add(OF_KNOWN, route_of(of, held), contexts, np.zeros(len(at), "u8"), left)
+                states = of_context[here][at] >= from_grams
+                out.add(OF_STATES, contexts[states], left[states], *(c[states] for c in of))
+            yield from out.full()
+        yield from out.all()
 
-    return arcs.select("gram", "last", "n", "context", "of_context", "by", "suffix").mapInArrow(add, fields)
+    suffixes = ngrams.where(F.col("kind") == k).select("block").mapInArrow(by_suffix, BLOCK).unionByName(shorter)
+    contexts = dealt(suffixes).mapInArrow(by_context, BLOCK).unionByName(shorter)
+    return dealt(contexts).mapInArrow(weigh, BLOCK)
 
 
-def weights(
-    ngrams: DataFrame, single: DataFrame, order: int, least: float, from_grams: float, bits: int
-) -> tuple[list[DataFrame], list[DataFrame]]:
-    """From `ngrams` as counted and `single` tokens (gram, n, p), for each level of contexts:
+def often(ngrams: DataFrame, least: float) -> DataFrame:
+    """Of counted n-grams, blocks of those that occur at least `least` times."""
 
-    backoffs   context, n, left: the logarithm of what is left for tokens not known after the context,
-               over what these have after the shorter context; and the context's route
-    arcs       gram, weight: the logarithm of the n-gram's probability, over what it has by backing off;
-               in blocks as `spread` makes them
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (n,), codes = with_codes([unpack(block)], 1)
+                chosen = n >= least
+                if chosen.any():
+                    yield block_rows([bucket], [kind], [pack([n[chosen], *with_escapes([c[chosen] for c in codes])])])
 
-    The route of an n-gram is its shortest prefix of two tokens or more that occurs fewer than `from_grams`
-    times, or else itself. Both are staged; what led to a level is deleted with the next."""
-    nothing = F.lit(None).cast("long").alias("route")
-    shorter = single.where(F.col("n") >= least).select("gram", "n", "p", F.lit(0).cast("long").alias("suffix"), nothing)
-    backoffs, arcs, earlier = [], [], None
-    for k in range(2, order + 1):
-        of_context = shorter.select(F.col("gram").alias("context"), F.col("n").alias("of_context"), "suffix", F.col("route").alias("by"))
-        of_suffix = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("p_shorter"))
-        known = with_context(ngrams.where(F.col("level") == k)).join(of_context, "context")
-        known = with_suffix(known).join(of_suffix, "suffix")
-        by_context = ["by"] if k > 3 else []
-        known = settle(known.select("gram", "n", "context", "of_context", *(["suffix"] if k < order else []), "p_shorter", *by_context))
-        p = (F.col("n") - DISCOUNT) / F.col("of_context")
-        by = F.col("by" if k > 3 else "context")
-        route = (F.when(F.col("of_context") < from_grams, by).otherwise(F.col("gram")) if k > 2 else F.col("gram")).alias("route")
-        rest = lambda share: F.greatest(1 - F.sum(share), F.lit(1e-12))
-        left = F.log10(rest(p) / rest("p_shorter")).alias("left")
-        backoffs.append(settle(known.groupBy("context").agg(F.max("of_context").alias("n"), left, F.max(by).alias("route"))))
-        weight = F.log10(p) - F.log10("p_shorter")
-        arc = known.select("context", "gram", route, weight.alias("weight")).join(backoffs[-1].select("context", "left"), "context")
-        arcs.append(settle(spread(arc.select("gram", "route", F.lit(0).cast("long").alias("seen"), F.col("weight") - F.col("left")), bits)))
-        if earlier is not None:
-            discard(earlier)
-        earlier = known
-        if k < order:
-            shorter = known.select("gram", "n", p.alias("p"), "suffix", route)
-    if earlier is not None:
-        discard(earlier)
-    return backoffs, arcs
-
-
-BLOCK = "bucket long, kind byte, first long, block binary"
-
-
-def block_rows(buckets: list[int], kinds: list[int], first: int, blocks: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(buckets, pa.int64()), pa.array(kinds, pa.int8()), pa.array([first] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())],
-        names=["bucket", "kind", "first", "block"],
-    )
+    return ngrams.mapInArrow(choose, BLOCK)
 
 
-def spread(known: DataFrame, bits: int) -> DataFrame:
-    """What is known of n-grams (gram, route, seen, weight), in blocks by the bucket of their route."""
+def summed_up(level: DataFrame) -> DataFrame:
+    """Numbered tokens with what `weighed` found in sum of their bigrams: first, known, shorter."""
 
-    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size > FLUSH:
-                yield from _rows(held)
-                held, size = [], 0
-        yield from _rows(held)
-
-    def _rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not sum(map(len, held)):
-            return
-        grams, routes, seen = (np.concatenate([unsigned(b.column(i)) for b in held]) for i in range(3))
-        weight = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in held]).view("u8")
-        bucket = bucket_of(routes, bits)
-        order = np.lexsort((grams, bucket))
-        grams, seen, weight = grams[order], seen[order], weight[order]
-        made = [(b, pack([rising(grams[i:j]), seen[i:j], weight[i:j]])) for b, i, j in runs(bucket[order])]
-        buckets, blocks = zip(*made, strict=True)
-        yield block_rows(buckets, [OF_KNOWN] * len(made), 0, blocks)
+            for block in batch.column(0):
+                first, *sums = unpack(block.as_py())
+                yield pa.RecordBatch.from_arrays([signed(first), *(pa.array(c.view("f8")) for c in sums)], names=["first", "known", "shorter"])
 
-    return known.mapInArrow(pass_on, BLOCK)
+    found = level.where(F.col("kind") == OF_SUMS).select("block").mapInArrow(rows, "first long, known double, shorter double")
+    return found.groupBy("first").agg(F.sum("known").alias("known"), F.sum("shorter").alias("shorter"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -500,31 +604,53 @@ def score(
     common = counts.where(F.col("n") >= from_tokens).orderBy(F.desc("n"), "token").toArrow()
     numbers = {w: i for i, w in enumerate(common.column("token").to_pylist())}
     by_number = common.column("n").to_pylist()
-    ngrams = settle(count_ngrams(training, numbers, order, least, n))
-    single = settle(coded(counts, numbers).withColumn("p", (F.col("n") + PSEUDO) / below))
+    context = docs.sparkSession.sparkContext
     bits = bits_for(2 * n)
-    backoffs, arcs = weights(ngrams, single, order, least, from_grams, bits)
-
-    grams = dict(zip(mixed(np.arange(len(numbers), dtype="uint64")).tolist(), ((i,) for i in range(len(numbers))), strict=True))
+    known = singles(counts, numbers, bits)
+    levels: list[DataFrame] = []
     frequent: dict[tuple[int, ...], int] = {}
-    held = with_context(ngrams.where(F.col("n") >= from_grams).orderBy("level", "gram")).toArrow()
-    hashes = unsigned(held.column("gram").combine_chunks())
-    contexts = unsigned(held.column("context").combine_chunks()).tolist()
-    for gram, context, last, times in zip(
-        hashes.tolist(), contexts, held.column("last").to_pylist(), held.column("n").to_pylist(), strict=True
-    ):
-        grams[gram] = (*grams[context], last)
-        frequent[grams[gram]] = times
     left: dict[tuple[int, ...], float] = {}
-    for k, found in enumerate(backoffs):
-        own = found.where(F.col("n") >= (from_grams if k else from_tokens)).toArrow()
-        at = unsigned(own.column("context").combine_chunks()).tolist()
-        left |= {grams[c]: x for c, x in zip(at, own.column("left").to_pylist(), strict=True)}
+    held = np.zeros(0, "u8")
+    first_left = np.zeros(len(numbers))
+    if order > 1:
+        ngrams = settle(count_ngrams(training, numbers, order, least, n))
+        for block in often(ngrams, from_grams).toArrow().column("block").to_pylist():
+            times, *rest = unpack(block)
+            frequent |= dict(zip(zip(*(c.tolist() for c in without_escapes(rest)), strict=True), times.tolist(), strict=True))
+        for _, of_length in groupby(sorted(frequent, key=len), len):
+            codes = [np.array(c, "u8") for c in zip(*of_length, strict=True)]
+            held = np.append(held, hashes_of(codes))
+        held.sort()
+        model = context.broadcast((np.array(by_number, "u8"), held, below, from_grams))
+        level_bits = bits_for(n // 4)
+        shorter = known if level_bits == bits else singles(counts, numbers, level_bits)
+        for k in range(2, order + 1):
+            levels.append(settle(weighed(ngrams, shorter, k, k == order, model, level_bits, bits)))
+            shorter = levels[-1].where(F.col("kind") == OF_SHORTER)
+        discard(ngrams)
+        sums = summed_up(levels[0]).toArrow()
+        first = sums.column("first").to_numpy()
+        first_left[first] = np.log10(
+            np.maximum(1 - sums.column("known").to_numpy(), 1e-12) / np.maximum(1 - sums.column("shorter").to_numpy(), 1e-12)
+        )
+        left |= {(u,): first_left[u].item() for u in first.tolist()}
+        for level in levels[1:]:
+            for block in level.where(F.col("kind") == OF_STATES).select("block").toArrow().column("block").to_pylist():
+                found, *codes = unpack(block)
+                left |= dict(zip(zip(*(c.tolist() for c in codes), strict=True), found.view("f8").tolist(), strict=True))
+        discard(counts)
+        known = functools.reduce(DataFrame.unionByName, levels).where(F.col("kind").isin(OF_KNOWN, OF_FIRST))
     automaton = Automaton.build(numbers, [(c + PSEUDO) / below for c in by_number], frequent, by_number, left)
-    discard(ngrams)
-    bound = docs.sparkSession.sparkContext.broadcast((tuple(vars(automaton).values()), np.sort(hashes)))
+    bound = context.broadcast((tuple(vars(automaton).values()), held))
+    of_first = context.broadcast(first_left)
     absent = np.uint64(len(numbers))  # the code of no token, after the end of a document
 
+    def rows_from(first: int, made: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        """Blocks with the number of their first document."""
+        buckets, kinds, blocks = zip(*made, strict=True)
+        rows = block_rows(buckets, kinds, blocks)
+        return rows.append_column("first", pa.array([first] * len(made), pa.int64()))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = bound.value
         automaton = Automaton(*parts)
@@ -549,7 +675,7 @@ def score(
             )
             chunks.append([flat, of_row + rows])
             size, rows = size + len(flat), rows + len(found)
-            if size > 4 * FLUSH:
+            if size > 2 * FLUSH:
                 yield _blocks(chunks, own, first, held)
                 first += rows
                 chunks, own, size, rows = [], [], 0, 0
@@ -562,36 +688,37 @@ def score(
         flat, of_row = (np.concatenate(c) for c in zip(*chunks, strict=True))
         left = np.ones(len(flat), bool)
         for k, (grams, places) in enumerate(grams_of(flat, of_row, order), 1):
-            if k == 1:
-                chosen, length = flat >= np.uint64(RARE), 1
-            else:
-                chosen, length = left[places], order
-                chosen &= ~look_up(held, grams)[1]
-                left[places[chosen]] = False
+            # A place goes to the bucket of the shortest n-gram that the automaton lacks, see `route_of`.
+            chosen = flat >= np.uint64(RARE) if k == 1 else left[places] & ~look_up(held, grams)[1]
+            left[places[chosen]] = False
             grams, places = grams[chosen], places[chosen]
             rows = of_row[places]
             codes = [flat[places + i] for i in range(k)]
-            for i in range(k, length):
+            for i in range(k, order):
                 at = np.minimum(places + i, len(flat) - 1)
                 codes.append(np.where((places + i == at) & (of_row[at] == rows), flat[at], absent))
             made += [(bucket, k, block) for bucket, block in sent(grams, codes, [rows.astype("u8")], bits)]
-        buckets, kinds, blocks = zip(*made, strict=True)
-        return block_rows(buckets, kinds, first, blocks)
+        return rows_from(first, made)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[tuple[np.ndarray, ...]] = []
         size = 0
         for group in by_bucket(batches, ["bucket", "kind", "first", "block"]):
-            grams, tables = np.zeros(0, "u8"), None
+            parts: list[tuple[np.ndarray, ...]] = []
+            grams, seen, weights = np.zeros(0, "u8"), np.zeros(1, "u8"), np.zeros(1)
             for kind, of_kind in groupby(group, itemgetter(1)):
-                if kind == OF_KNOWN:
-                    parts = [unpack(block) for _, _, _, block in of_kind]
-                    grams, _, tables = summed(
-                        np.concatenate([np.cumsum(g, dtype="u8") for g, _, _ in parts]),
-                        np.concatenate([s for _, s, _ in parts]),
-                        np.concatenate([w.view("f8") for _, _, w in parts]),
-                    )
+                if kind < 0:
+                    for _, _, _, block in of_kind:
+                        gram, times, weight = unpack(block)
+                        gram, weight = np.cumsum(gram, dtype="u8"), weight.view("f8")
+                        if kind == OF_FIRST:
+                            weight = weight - of_first.value[times.astype("i8")]
+                            times = np.zeros(len(times), "u8")
+                        parts.append((gram, times, weight))
                     continue
+                if parts:
+                    grams, _, (seen, weights) = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                    parts = []
                 for _, _, start, block in of_kind:
                     if kind == OF_DOCUMENTS:
                         yield _documents(start, unpack(block))
@@ -600,21 +727,19 @@ def score(
                     codes, row = without_escapes(rest), row.view("i8")
                     searched = hashes_of(codes[:kind])
                     at, hit = look_up(grams, searched)
-                    weight = np.where(hit, tables[1][at], 0.0) if len(grams) else np.zeros(len(row))
+                    any_hit, weight = hit, np.where(hit, weights[at], 0.0)
+                    times = np.where(hit, seen[at], 0) if kind == 1 else None
+                    for code in codes[kind:]:
+                        searched = longer(searched, code)
+                        at, hit = look_up(grams, searched)
+                        hit &= code != absent
+                        weight[hit] += weights[at[hit]]
+                        any_hit = any_hit | hit
                     if kind == 1:
-                        seen = np.where(hit, tables[0][at], 0) if len(grams) else np.zeros(len(row))
-                        plain = np.log10((seen + PSEUDO) / below)
+                        plain = np.log10((times + PSEUDO) / below)
                         found = np.flatnonzero(np.bincount(row))
-                        of = [np.bincount(row, x)[found] for x in (seen > 0, plain, plain + weight)]
+                        of = [np.bincount(row, x)[found] for x in (times > 0, plain, plain + weight)]
                     else:
-                        any_hit = hit
-                        for code in codes[kind:]:
-                            searched = longer(searched, code)
-                            at, hit = look_up(grams, searched)
-                            hit &= code != absent
-                            if len(grams):
-                                weight[hit] += tables[1][at[hit]]
-                            any_hit = any_hit | hit
                         found = np.flatnonzero(np.bincount(row[any_hit]))
                         of = [np.zeros(len(found)), np.zeros(len(found)), np.bincount(row[any_hit], weight[any_hit])[found]]
                     sums.append((found + start, of[0].astype("i8"), *of[1:]))
@@ -654,16 +779,8 @@ def score(
 
     fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     names = [f.split()[0] for f in fields.split(", ")]
-    no_token = F.lit(0).cast("long").alias("seen")
-    rare = F.col("n") < from_tokens
-    known = single.where(rare).select("gram", F.col("gram").alias("route"), F.col("n").alias("seen"), F.lit(0.0).alias("weight"))
-    for k, found in enumerate(backoffs):
-        route = F.col("route" if k else "context").alias("route")
-        known = known.unionByName(found.select(F.col("context").alias("gram"), route, no_token, F.col("left").alias("weight")))
-    blocks = read.mapInArrow(walk, BLOCK).unionByName(spread(known, bits))
-    for found in arcs:
-        blocks = blocks.unionByName(found)
-    met = blocks.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, fields)
+    places = read.mapInArrow(walk, f"{BLOCK}, first long")
+    met = dealt(places.unionByName(known.withColumn("first", F.lit(0).cast("long")))).mapInArrow(meet, fields)
     # An n-gram that is not known adds nothing; it ends in its bucket.
     return met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

@@ -25,15 +25,15 @@ def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of unsigned 64-bit integers, which may differ in length."""
+def pack(columns: list[np.ndarray], compressor: zstandard.ZstdCompressor | None = None) -> bytes:
+    """Columns of unsigned 64-bit integers, which may differ in length. Making a compressor takes longer than a small block."""
     head, body = [struct.pack("<B", len(columns))], []
     for column in columns:
         column = np.ascontiguousarray(column, "<u8")
         width = (int(column.max()).bit_length() + 7) // 8 if len(column) else 0
         head.append(struct.pack("<QB", len(column), width))
         body.append(column.view("u1").reshape(-1, 8)[:, :width].T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+    return (compressor or zstandard.ZstdCompressor(level=1)).compress(b"".join(head + body))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tertulia.llm import backoff
@@ -115,6 +116,16 @@ def test_scores_do_not_depend_on_how_much_a_task_holds(spark, monkeypatch):
         assert all(math.isclose(r["score"], expected[r["doc_id"]], rel_tol=1e-9) for r in found)
 
 
+def test_ngrams_are_weighed_in_blocks(spark, monkeypatch):
+    """No n-gram becomes a row of a join, which took too much memory."""
+    plans = []
+    settle = backoff.settle
+    monkeypatch.setattr(backoff, "settle", lambda df: plans.append(df._jdf.queryExecution().toString()) or settle(df))
+    assert backoff.score(documents(spark, random_rows(20))).count() == 20
+    assert len(plans) > 3
+    assert not any("Join" in plan for plan in plans)
+
+
 def test_probabilities_add_up_to_one():
     model = ByHand(random_rows(), 3, 1e-6, 1e-3)
     unseen = 0.1 / model.below
@@ -136,6 +147,15 @@ def test_odd_rows(spark):
     assert got == sorted((len(backoff.tokens(r[1])), round(model.score(r[1]), 6), round(model.base(r[1]), 6)) for r in rows)
 
 
+def test_a_place_of_a_rare_token_travels_once():
+    """All that begins with it goes to the bucket of the token itself, also its n-grams."""
+    rare, often = (np.array([c], "u8") for c in (backoff.RARE | 5, 7))
+    held = np.sort(backoff.hashes_of([often, often]))
+    assert backoff.route_of([rare, often, often], held) == backoff.mixed(rare)
+    assert backoff.route_of([often, rare, often], held) == backoff.hashes_of([often, rare])
+    assert backoff.route_of([often, often, rare], held) == backoff.hashes_of([often, often, rare])
+
+
 def test_no_rows_and_no_training_rows(spark):
     assert backoff.score(documents(spark, [])).count() == 0
     out = next(i for i in range(1000) if held_out(i))
