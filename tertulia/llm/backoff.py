@@ -271,14 +271,14 @@ def sent(grams: np.ndarray, codes: list[np.ndarray], others: list[np.ndarray], b
     columns, hashes = [c[order] for c in others], []
     for code in codes:
         code = code[order]
-        rare = code >= np.uint64(RARE)
-        hashes.append((code[rare], np.concatenate([[0], np.cumsum(rare)])))
+        rare = np.flatnonzero(code >= np.uint64(RARE))
+        hashes.append((code[rare], rare))
         code += np.uint64(1)
         code[rare] = 0
         columns.append(code)
     compressor = zstandard.ZstdCompressor(level=1)
     for bucket, start, end in runs(bucket_of(grams[order], bits)):
-        own = np.concatenate([found[at[start] : at[end]] for found, at in hashes])  # as `with_escapes` has them
+        own = np.concatenate([found[slice(*np.searchsorted(at, (start, end)))] for found, at in hashes])  # as `with_escapes` has them
         yield bucket, pack([*(c[start:end] for c in columns), own], compressor)
 
 
@@ -627,6 +627,10 @@ def score(
         for k in range(2, order + 1):
             levels.append(settle(weighed(ngrams, shorter, k, k == order, model, level_bits, bits)))
             shorter = levels[-1].where(F.col("kind") == OF_SHORTER)
+            if k > 2:  # nothing reads the shorter ones any more
+                whole = levels[-2]
+                levels[-2] = settle(whole.where(F.col("kind") != OF_SHORTER))
+                discard(whole)
         discard(ngrams)
         sums = summed_up(levels[0]).toArrow()
         first = sums.column("first").to_numpy()
@@ -675,7 +679,7 @@ def score(
             )
             chunks.append([flat, of_row + rows])
             size, rows = size + len(flat), rows + len(found)
-            if size > 2 * FLUSH:
+            if size > FLUSH:
                 yield _blocks(chunks, own, first, held)
                 first += rows
                 chunks, own, size, rows = [], [], 0, 0
@@ -719,12 +723,11 @@ def score(
                 if parts:
                     grams, _, (seen, weights) = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                     parts = []
-                for _, _, start, block in of_kind:
-                    if kind == OF_DOCUMENTS:
+                if kind == OF_DOCUMENTS:
+                    for _, _, start, block in of_kind:
                         yield _documents(start, unpack(block))
-                        continue
-                    row, *rest = unpack(block)
-                    codes, row = without_escapes(rest), row.view("i8")
+                    continue
+                for row, *codes in _gathered(of_kind):
                     searched = hashes_of(codes[:kind])
                     at, hit = look_up(grams, searched)
                     any_hit, weight = hit, np.where(hit, weights[at], 0.0)
@@ -737,12 +740,11 @@ def score(
                         any_hit = any_hit | hit
                     if kind == 1:
                         plain = np.log10((times + PSEUDO) / below)
-                        found = np.flatnonzero(np.bincount(row))
-                        of = [np.bincount(row, x)[found] for x in (times > 0, plain, plain + weight)]
+                        found, _, of = summed(row, (times > 0).astype("i8"), plain, plain + weight)
                     else:
-                        found = np.flatnonzero(np.bincount(row[any_hit]))
-                        of = [np.zeros(len(found)), np.zeros(len(found)), np.bincount(row[any_hit], weight[any_hit])[found]]
-                    sums.append((found + start, of[0].astype("i8"), *of[1:]))
+                        found, _, (added,) = summed(row[any_hit], weight[any_hit])
+                        of = [np.zeros(len(found), "i8"), np.zeros(len(found)), added]
+                    sums.append((found, *of))
                     size += len(found)
                 if size > 2 * FLUSH:
                     sums = [_merged(sums)]
@@ -753,6 +755,19 @@ def score(
         if sums:
             yield _sums([_merged(sums)])
 
+    def _gathered(of_kind: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+        """Rows of documents and codes of many blocks at a time, which are small."""
+        parts, size = [], 0
+        for _, _, start, block in of_kind:
+            row, *rest = unpack(block)
+            parts.append([row.view("i8") + start, *without_escapes(rest)])
+            size += len(row)
+            if size > FLUSH // 4:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                parts, size = [], 0
+        if parts:
+            yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
     def _merged(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         row, _, added = summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))
         return row, *added
