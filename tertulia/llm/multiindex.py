@@ -206,7 +206,9 @@ def search(
         .groupBy("part", "block")
         .agg(F.collect_list(F.struct("vec_id", "vec", "cells")).alias("queries"))
     )
-    met = query_blocks.select("part", "queries").join(entry_blocks.select("part", "entries"), "part").select("queries", "entries")
+    # Spark takes a routed query for one row where it is one for each part it looks into, and would
+    # send all of them through the driver to every executor.
+    met = query_blocks.select("part", "queries").join(entry_blocks.select("part", "entries").hint("merge"), "part").select("queries", "entries")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 import heapq
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,3 +115,17 @@ def test_nothing_to_find(spark, rows):
 def test_single_component(spark):
     found = multiindex.search(vectors(spark, [(0, [2.0]), (1, [-1.0]), (2, [5.0])]), F.col("vec_id") == 0).collect()
     assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(2, 1.0), (1, -1.0)]
+
+
+def test_blocks_never_go_through_the_driver(spark):
+    """However large a table Spark may broadcast, and however small it takes the routed queries for."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        rows = random_rows(400)
+        found = multiindex.search(vectors(spark, rows).repartition(3), F.col("vec_id") % 5 == 0)
+        check(found.collect(), by_hand(rows, 5, lambda i: i % 5 == 0))
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert re.findall(r"(\w+Join)\(?\w*=?\w*\)? \[(?!twin|vec_id)", plan) == ["SortMergeJoin"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
