@@ -6,8 +6,9 @@ of their summed distance until the cells it has passed hold the wanted share of
 in these cells are ranked by their exact cosine.
 
 Only the codebooks come from a sample. Every vector is indexed, equal ones once with their smallest ids.
-Vectors and queries meet by the first half's centroid, in blocks of bounded size, so a centroid that has
-most of the vectors is many rows, and the pairs within two blocks never become rows.
+Vectors and queries meet by groups of the first half's centroids, in blocks of bounded size, so a centroid
+that has most of the vectors is many rows, and the pairs within two blocks never become rows. A query
+travels once for each group it looks into.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tertulia.plans.staging import stage
+from tertulia.plans.staging import discard, settle, stage
 
-ENTRIES, QUERIES = 2048, 256  # vectors in a block
+ENTRIES, QUERIES = 2048, 1024  # vectors in a block
 ROUTED = 64  # queries that a task routes
+GROUPS = 64  # of the first half's centroids: the cells of a group meet their queries in one place
+PAIRS = 65_536  # of which exact cosines are taken at a time
 
 
 @dataclass(frozen=True)
@@ -152,7 +156,8 @@ def search(
     first_ids = taking.select("vec", "vec_id").withColumn("nth", F.dense_rank().over(smallest)).where(F.col("nth") <= k + 1)
     entries = stage(first_ids.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     asked = taking.where("asked").select("vec", "vec_id").distinct()
-    queries = stage(asked.withColumn("twin", F.min("vec_id").over(Window.partitionBy("vec"))))
+    # The entries are written by now, so this also lets their shuffle files go.
+    queries = settle(asked.withColumn("twin", F.min("vec_id").over(Window.partitionBy("vec"))))
     searched = queries.where("vec_id = twin").select("vec_id", "vec")
 
     total, n_queries = entries.count(), searched.count()
@@ -174,46 +179,70 @@ def search(
     for r in placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).collect():  # at most centroids**2
         sizes[r["part"], r["cell"]] = r["n"]
     needed = max(int(np.ceil(share * total)), 100 * k)
+    discard(entries)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             d1, d2 = books.distances(unit_rows(matrix(batch.column("vec"))))
-            take, parts, masks = [], [], []
-            for row in range(len(batch)):
-                looked = cells_for(d1[row], d2[row], sizes, needed)
-                for part in np.flatnonzero(looked.any(1)):
-                    take.append(row)
-                    parts.append(part)
-                    masks.append(np.packbits(looked[part]).tobytes())
-            out = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(parts, pa.int32()), pa.array(masks, pa.binary())], names=["vec_id", "vec", "part", "cells"]
-            )
+            masks = [np.packbits(cells_for(d1[row], d2[row], sizes, needed), axis=1).tobytes() for row in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(masks, pa.binary())], names=["vec_id", "vec", "cells"])
 
     # The staged queries are one small file or few, and routing them is dear.
     dealt = searched.repartition(max(1, -(-n_queries // ROUTED)), "vec_id")
-    routed = dealt.mapInArrow(route, f"vec_id long, vec {kind}, part int, cells binary")
-    shares = F.array(*[F.lit(max(1, -(-int(n) // ENTRIES))) for n in sizes.sum(1)])
-    entry_blocks = (
-        placed.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.get(shares, F.col("part"))))
-        .groupBy("part", "block")
-        .agg(F.collect_list(F.struct("ids", "vec", "cell")).alias("entries"))
-    )
-    query_blocks = (
-        routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n_queries // QUERIES)))))
-        .groupBy("part", "block")
+    routed = dealt.mapInArrow(route, f"vec_id long, vec {kind}, cells binary")
+    in_blocks = (
+        routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n_queries // QUERIES)))).cast("int"))
+        .groupBy("block")
         .agg(F.collect_list(F.struct("vec_id", "vec", "cells")).alias("queries"))
     )
-    # Spark takes a routed query for one row where it is one for each part it looks into, and would
-    # send all of them through the driver to every executor.
-    met = query_blocks.select("part", "queries").join(entry_blocks.select("part", "entries").hint("merge"), "part").select("queries", "entries")
+    groups = min(GROUPS, len(sizes))
+    width = -(-sizes.shape[1] // 8)  # bytes of a centroid's cells in a mask
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, row in zip(batch.column("block").to_pylist(), batch.column("queries"), strict=True):
+                masks = unpacked(row.values.field("cells")).reshape(len(row.values), len(sizes), width)
+                for group in range(groups):
+                    yield from _asking(group, block, row.values, masks[:, group::groups])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.StructArray]] = {group: [] for group in range(groups)}
+        for batch in batches:
+            part, cell = (batch.column(c).to_numpy() for c in ("part", "cell"))
+            place = pa.array(part // groups * (8 * width) + cell, pa.int32())
+            rows = pa.StructArray.from_arrays([batch.column("ids"), batch.column("vec"), place], names=["ids", "vec", "cell"])
+            for group in np.unique(part % groups).tolist():
+                mine = np.flatnonzero(part % groups == group)
+                for at in range(0, len(mine), ENTRIES):
+                    held[group].append(rows.take(pa.array(mine[at : at + ENTRIES])))
+                    if sum(map(len, held[group])) >= ENTRIES:
+                        yield _one_row(pa.concat_arrays(held.pop(group)), "entries", group=group)
+                        held[group] = []
+        for group, left in held.items():
+            if left:
+                yield _one_row(pa.concat_arrays(left), "entries", group=group)
+
+    query_blocks = in_blocks.mapInArrow(
+        deal, f"group int, block int, queries array<struct<vec_id: bigint, vec: {kind}, cells: binary>>"
+    )
+    entry_blocks = placed.mapInArrow(pack, f"group int, entries array<struct<ids: array<bigint>, vec: {kind}, cell: int>>")
+    # Spark takes a block for one vector, and a query for one row where it is one for each group it looks
+    # into: it would send all of them through the driver to every executor.
+    met = query_blocks.join(entry_blocks.hint("merge"), "group").select("group", "block", "queries", "entries")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranking, of = None, None
         for batch in batches:
             for row in range(len(batch)):
-                yield _best(batch.column(0)[row].values, batch.column(1)[row].values, k + 1)
+                if of != (now := (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())):
+                    if ranking:
+                        yield ranking.found()
+                    ranking, of = Ranking(batch.column(2)[row].values, k + 1), now
+                ranking.meet(batch.column(3)[row].values)
+        if ranking:
+            yield ranking.found()
 
     found = met.mapInArrow(rank, "twin long, ids array<long>, score double")
     by_score = Window.partitionBy("twin").orderBy(F.desc("score"), F.col("ids")[0])
@@ -228,35 +257,76 @@ def search(
     )
 
 
-def _best(queries: pa.StructArray, entries: pa.StructArray, k: int) -> pa.RecordBatch:
-    """The `k` best entries of a block for each query of a block, among the cells the query looks into."""
-    a, b = matrix(queries.field("vec")), matrix(entries.field("vec"))
-    ua, ub = unit_rows(a), unit_rows(b)
-    cells = entries.field("cell").to_numpy(zero_copy_only=False)
-    masks = [np.unpackbits(np.frombuffer(m.as_py(), "uint8")).astype(bool)[cells] for m in queries.field("cells")]
-    near = np.where(np.array(masks), ua @ ub.T, -np.inf)
-    first_id = np.array([i[0].as_py() for i in entries.field("ids")])
-    take, twins, scores = [], [], []
-    for q, twin in enumerate(queries.field("vec_id").to_pylist()):
-        row = near[q]
-        if len(row) > k:  # a product of matrices may round ties apart: what is as good as equal stays in
-            edge = np.partition(row, -k)[-k]
-            chosen = np.flatnonzero(row >= edge - 1e-9) if edge > -np.inf else np.flatnonzero(row > -np.inf)
-        else:
-            chosen = np.flatnonzero(row > -np.inf)
-        exact = cosines(a[q], b[chosen])
-        order = np.lexsort((first_id[chosen], -exact))[:k]
-        take += chosen[order].tolist()
-        twins += [twin] * len(order)
-        scores += exact[order].tolist()
-    ids = entries.field("ids").take(pa.array(take, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(twins, pa.int64()), ids, pa.array(scores, pa.float64())], names=["twin", "ids", "score"])
-
-
-def cosines(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Cosine of `a` and each row of `others`, summed in the same way wherever a pair meets."""
-    ua, uo = unit_rows(a[None])[0], unit_rows(others)
-    total = np.zeros(len(others))
-    for d in range(len(a)):
-        total += ua[d] * uo[:, d]
+def unpacked(masks: pa.Array) -> np.ndarray:
+    """Bytes of equal lengths as rows."""
+    return np.frombuffer(b"".join(masks.to_pylist()), "uint8").reshape(len(masks), -1)
+
+
+def _one_row(values: pa.StructArray, name: str, **columns: int) -> pa.RecordBatch:
+    """A row that holds `values` as a list."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.RecordBatch.from_arrays([*(pa.array([c], pa.int32()) for c in columns.values()), whole], names=[*columns, name])
+
+
+def _asking(group: int, block: int, queries: pa.StructArray, masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The queries of a block that look into a group, with what they look into there."""
+    asking = np.flatnonzero(masks.any((1, 2)))
+    if len(asking):
+        cells = pa.array([masks[q].tobytes() for q in asking], pa.binary())
+        vec_id, vec = (queries.field(c).take(pa.array(asking)) for c in ("vec_id", "vec"))
+        yield _one_row(pa.StructArray.from_arrays([vec_id, vec, cells], names=["vec_id", "vec", "cells"]), "queries", group=group, block=block)
+
+
+class Ranking:
+    """The `k` best entries for each query of a block, among the cells the query looks into, of all blocks it meets."""
+
+    def __init__(self, queries: pa.StructArray, k: int) -> None:
+        self.k = k
+        self.twins = queries.field("vec_id").to_numpy()
+        self.units = unit_rows(matrix(queries.field("vec")))
+        self.open = np.unpackbits(unpacked(queries.field("cells")), axis=1).astype(bool)
+        self.least = np.full(len(self.twins), -np.inf)  # cosine of the k-th so far
+        self.rows, self.scores, self.first_ids = np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64")
+        self.ids: pa.ListArray | None = None
+
+    def meet(self, entries: pa.StructArray) -> None:
+        cells, ids = entries.field("cell").to_numpy(), entries.field("ids")
+        asking = np.flatnonzero(self.open[:, np.unique(cells)].any(1))
+        units = unit_rows(matrix(entries.field("vec")))
+        near, edge = self.units[asking] @ units.T, self.least[asking]
+        new = np.flatnonzero(edge == -np.inf)
+        if len(new):
+            near[new] = np.where(self.open[asking[new]][:, cells], near[new], -np.inf)
+            if len(cells) > self.k:
+                edge[new] = np.partition(near[new], -self.k, axis=1)[:, -self.k]
+        # A product of matrices may round ties apart: what is as good as equal stays in.
+        rows, cols = np.nonzero(near >= np.maximum(edge - 1e-9, -2.0)[:, None])
+        looked = self.open[asking[rows], cells[cols]]
+        rows, cols = asking[rows[looked]], cols[looked]
+        pairs = [slice(at, at + PAIRS) for at in range(0, len(rows), PAIRS)]
+        scores = [cosines(self.units[rows[p]], units[cols[p]]) for p in pairs]
+        self._add(rows, np.concatenate([np.zeros(0), *scores]), ids.take(pa.array(cols)))
+
+    def _add(self, rows: np.ndarray, scores: np.ndarray, ids: pa.ListArray) -> None:
+        if self.ids is not None and not len(rows):
+            return
+        rows, scores = np.concatenate([self.rows, rows]), np.concatenate([self.scores, scores])
+        first_ids = np.concatenate([self.first_ids, pc.list_element(ids, 0).to_numpy(zero_copy_only=False).astype("int64")])
+        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        order = np.lexsort((first_ids, -scores, rows))
+        nth = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        last = order[nth == self.k - 1]
+        self.least[rows[last]] = scores[last]
+        kept = order[nth < self.k]
+        self.rows, self.scores, self.first_ids, self.ids = rows[kept], scores[kept], first_ids[kept], ids.take(pa.array(kept))
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.twins[self.rows]), self.ids, pa.array(self.scores)], names=["twin", "ids", "score"])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of `a` and the row of `b` beside it, of unit length both, summed in the same way wherever a pair meets."""
+    total = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        total += a[:, d] * b[:, d]
     return np.clip(total, -1.0, 1.0)

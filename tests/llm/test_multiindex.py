@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +126,46 @@ def test_blocks_never_go_through_the_driver(spark):
         rows = random_rows(400)
         found = multiindex.search(vectors(spark, rows).repartition(3), F.col("vec_id") % 5 == 0)
         check(found.collect(), by_hand(rows, 5, lambda i: i % 5 == 0))
-        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
-        assert re.findall(r"(\w+Join)\(?\w*=?\w*\)? \[(?!twin|vec_id)", plan) == ["SortMergeJoin"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(\w+Join)\b.*\[(\w+)#\d+\], \[\2#\d+\]", plan.partition("Initial Plan")[0])
+        assert {join for join, key in joins if key != "twin"} == {"SortMergeJoin"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.4, 1.0])
+def test_best_of_many_blocks(monkeypatch, share):
+    """Whatever blocks the entries come in, with ties between entries that are multiples of each other."""
+    monkeypatch.setattr(multiindex, "PAIRS", 7)
+    rng = np.random.default_rng(4)
+    asked, vectors = rng.normal(size=(30, 6)), rng.normal(size=(400, 6))
+    vectors[200:230] = 2 * vectors[0]
+    cells, open_cells = rng.integers(0, 16, 400), rng.random((30, 16)) < share
+    exact = multiindex.unit_rows(asked) @ multiindex.unit_rows(vectors).T
+    want = {
+        q: sorted((round(-exact[q, e], 12), 1000 - e) for e in range(400) if open_cells[q, cells[e]])[:5] for q in range(30) if open_cells[q].any()
+    }
+
+    def lists(rows):
+        return pa.array(rows.tolist(), pa.list_(pa.float64()))
+
+    masks = pa.array([np.packbits(m).tobytes() for m in open_cells], pa.binary())
+    queries = pa.StructArray.from_arrays([pa.array(range(30)), lists(asked), masks], names=["vec_id", "vec", "cells"])
+    for size in (1, 3, 4, 50, 400):
+        ranking = multiindex.Ranking(queries, 5)
+        for at in range(0, 400, size):
+            e = np.arange(at, min(at + size, 400))
+            columns = [pa.array([[1000 - int(i)] for i in e]), lists(vectors[e]), pa.array(cells[e], pa.int32())]
+            ranking.meet(pa.StructArray.from_arrays(columns, names=["ids", "vec", "cell"]))
+        got = {}
+        for r in ranking.found().to_pylist():
+            got.setdefault(r["twin"], []).append((round(-r["score"], 12), r["ids"][0]))
+        assert {q: sorted(found) for q, found in got.items()} == {q: found for q, found in want.items() if found}
+
+
+def test_small_blocks_and_groups(spark, monkeypatch):
+    rows = random_rows(500)
+    for name, value in (("ENTRIES", 7), ("QUERIES", 9), ("ROUTED", 5), ("GROUPS", 3)):
+        monkeypatch.setattr(multiindex, name, value)
+    found = multiindex.search(vectors(spark, rows).repartition(3), F.col("vec_id") % 5 == 0).collect()
+    check(found, by_hand(rows, 5, lambda i: i % 5 == 0))
