@@ -31,8 +31,13 @@ def create_new(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file unless there is one of that name; False if there is. Stores that create files
     atomically let one of several writers win."""
     where, store = _at(spark, path)
+    own = store.getUri().getScheme() == "file"  # Hadoop's local store looks first and creates then, which two writers can do at one time
+    if own:
+        store.mkdirs(where.getParent())
+        if not store.pathToFile(where).createNewFile():
+            return False
     try:
-        out = store.create(where, False)
+        out = store.create(where, own)
     except Py4JJavaError as error:
         if "FileAlreadyExists" in str(error.java_exception.getClass()):
             return False
